@@ -35,14 +35,19 @@ def guarded_ratio(programmed: Column, produced: Column, required: Column) -> Col
     return F.round(F.when(programmed != 0, ratio(produced, required)).otherwise(F.lit(0.0)), 5)
 
 
+def _percent(share: Column) -> Column:
+    # Float noise is rounded off first, so that 0.285 counts as 28.5 and not as 28.499999999999996.
+    return F.round(F.round(share * 100, 8)).cast("bigint").cast("string")
+
+
 def percent_label(share: Column) -> Column:
     """``0.455`` as ``46%``; null stays null."""
-    return F.concat(F.round(share * 100).cast("bigint").cast("string"), F.lit("%"))
+    return F.concat(_percent(share), F.lit("%"))
 
 
 def percent_text(share: Column) -> Column:
     """``0.45`` as ``45 %``."""
-    return F.concat(F.round(share * 100).cast("bigint").cast("string"), F.lit(" %"))
+    return F.concat(_percent(share), F.lit(" %"))
 
 
 def day_month(moment: Column) -> Column:
