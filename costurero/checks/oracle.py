@@ -7,6 +7,7 @@ plans make, and packages are cut by a loop instead of the closed form.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from costurero.checks import queries as Q
 from costurero.schemas import TABLES
@@ -17,13 +18,25 @@ CLIENTS = ["AUTOMOBILE Cust", "BUILDING Custom", "FURNITURE Custo", "HOUSEHOLD C
 PROCESSES = ["CORTE", "COSTURA"]
 
 
-def _statement(body: str, ctes: str = "", recursive: bool = False) -> str:
-    """``body`` after the tables it and ``ctes`` mention."""
-    words = set(re.findall(r"\w+", ctes + " " + body))
-    views = with_clauses([v for v in TEXTS if v in words])
-    clauses = ", ".join(c for c in (views, ctes) if c)
-    head = "WITH RECURSIVE " if recursive else "WITH "
-    return f"{head}{clauses} {body}" if clauses else body
+@dataclass(frozen=True)
+class Sql:
+    """A statement: its final ``body`` after common tables ``ctes``."""
+
+    body: str
+    ctes: str = ""
+    recursive: bool = False
+
+    def text(self, derived: bool) -> str:
+        """The statement, after the derived garment tables it mentions or over stored ones."""
+        words = set(re.findall(r"\w+", self.ctes + " " + self.body))
+        views = with_clauses([v for v in TEXTS if v in words]) if derived else ""
+        clauses = ", ".join(c for c in (views, self.ctes) if c)
+        head = "WITH RECURSIVE " if self.recursive else "WITH "
+        return f"{head}{clauses} {self.body}" if clauses else self.body
+
+
+def _statement(body: str, ctes: str = "", recursive: bool = False) -> Sql:
+    return Sql(body, ctes, recursive)
 
 
 def _ratio(a: str, b: str) -> str:
@@ -67,9 +80,9 @@ def _orders(span: tuple[str, str], variant: str, po: str = "", codes: list[str]
         WHERE IdDocumento_Referencia > 0 GROUP BY ALL),
     pedido_tela AS (
         SELECT vi.IdDocumento_Referencia AS pedido_id, SUM(pi.dCantidadProgramado) AS armado,
-               SUM(CASE op.bCerrado WHEN 1 THEN pi.dCantidadRequerido ELSE 0 END) AS despachado,
-               SUM(CASE r.bCerrado WHEN 1 THEN pi.dCantidadProgramado ELSE 0 END) AS tenido,
-               SUM(CASE op.bCierreAprobado WHEN 1 THEN pi.dCantidadProgramado * 0.9 ELSE 0 END) AS aprobado
+               SUM(op.bCerrado * pi.dCantidadRequerido) AS despachado,
+               SUM(r.bCerrado * pi.dCantidadProgramado) AS tenido,
+               SUM(op.bCierreAprobado * pi.dCantidadProgramado * 0.9) AS aprobado
         FROM docOrdenProduccion op
         JOIN docOrdenProduccionRuta r ON r.IdDocumento_OrdenProduccion = op.IdDocumento_OrdenProduccion AND r.IdmaeReceta > 0
         JOIN docOrdenProduccionItem pi ON pi.IdDocumento_OrdenProduccion = op.IdDocumento_OrdenProduccion
@@ -137,7 +150,8 @@ def _orders(span: tuple[str, str], variant: str, po: str = "", codes: list[str]
         LEFT JOIN unidades u ON u.codigo = v.CoddocOrdenVenta
         WHERE v.IdtdDocumentoForm = 10 AND v.IdtdTipoVenta = 4 AND v.bAnulado = 0 {delivery} {listed}
           AND CAST(v.{shown} AS DATE) BETWEEN DATE '{span[0]}' AND DATE '{span[1]}'
-          AND v.nvDocumentoReferencia ILIKE '%{po}%')"""
+          AND v.nvDocumentoReferencia ILIKE '%{po}%' AND v.CoddocOrdenVenta ILIKE '%%'
+          AND c.NommaeAnexoCliente ILIKE '%%')"""
 
 
 _MAIN = [
@@ -179,7 +193,7 @@ def _with_total(columns: list[str], where: str = "TRUE") -> str:
     )
 
 
-def _order_statements() -> dict[str, str]:
+def _order_statements() -> dict[str, Sql]:
     from costurero.plans.constants import LIST_COLUMNS, ORDER_COLUMNS
 
     planned = _orders(Q.PLANNED, "planned", po="po")
@@ -226,7 +240,7 @@ _RESUMEN = f"""
         GROUP BY ALL)"""
 
 
-def _matrix(where: str = "TRUE", shown: str = "CAST({} AS DOUBLE)") -> str:
+def _matrix(where: str = "TRUE", shown: str = "CAST({} AS DOUBLE)") -> Sql:
     cells = ", ".join(
         shown.format(f"coalesce(SUM({m}) FILTER (WHERE \"PROCESO\" = '{p}'), 0)") + f' AS "{p} ({label})"'
         for p in PROCESSES
@@ -276,7 +290,7 @@ def _notes(span: tuple[str, str]) -> str:
           AND n.dtFechaRegistro BETWEEN TIMESTAMP '{span[0]}' AND TIMESTAMP '{span[1]}')"""
 
 
-def _process_statements() -> dict[str, str]:
+def _process_statements() -> dict[str, Sql]:
     summary = f"""SELECT "PEDIDO", "OP", "PROCESO", "COMBO", left(cliente_completo, 15) AS "CLIENTE", "ESTILO",
         CAST(req AS DOUBLE) AS "Q_REQ", CAST(prog AS DOUBLE) AS "Q_PROG", CAST(prod AS DOUBLE) AS "Q_PROD",
         CAST(prog - prod AS DOUBLE) AS "Q_PEND", {_guarded('prog', 'prod', 'req')} AS "AVANCE_PORC" FROM resumen"""
@@ -292,7 +306,7 @@ def _process_statements() -> dict[str, str]:
     return {
         "process_summary": _statement(summary, _RESUMEN),
         "process_matrix": _matrix(),
-        "process_matrix_text": _matrix(shown="format('{{:,}}', CAST({} AS BIGINT))"),
+        "process_matrix_text": _matrix(shown="format('{{:,}}', CAST(round_even({}, 0) AS BIGINT))"),
         "matrix_filtered": _matrix(of_client),
         "domain_values": _statement(f'SELECT DISTINCT "PEDIDO" FROM resumen WHERE {of_client}', _RESUMEN),
         "cut_progress": _statement("SELECT * FROM corte", _cut(Q.PLANNED)),
@@ -351,7 +365,7 @@ _LINEAS = """
         JOIN maeTalla ta ON ta.IdmaeTalla = l.talla)"""
 
 
-def _package_statements() -> dict[str, str]:
+def _package_statements() -> dict[str, Sql]:
     m = Q.MAX_UNITS
     take = f"CASE WHEN {{0}} <= {m} OR {{0}} - {m} < 10 THEN {{0}} ELSE {m} END"
     loop = f"""{_LINEAS},
@@ -394,7 +408,8 @@ def _package_statements() -> dict[str, str]:
 
 # --- fabric quality and schedule ----------------------------------------------------------
 
-def _quality(span: tuple[str, str], where: str = "TRUE") -> str:
+def _quality(span: tuple[str, str], cliente: str = "", tela: str = "", color: str = "") -> str:
+    # An empty search still needs a text to search in: LIKE '%%' is null for null.
     return f"""
     calidad AS (
         SELECT op.CoddocOrdenProduccion AS "PARTIDA", op.nvDocumentoReferencia AS "REF_PEDIDO",
@@ -410,10 +425,13 @@ def _quality(span: tuple[str, str], where: str = "TRUE") -> str:
         JOIN maeItemInventario i ON i.IdmaeItem_Inventario = q.idmaeitem
         JOIN maecolor co ON co.idmaecolor = op.IdmaeColor
         JOIN maeAnexoCliente cl ON cl.IdmaeAnexo_Cliente = op.IdmaeAnexo_Cliente
-        WHERE CAST(q.dtFechaReporte AS DATE) BETWEEN DATE '{span[0]}' AND DATE '{span[1]}' AND {where})"""
+        WHERE CAST(q.dtFechaReporte AS DATE) BETWEEN DATE '{span[0]}' AND DATE '{span[1]}'
+          AND cl.NommaeAnexoCliente ILIKE '%{cliente}%' AND i.NommaeItemInventario ILIKE '%{tela}%'
+          AND co.nommaecolor ILIKE '%{color}%' AND i.CodmaeItemInventario ILIKE '%%'
+          AND q.ntDescripcionAcabado ILIKE '%%' AND op.CoddocOrdenProduccion ILIKE '%%')"""
 
 
-def _quality_statements() -> dict[str, str]:
+def _quality_statements() -> dict[str, Sql]:
     metrics = ["DENSIDAD", "ANCHO_ACABADO", "REVIRADO", "ENCOG_ANCHO", "ENCOG_LARGO"]
     values = " UNION ALL ".join(f"SELECT '{m}' AS metric, \"{m}\" AS x FROM calidad" for m in metrics)
     step = "((hi - lo) / 30.0::DOUBLE)"
@@ -432,11 +450,7 @@ def _quality_statements() -> dict[str, str]:
         "csv_roundtrip": listing,
         "qc_report_filtered": _statement(
             "SELECT * FROM calidad",
-            _quality(
-                Q.PLANNED,
-                "cl.NommaeAnexoCliente ILIKE '%building%' AND i.NommaeItemInventario ILIKE '%WIDGET%' "
-                "AND co.nommaecolor ILIKE '%o%'",
-            ),
+            _quality(Q.PLANNED, cliente="building", tela="WIDGET", color="o"),
         ),
         "qc_histogram": _statement(
             """SELECT b.metric AS "METRIC", CAST(b.i AS INTEGER) AS "BIN", b.desde AS "DESDE", b.hasta AS "HASTA",
@@ -449,7 +463,7 @@ def _quality_statements() -> dict[str, str]:
     }
 
 
-def _schedule_statements() -> dict[str, str]:
+def _schedule_statements() -> dict[str, Sql]:
     elapsed = f"floor(date_diff('second', r.Fecha_Inicial_Programada, TIMESTAMP '{Q.TODAY}') / 86400.0)"
     plan = f"""
     plan AS (
@@ -487,7 +501,7 @@ def _schedule_statements() -> dict[str, str]:
 
 # --- single operators ---------------------------------------------------------------------
 
-def _operator_statements() -> dict[str, str]:
+def _operator_statements() -> dict[str, Sql]:
     share = _ratio("dCantidad", "(id % 7) * 50000")
     sales = "SELECT IdDocumento_OrdenVenta, CoddocOrdenVenta, nvDocumentoReferencia FROM docOrdenVenta"
     notes = "SELECT IdDocumento_NotaInventario, dtFechaRegistro FROM docNotaInventario"
@@ -517,8 +531,8 @@ def _operator_statements() -> dict[str, str]:
         ),
         "agg_masked_sum": _statement(
             'SELECT op.IdmaeAnexo_Cliente, CAST(SUM(i.dCantidadProgramado) AS DOUBLE) AS "TOTAL", '
-            'CAST(SUM(CASE op.bCerrado WHEN 1 THEN i.dCantidadRequerido ELSE 0 END) AS DOUBLE) AS "CERRADO", '
-            "CAST(SUM(CASE op.bCierreAprobado WHEN 1 THEN i.dCantidadProgramado * 0.9 ELSE 0 END) AS DOUBLE) AS "
+            'CAST(SUM(op.bCerrado * i.dCantidadRequerido) AS DOUBLE) AS "CERRADO", '
+            "CAST(SUM(op.bCierreAprobado * i.dCantidadProgramado * 0.9) AS DOUBLE) AS "
             '"APROBADO" FROM docOrdenProduccion op JOIN docOrdenProduccionItem i USING (IdDocumento_OrdenProduccion) '
             "GROUP BY ALL"
         ),
@@ -544,8 +558,9 @@ def _operator_statements() -> dict[str, str]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    return (
+def oracle_sql(derived: bool = True) -> dict[str, str]:
+    """Query name to SQL over the star schema or, if not ``derived``, over stored garment tables."""
+    statements = (
         _operator_statements()
         | _order_statements()
         | _process_statements()
@@ -553,3 +568,4 @@ def oracle_sql() -> dict[str, str]:
         | _quality_statements()
         | _schedule_statements()
     )
+    return {name: sql.text(derived) for name, sql in statements.items()}

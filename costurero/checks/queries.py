@@ -235,8 +235,13 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+def run(name: str, tables: Tables) -> DataFrame:
+    """The named query over any garment tables."""
+    return _floats(_QUERIES[name](tables))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def bind(query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, folder: _floats(query(tables_of(spark, folder)))
+    def bind(name: str) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda spark, folder: run(name, tables_of(spark, folder))
 
-    return {name: bind(query) for name, query in _QUERIES.items()}
+    return {name: bind(name) for name in _QUERIES}

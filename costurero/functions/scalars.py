@@ -20,9 +20,19 @@ def day_of_text(text: Column) -> Column:
     return text.try_cast("date")
 
 
+def seconds_between(start: Column, end: Column) -> Column:
+    """Seconds on the clock from ``start`` to ``end``, whatever the session's time zone."""
+
+    def of_day(moment: Column) -> Column:
+        return F.hour(moment) * 3600 + F.minute(moment) * 60 + F.second(moment)
+
+    days = F.date_diff(F.to_date(end), F.to_date(start)).cast("bigint")
+    return days * 86400 + of_day(end) - of_day(start)
+
+
 def days_between(start: Column, end: Column) -> Column:
     """Days from ``start`` to ``end``, to the nearest whole day."""
-    return F.round(F.timestamp_diff("SECOND", start, end) / F.lit(86400.0)).cast("int")
+    return F.round(seconds_between(start, end) / F.lit(86400.0)).cast("int")
 
 
 def ratio(part: Column, total: Column) -> Column:

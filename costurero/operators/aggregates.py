@@ -13,8 +13,11 @@ QTY = "decimal(28,4)"
 
 
 def masked_sum(flag: Column, value: Column) -> Column:
-    """Sum of ``value`` over the rows whose 0/1 ``flag`` is set."""
-    return F.sum(flag * value)
+    """Sum of ``flag * value`` for a 0/1 flag, without the cost of a decimal product.
+
+    Rows with a null flag do not count; a group without other rows sums to null.
+    """
+    return F.sum(F.when(flag == 1, value).when(flag == 0, F.lit(0).cast(QTY)))
 
 
 def sorted_list(column: str, separator: str = ", ") -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from costurero.functions import filters as P
 from costurero.functions import scalars as S
 from costurero.operators.aggregates import QTY, append_total, masked_sum, totals
-from costurero.operators.joins import with_master
+from costurero.operators.joins import filter_join, with_master
 from costurero.plans import constants as K
 from costurero.sources.registry import Tables
 
@@ -33,21 +33,12 @@ VARIANTS: dict[str, dict] = {
 }
 
 
-def required_kilos(tables: Tables) -> DataFrame:
-    """Fabric kilos asked for per garment order."""
-    return (
-        tables["docOrdenVentaItem"]
-        .where(P.positive("IdDocumento_Referencia"))
-        .groupBy("IdDocumento_Referencia")
-        .agg(F.sum("dCantidad").cast(QTY).alias("KG"))
-    )
-
-
 def fabric_kilos(tables: Tables, skip_void: bool) -> DataFrame:
-    """Kilos assembled, dispatched, dyed and approved per garment order.
+    """Kilos required, assembled, dispatched, dyed and approved per garment order.
 
-    Fabric orders and their dyeing steps meet the production items per production order;
-    the result, per fabric order and item, meets the order items that ask for it.
+    Production items meet their fabric order and its dyeing steps per production order. The
+    result, per fabric order and item, meets the order items that ask for it; those also give
+    the required kilos, whether or not anything was produced for them.
     """
     steps = (
         tables["docOrdenProduccionRuta"]
@@ -69,77 +60,41 @@ def fabric_kilos(tables: Tables, skip_void: bool) -> DataFrame:
         .join(steps, F.col("_op") == F.col("_step_op"))
         .groupBy("_fabric", F.col("IdmaeItem").alias("_item"))
         .agg(
-            F.sum((programmed * steps_n).cast(QTY)).cast(QTY).alias("_armed"),
+            _sum(programmed * steps_n).alias("_armed"),
             masked_sum(F.col("bCerrado"), (required * steps_n).cast(QTY)).cast(QTY).alias("_sent"),
-            F.sum((programmed * F.col("_steps_closed")).cast(QTY)).cast(QTY).alias("_dyed"),
+            _sum(programmed * F.col("_steps_closed")).alias("_dyed"),
             masked_sum(F.col("bCierreAprobado"), (programmed * steps_n).cast(QTY)).cast(QTY).alias("_approved"),
         )
     )
     asked = (
         tables["docOrdenVentaItem"]
-        .groupBy("IdDocumento_OrdenVenta", "IdmaeItem", "IdDocumento_Referencia")
-        .agg(F.count("*").alias("_times"))
+        .groupBy("IdDocumento_OrdenVenta", "IdmaeItem", F.col("IdDocumento_Referencia").alias("_fabric_for"))
+        .agg(F.count("*").alias("_times"), F.sum("dCantidad").alias("_asked"))
     )
-
-    def total(column: str) -> Column:
-        return F.sum((F.col(column) * F.col("_times")).cast(QTY)).cast(QTY)
-
+    times = F.col("_times")
     return (
         asked.join(
             per_item,
             (F.col("IdDocumento_OrdenVenta") == F.col("_fabric")) & (F.col("IdmaeItem") == F.col("_item")),
+            "left",
         )
-        .groupBy("IdDocumento_Referencia")
+        .groupBy("_fabric_for")
         .agg(
-            total("_armed").alias("KG_ARM"),
-            total("_sent").alias("KG_PRODUC"),
-            total("_dyed").alias("KG_TEÑIDOS"),
-            (total("_approved") * F.lit(Decimal(K.APPROVED_SHARE))).alias("KG_APROB_D"),
+            F.sum(F.when(P.positive("_fabric_for"), F.col("_asked"))).cast(QTY).alias("KG"),
+            _sum(F.col("_armed") * times).alias("KG_ARM"),
+            _sum(F.col("_sent") * times).alias("KG_PRODUC"),
+            _sum(F.col("_dyed") * times).alias("KG_TEÑIDOS"),
+            (_sum(F.col("_approved") * times) * F.lit(Decimal(K.APPROVED_SHARE))).alias("KG_APROB_D"),
         )
     )
 
 
-def garment_units(tables: Tables, orders: DataFrame, open_only: bool) -> DataFrame:
-    """Units programmed, cut and sewn per sales order of ``orders`` (its ``_order`` column)."""
-    production = P.where_equal(
-        tables["docOrdenProduccion"],
-        bCerrado=0 if open_only else None,
-        bAnulado=0,
-        IdtdDocumentoForm=K.FORM_GARMENT_ORDER,
-    ).select(F.col("IdDocumento_OrdenProduccion").alias("_op"), F.col("IdDocumento_Referencia").alias("_ref"))
-    production = production.join(orders.select("_order"), F.col("_ref") == F.col("_order")).select("_op", "_order")
-
-    return (
-        _programmed(tables, production)
-        .unionByName(_cut_and_sewn(tables, production), allowMissingColumns=True)
-        .groupBy("_order")
-        .agg(*[F.sum(c).cast(QTY).alias(c) for c in ("PROG", "CORTADO", "COSIDO")])
-    )
+def _sum(value: Column) -> Column:
+    return F.sum(value.cast(QTY)).cast(QTY)
 
 
-def _programmed(tables: Tables, production: DataFrame) -> DataFrame:
-    routes = with_master(
-        P.where_equal(tables["docOrdenProduccionRuta"], IdmaeCentroCosto=K.CUTTING),
-        tables,
-        "maeCentroCosto",
-        "IdmaeCentroCosto",
-        where=F.col("bConOrdenProduccion") == 1,
-    )
-    steps = routes.groupBy(F.col("IdDocumento_OrdenProduccion").alias("_step_op")).agg(F.count("*").alias("_steps"))
-    items = (
-        tables["docOrdenProduccionItem"]
-        .groupBy(F.col("IdDocumento_OrdenProduccion").alias("_item_op"))
-        .agg(F.sum("dCantidadProgramado").alias("_units"))
-    )
-    return (
-        production.join(items, F.col("_op") == F.col("_item_op"))
-        .join(steps, F.col("_op") == F.col("_step_op"))
-        .groupBy("_order")
-        .agg(F.sum((F.col("_units") * F.col("_steps")).cast(QTY)).cast(QTY).alias("PROG"))
-    )
-
-
-def _cut_and_sewn(tables: Tables, production: DataFrame) -> DataFrame:
+def moved_units(tables: Tables) -> DataFrame:
+    """Units cut and sewn per production order and item, from the stock notes of both centres."""
     notes = with_master(
         P.where_equal(
             tables["docNotaInventario"],
@@ -152,42 +107,90 @@ def _cut_and_sewn(tables: Tables, production: DataFrame) -> DataFrame:
         "maeCentroCosto",
         "IdmaeCentroCosto",
         where=F.col("bConOrdenProduccion") == 1,
-    ).select(
-        "IdDocumento_NotaInventario", "IdDocumento_OrdenProduccion", "IddocOrdenProduccionRuta", "IdmaeCentroCosto"
     )
-    routes = tables["docOrdenProduccionRuta"].select(F.col("IddocOrdenProduccionRuta").alias("_route"))
+    notes = filter_join(notes, tables["docOrdenProduccionRuta"], "IddocOrdenProduccionRuta").select(
+        "IdDocumento_NotaInventario", F.col("IdDocumento_OrdenProduccion").alias("_moved_op"), "IdmaeCentroCosto"
+    )
     lines = (
         tables["docNotaInventarioItem"]
         .where(P.nonzero("dCantidadIng"))
-        .select(F.col("IdDocumento_NotaInventario").alias("_note"), "IdmaeItem_Inventario", "dCantidadIng")
+        .select(
+            F.col("IdDocumento_NotaInventario").alias("_note"),
+            F.col("IdmaeItem_Inventario").alias("_moved_item"),
+            "dCantidadIng",
+        )
     )
-    # One row per production order, item and centre, and the number of times the order lists the item.
+
+    def at(centre: int) -> Column:
+        return F.sum(F.when(F.col("IdmaeCentroCosto") == centre, F.col("dCantidadIng")))
+
     moved = (
-        notes.join(production, F.col("IdDocumento_OrdenProduccion") == F.col("_op"))
-        .join(routes, F.col("IddocOrdenProduccionRuta") == F.col("_route"))
-        .join(lines, F.col("IdDocumento_NotaInventario") == F.col("_note"))
-        .groupBy("_order", "_op", F.col("IdmaeItem_Inventario").alias("_item"), "IdmaeCentroCosto")
-        .agg(F.sum("dCantidadIng").alias("_units"))
-    )
-    listed = (
-        tables["docOrdenProduccionItem"]
-        .groupBy(F.col("IdDocumento_OrdenProduccion").alias("_item_op"), F.col("IdmaeItem").alias("_listed"))
-        .agg(F.count("*").alias("_times"))
+        notes.join(lines, F.col("IdDocumento_NotaInventario") == F.col("_note"))
+        .groupBy("_moved_op", "_moved_item")
+        .agg(at(K.CUTTING).alias("_cut"), at(K.SEWING).alias("_sewn"))
     )
-    counted = with_master(
-        moved.join(listed, (F.col("_op") == F.col("_item_op")) & (F.col("_item") == F.col("_listed"))),
+    return with_master(
+        moved,
         tables,
         "maeItemInventario",
-        "_item",
+        "_moved_item",
         "IdmaeItem_Inventario",
         where=F.col("IdtdItemForm") == K.ITEM_FORM,
     )
-    units = (F.col("_units") * F.col("_times")).cast(QTY)
 
-    def at(centre: int) -> Column:
-        return F.sum(F.when(F.col("IdmaeCentroCosto") == centre, units)).cast(QTY)
 
-    return counted.groupBy("_order").agg(at(K.CUTTING).alias("CORTADO"), at(K.SEWING).alias("COSIDO"))
+def garment_units(tables: Tables, open_only: bool) -> DataFrame:
+    """Units programmed, cut and sewn per sales order (``_units_for``).
+
+    Items of a production order are reduced to one row each with the number of times they are
+    listed; cut and sewn units count once per listing, programmed units once per cutting step.
+    """
+    items = (
+        tables["docOrdenProduccionItem"]
+        .groupBy("IdDocumento_OrdenProduccion", "IdmaeItem")
+        .agg(F.sum("dCantidadProgramado").alias("_programmed"), F.count("*").alias("_times"))
+    )
+    times = F.col("_times")
+    per_op = (
+        items.join(
+            moved_units(tables),
+            (F.col("IdDocumento_OrdenProduccion") == F.col("_moved_op")) & (F.col("IdmaeItem") == F.col("_moved_item")),
+            "left",
+        )
+        .groupBy(F.col("IdDocumento_OrdenProduccion").alias("_units_op"))
+        .agg(
+            _sum(F.col("_programmed")).alias("_programmed"),
+            _sum(F.col("_cut") * times).alias("_cut"),
+            _sum(F.col("_sewn") * times).alias("_sewn"),
+        )
+    )
+    steps = (
+        with_master(
+            P.where_equal(tables["docOrdenProduccionRuta"], IdmaeCentroCosto=K.CUTTING),
+            tables,
+            "maeCentroCosto",
+            "IdmaeCentroCosto",
+            where=F.col("bConOrdenProduccion") == 1,
+        )
+        .groupBy(F.col("IdDocumento_OrdenProduccion").alias("_step_op"))
+        .agg(F.count("*").alias("_steps"))
+    )
+    production = P.where_equal(
+        tables["docOrdenProduccion"],
+        bCerrado=0 if open_only else None,
+        bAnulado=0,
+        IdtdDocumentoForm=K.FORM_GARMENT_ORDER,
+    ).select(F.col("IdDocumento_OrdenProduccion").alias("_op"), F.col("IdDocumento_Referencia").alias("_units_for"))
+    return (
+        production.join(per_op, F.col("_op") == F.col("_units_op"))
+        .join(steps, F.col("_op") == F.col("_step_op"), "left")
+        .groupBy("_units_for")
+        .agg(
+            _sum(F.col("_programmed") * F.col("_steps")).alias("PROG"),
+            _sum(F.col("_cut")).alias("CORTADO"),
+            _sum(F.col("_sewn")).alias("COSIDO"),
+        )
+    )
 
 
 def order_progress(
@@ -234,20 +237,16 @@ def order_progress(
     )
 
     # Units belong to every order with the same code, whatever its form.
-    coded = tables["docOrdenVenta"].select(
-        F.col("IdDocumento_OrdenVenta").alias("_order"), F.col("CoddocOrdenVenta").alias("_code")
-    )
-    coded = coded.join(chosen.select(F.col("PEDIDO").alias("_code")), "_code", "left_semi")
-    units = garment_units(tables, coded, how["open_only"])
-    produced = coded.join(units, "_order", "left").select(
-        "_code", *[F.coalesce(F.col(c), F.lit(0).cast(QTY)).alias(c) for c in ("PROG", "CORTADO", "COSIDO")]
+    units = garment_units(tables, how["open_only"])
+    produced = (
+        tables["docOrdenVenta"]
+        .select("IdDocumento_OrdenVenta", F.col("CoddocOrdenVenta").alias("_code"))
+        .join(units, F.col("IdDocumento_OrdenVenta") == F.col("_units_for"), "left")
+        .select("_code", *[F.coalesce(F.col(c), F.lit(0).cast(QTY)).alias(c) for c in ("PROG", "CORTADO", "COSIDO")])
     )
-
-    required = required_kilos(tables).withColumnRenamed("IdDocumento_Referencia", "_required_for")
-    fabric = fabric_kilos(tables, how["skip_void_fabric"]).withColumnRenamed("IdDocumento_Referencia", "_fabric_for")
+    fabric = fabric_kilos(tables, how["skip_void_fabric"])
     joined = (
-        chosen.join(required, F.col("_id") == F.col("_required_for"), "left")
-        .join(fabric, F.col("_id") == F.col("_fabric_for"), "left")
+        chosen.join(fabric, F.col("_id") == F.col("_fabric_for"), "left")
         .join(produced, F.col("PEDIDO") == F.col("_code"), "left")
         .withColumn("KG", F.coalesce(F.col("KG"), F.lit(0).cast(QTY)))
     )

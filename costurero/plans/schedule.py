@@ -24,7 +24,7 @@ def schedule(tables: Tables, today: datetime | date | str, pedido: int | None =
     steps = tables["Proceso"]
     start, days, done = F.col("Fecha_Inicial_Programada"), F.col("Tiempo"), F.col("Porcentaje_Avance")
     began, ended = F.col("Fecha_Inicial_Real"), F.col("Fecha_Final_Real")
-    elapsed = F.floor(F.timestamp_diff("SECOND", start, now) / F.lit(86400))
+    elapsed = F.floor(S.seconds_between(start, now) / F.lit(86400))
     share = S.ratio(elapsed, days) * 100
     expected = F.when(elapsed < 0, F.lit(0.0)).when(share > 100, F.lit(100.0)).otherwise(share)
     shown = F.when(done.cast("double") < F.col("PCT_ESPERADO"), done.cast("double")).when(

@@ -99,20 +99,22 @@ TEXTS: dict[str, str] = {
         SELECT (o_orderkey * 2 + 3) * 4 + 2, o_orderkey * 2 + 3, 12, CAST(1 + o_orderkey % 5 AS INT),
                CASE WHEN o_orderstatus <> 'O' THEN 1 ELSE 0 END
         FROM {orders}""",
+    # flags are single letters; the greatest letter is taken by its code, which aggregates by hash
     "notaBase": """
-        SELECT l_orderkey, l_linenumber, MIN(l_shipdate) AS shipdate, MAX(l_returnflag) AS rf, MAX(l_linestatus) AS ls
+        SELECT l_orderkey, l_linenumber, MIN(l_shipdate) AS shipdate,
+               MAX(ascii(l_returnflag)) AS rf, MAX(ascii(l_linestatus)) AS ls
         FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
     "docNotaInventario": """
         SELECT (l_orderkey * 8 + l_linenumber) * 2 AS IdDocumento_NotaInventario,
                l_orderkey * 2 + 2 AS IdDocumento_OrdenProduccion, (l_orderkey * 2 + 2) * 4 AS IddocOrdenProduccionRuta,
-               29 AS IdmaeCentroCosto, 131 AS IdtdDocumentoForm, CASE WHEN rf = 'R' THEN 1 ELSE 0 END AS bDevolucion,
+               29 AS IdmaeCentroCosto, 131 AS IdtdDocumentoForm, CASE WHEN rf = ascii('R') THEN 1 ELSE 0 END AS bDevolucion,
                0 AS bDesactivado, CASE WHEN l_orderkey % 33 = 4 THEN 1 ELSE 0 END AS bAnulado,
                shipdate + INTERVAL '1' HOUR * CAST(l_orderkey % 24 AS INT) AS dtFechaRegistro
         FROM {notaBase}
         UNION ALL
         SELECT (l_orderkey * 8 + l_linenumber) * 2 + 1, l_orderkey * 2 + 2, (l_orderkey * 2 + 2) * 4 + 1, 47, 131,
-               CASE WHEN rf = 'R' THEN 1 ELSE 0 END, 0, 0, shipdate + INTERVAL '1' HOUR * CAST(l_orderkey % 24 AS INT)
-        FROM {notaBase} WHERE ls = 'F'""",
+               CASE WHEN rf = ascii('R') THEN 1 ELSE 0 END, 0, 0, shipdate + INTERVAL '1' HOUR * CAST(l_orderkey % 24 AS INT)
+        FROM {notaBase} WHERE ls = ascii('F')""",
     "docNotaInventarioItem": """
         SELECT (l_orderkey * 8 + l_linenumber) * 2 AS IdDocumento_NotaInventario, l_partkey AS IdmaeItem_Inventario,
                CAST(CASE WHEN l_partkey % 11 = 0 THEN 0 ELSE l_quantity * 8 END AS DECIMAL(18,4)) AS dCantidadIng
@@ -186,8 +188,8 @@ TEXTS: dict[str, str] = {
         SELECT l_orderkey AS Id_Pedido, l_linenumber AS Id_Proceso, CAST(MAX(l_quantity) AS INT) AS Tiempo,
                MIN(l_shipdate) AS Fecha_Inicial_Programada,
                CASE WHEN MAX(l_tax) > 0.03 THEN MIN(l_shipdate) + INTERVAL '2' DAY END AS Fecha_Inicial_Real,
-               CASE WHEN MAX(l_linestatus) = 'F' THEN MAX(l_shipdate) + INTERVAL '9' DAY END AS Fecha_Final_Real,
-               CAST(CASE WHEN MAX(l_linestatus) = 'F' THEN 100 ELSE MAX(l_discount) * 1000 END AS INT) AS Porcentaje_Avance
+               CASE WHEN MAX(ascii(l_linestatus)) = ascii('F') THEN MAX(l_shipdate) + INTERVAL '9' DAY END AS Fecha_Final_Real,
+               CAST(CASE WHEN MAX(ascii(l_linestatus)) = ascii('F') THEN 100 ELSE MAX(l_discount) * 1000 END AS INT) AS Porcentaje_Avance
         FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
 }
 
