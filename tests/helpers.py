@@ -113,7 +113,7 @@ def random_rows(seed: int = 7, size: int = 600) -> dict[str, list[dict]]:
         )
     for i in range(1, size * 3 + 1):
         rows["docNotaInventario"].append(
-            dict(IdDocumento_NotaInventario=i, IdDocumento_OrdenProduccion=rnd.randrange(size),
+            dict(IdDocumento_NotaInventario=i, IdDocumento_OrdenProduccion=hot(size),
                  IddocOrdenProduccionRuta=hot(routes), IdmaeCentroCosto=rnd.choice([29, 47, 12]),
                  IdtdDocumentoForm=131 if flag(0.9) else 130, bDevolucion=flag(0.1), bDesactivado=flag(0.05),
                  bAnulado=flag(0.05), dtFechaRegistro=moment())
