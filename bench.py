@@ -44,12 +44,16 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    spark.read.parquet(f"{folder}/orders.parquet").groupBy("o_orderstatus").count().collect()  # warm the JVM
     registered = queries()
     times = {}
+    # Setting up the session and the tables is timed apart.
+    began = time.perf_counter()
+    registered["scan_counts"](spark, folder).collect()
+    setup = round(time.perf_counter() - began, 3)
     for name in chosen:
         began = time.perf_counter()
         registered[name](spark, folder).write.format("noop").mode("overwrite").save()
@@ -61,6 +65,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
+                "setup": setup,
                 "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
             }
         )

@@ -46,16 +46,19 @@ def percent_histogram(df: DataFrame, metrics: Mapping[str, str], bins: int = 30)
         .when((F.col("_x") >= edge(i + 1)) & (i != bins - 1), i + 1)
         .otherwise(i)
     )
+    # A metric's counts, at most one per bin, meet again in one row, which then gives every bin.
     counts = (
         values.join(F.broadcast(bounds), "METRIC")
         .withColumn("_guess", guess)
-        .groupBy("METRIC", placed.alias("BIN"))
+        .groupBy("METRIC", "_total", "_lo", "_hi", "_step", placed.alias("_bin"))
         .agg(F.count("*").alias("_n"))
+        .groupBy("METRIC", "_total", "_lo", "_hi", "_step")
+        .agg(F.map_from_entries(F.collect_list(F.struct("_bin", "_n"))).alias("_counts"))
+        .withColumn("BIN", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     )
-    frame = bounds.withColumn("BIN", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    n = F.coalesce(F.col("_n"), F.lit(0))
     b = F.col("BIN")
-    return frame.join(counts, ["METRIC", "BIN"], "left").select(
+    n = F.coalesce(F.try_element_at("_counts", b), F.lit(0))
+    return counts.select(
         "METRIC",
         "BIN",
         edge(b).alias("DESDE"),

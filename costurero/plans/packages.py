@@ -6,7 +6,7 @@ the far more numerous lines then meet them once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costurero.functions import filters as P
@@ -25,14 +25,20 @@ _KINDS = {
 }
 
 
-def heads(tables: Tables, os: str | None = None) -> DataFrame:
-    """Cutting service orders with the documents they refer to, once per raw material."""
+def heads(tables: Tables, os: str | None = None, material: Column | None = None) -> DataFrame:
+    """Cutting service orders with the documents they refer to.
+
+    Once per raw material; or, given an aggregate ``material`` over the ``MP`` of an order, once
+    per order with its value, so that an order of many materials goes on as one row.
+    """
     parts = []
-    for kind, (head, code, _, material, key) in _KINDS.items():
+    for kind, (head, code, _, used, key) in _KINDS.items():
         orders = P.by_key(P.where_equal(tables[head], IdmaeCentroCosto=K.CUTTING), code, os)
-        materials = tables[material].select(
+        materials = tables[used].select(
             F.col(key).alias("_material_of"), S.last_chars(F.col("ntDescripcion")).alias("MP")
         )
+        if material is not None:
+            materials = materials.groupBy("_material_of").agg(material.alias("MP"))
         parts.append(
             orders.join(materials, F.col(key) == F.col("_material_of")).select(
                 F.lit(kind).alias("_kind"),
@@ -105,7 +111,7 @@ def size_quantities(tables: Tables, os: str | None = None) -> DataFrame:
     A line repeats once per raw material of its order. Only these counts go on, so an order
     of any number of lines stays a few rows.
     """
-    counted = heads(tables, os).groupBy("_kind", "_id", "OS").agg(F.count("*").alias("_times"))
+    counted = heads(tables, os, F.count("*")).groupBy("_kind", "_id", "OS").agg(F.sum("MP").alias("_times"))
     return (
         _meet(lines(tables), counted)
         .groupBy("OS", "ORDEN_TALLA", F.trim("TALLA").alias("TALLA"), S.whole(F.col("CANTIDAD")).alias("_units"))
@@ -145,7 +151,16 @@ _HEADER = ["PEDIDO", "CLIENTE", "PO", "OP", "ESTILO", "COMBO", "OBS", "MP"]
 
 
 def packages_header(tables: Tables, os: str | None = None) -> DataFrame:
-    """The heading of each service order: that of its last line, by size, item and combo."""
-    rows = _meet(lines(tables), heads(tables, os))
-    last = F.max(F.struct("ORDEN_TALLA", "_item", "_combo", *_HEADER)).alias("_last")
-    return rows.groupBy("OS").agg(last).select("OS", *[f"_last.{c}" for c in _HEADER])
+    """The heading of each service order: that of its last line, by size, item and combo.
+
+    Lines are reduced to the last one of each order before they meet the headings.
+    """
+    last = F.max(F.struct("ORDEN_TALLA", "_item", "_combo", "ESTILO", "COMBO")).alias("_line")
+    last_lines = lines(tables).groupBy("_line_kind", "_line_id").agg(last)
+    rows = _meet(last_lines, heads(tables, os, F.max("MP"))).select(
+        "OS",
+        *[F.col(f"_line.{c}") for c in ("ORDEN_TALLA", "_item", "_combo", "ESTILO", "COMBO")],
+        *[c for c in _HEADER if c not in ("ESTILO", "COMBO")],
+    )
+    heading = F.max(F.struct("ORDEN_TALLA", "_item", "_combo", *_HEADER)).alias("_last")
+    return rows.groupBy("OS").agg(heading).select("OS", *[f"_last.{c}" for c in _HEADER])
