@@ -90,6 +90,8 @@ def random_rows(seed: int = 7, size: int = 600) -> dict[str, list[dict]]:
                  dtFechaEntrega=datetime(2000, 6, 1) + timedelta(days=rnd.randrange(-400, 400)),
                  nvDocumentoReferencia=maybe(f"P{i}"))
         )
+    for i, op in enumerate(rows["docOrdenProduccion"][:40]):  # open garment orders of every client
+        op.update(IdtdDocumentoForm=127, bCerrado=0, bAnulado=0, IdmaeAnexo_Cliente=i % 20 + 1)
     routes = size * 2
     for i in range(1, routes + 1):
         rows["docOrdenProduccionRuta"].append(
