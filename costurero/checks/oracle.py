@@ -185,6 +185,11 @@ def _sum_or_null(column: str) -> str:
     return f'CAST(SUM("{column}") AS BIGINT) AS "{column}"'
 
 
+def _totals(columns: list[str], where: str = "TRUE") -> str:
+    cells = [f"'Total' AS \"{c}\"" if c in _TEXTS | _DATES else _sum_or_null(c) for c in columns]
+    return f"SELECT {', '.join(cells)} FROM progreso WHERE {where}"
+
+
 def _with_total(columns: list[str], where: str = "TRUE") -> str:
     sums = ", ".join(_sum_or_null(c) for c in columns)
     return (
@@ -199,7 +204,6 @@ def _order_statements() -> dict[str, Sql]:
     planned = _orders(Q.PLANNED, "planned", po="po")
     delivery = _orders(Q.EVER, "delivery")
     status = _orders(Q.EVER, "status")
-    totals = [c for c in ORDER_COLUMNS["delivery"] if c not in _TEXTS | _DATES]
     counts = ", ".join(f"COUNT(*) FILTER (WHERE {w}) AS {n.upper()}" for n, w in _TODO.items())
     codes = ["PED00000010", "PED00000016", "PED00000700"]
     out = {
@@ -211,11 +215,12 @@ def _order_statements() -> dict[str, Sql]:
         "orders_status_pct": _statement(f"SELECT {_names(_STATUS_OUTPUT)} FROM progreso", status),
         "orders_with_total": _statement(_with_total(ORDER_COLUMNS["planned"]), planned),
         "orders_status_with_total": _statement(_with_total(ORDER_COLUMNS["status"]), status),
-        "orders_totals": _statement(f"SELECT {', '.join(_sum_or_null(c) for c in totals)} FROM progreso", delivery),
+        "orders_totals": _statement(_totals(ORDER_COLUMNS["delivery"]), delivery),
         "orders_counts": _statement(f'SELECT COUNT(*) AS "PEDIDOS", {counts} FROM progreso', planned),
     }
     for name, where in _TODO.items():
         out[f"orders_{name}"] = _statement(_with_total(LIST_COLUMNS["kilos"][name], where), planned)
+        out[f"orders_{name}_totals"] = _statement(_totals(LIST_COLUMNS["kilos"][name], where), delivery)
         out[f"orders_status_{name}"] = _statement(_with_total(LIST_COLUMNS["status"][name], where), status)
     return out
 

@@ -207,6 +207,9 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "orders_with_total": lambda t: OP.with_total(orders_planned(t), "planned"),
     "orders_status_with_total": lambda t: OP.with_total(orders_status_pct(t), "status"),
     "orders_totals": lambda t: OP.order_totals(orders_progress_delivery(t)),
+    "orders_to_assemble_totals": lambda t: OP.sub_list_totals(orders_progress_delivery(t), "to_assemble"),
+    "orders_to_dye_totals": lambda t: OP.sub_list_totals(orders_progress_delivery(t), "to_dye"),
+    "orders_to_dispatch_totals": lambda t: OP.sub_list_totals(orders_progress_delivery(t), "to_dispatch"),
     "orders_counts": lambda t: OP.order_counts(orders_planned(t)),
     "orders_to_assemble": lambda t: OP.sub_list(orders_planned(t), "to_assemble"),
     "orders_to_dye": lambda t: OP.sub_list(orders_planned(t), "to_dye"),

@@ -36,6 +36,14 @@ def totals(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     return df.agg(*[F.sum(F.col(c)).alias(c) for c in names])
 
 
+def totals_table(df: DataFrame, columns: list[str], label: str = "Total") -> DataFrame:
+    """One row for the chosen columns: sums where numeric, ``label`` elsewhere."""
+    numeric = set(numeric_columns(df))
+    return totals(df, columns).select(
+        *[F.col(c) if c in numeric else F.lit(label).alias(c) for c in columns]
+    )
+
+
 def append_total(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """The chosen columns plus a grand-total row, told apart by ``is_total``."""
     body = df.select(*columns) if columns is not None else df

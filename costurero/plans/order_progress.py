@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from costurero.functions import filters as P
 from costurero.functions import scalars as S
-from costurero.operators.aggregates import QTY, append_total, masked_sum, totals
+from costurero.operators.aggregates import QTY, append_total, masked_sum, totals_table
 from costurero.operators.joins import filter_join, with_master
 from costurero.plans import constants as K
 from costurero.sources.registry import Tables
@@ -329,9 +329,16 @@ def sub_list_condition(name: str) -> Column:
     }[name]()
 
 
-def sub_list(progress: DataFrame, name: str, view: str = "kilos") -> DataFrame:
-    """Orders still to assemble, to dye or to dispatch, with their grand total."""
-    return append_total(progress.where(sub_list_condition(name)), K.LIST_COLUMNS[view][name])
+def sub_list(progress: DataFrame, name: str, view: str = "kilos", total: bool = True) -> DataFrame:
+    """Orders still to assemble, to dye or to dispatch, with or without their grand total."""
+    columns = K.LIST_COLUMNS[view][name]
+    rows = progress.where(sub_list_condition(name))
+    return append_total(rows, columns) if total else rows.select(*columns)
+
+
+def sub_list_totals(progress: DataFrame, name: str, view: str = "kilos") -> DataFrame:
+    """The grand total of a sub-list, alone."""
+    return totals_table(progress.where(sub_list_condition(name)), K.LIST_COLUMNS[view][name])
 
 
 def with_total(progress: DataFrame, variant: str) -> DataFrame:
@@ -340,8 +347,8 @@ def with_total(progress: DataFrame, variant: str) -> DataFrame:
 
 
 def order_totals(progress: DataFrame, variant: str = "delivery") -> DataFrame:
-    """The grand totals of the page's main table, alone."""
-    return totals(progress, K.ORDER_COLUMNS[variant])
+    """The grand total of the page's main table, alone."""
+    return totals_table(progress, K.ORDER_COLUMNS[variant])
 
 
 def order_counts(progress: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from costurero.functions import scalars as S
-from costurero.operators.aggregates import append_total, masked_sum, totals
+from costurero.operators.aggregates import append_total, masked_sum, totals, totals_table
 
 
 def one(spark, column):
@@ -82,6 +82,7 @@ def test_masked_sum(spark):
 def test_totals_skip_nulls_and_are_told_apart(spark):
     df = spark.createDataFrame([("a", 1, 2.5), ("b", None, 1.5), ("c", 4, None)], "code string, n int, x double")
     assert tuple(totals(df).first()) == (5, 4.0)
+    assert tuple(totals_table(df, ["n", "code"]).first()) == (5, "Total")
     rows = append_total(df, ["code", "n"]).collect()
     assert [tuple(r) for r in rows if r.is_total] == [(None, 5, 1)]
     assert len(rows) == 4
