@@ -12,6 +12,7 @@ from costurero.functions import filters as P
 from costurero.functions import scalars as S
 from costurero.operators.aggregates import QTY, masked_sum
 from costurero.operators.joins import filter_join
+from costurero.operators.pivots import column
 from costurero.plans import cut_by_client as CC
 from costurero.plans import cut_progress as CP
 from costurero.plans import fabric_quality as FQ
@@ -50,8 +51,7 @@ def _floats(df: DataFrame) -> DataFrame:
     """Decimals as doubles, the form in which the pages' frames hold quantities."""
     return df.select(
         *[
-            F.col(f"`{f.name}`").cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType)
-            else F.col(f"`{f.name}`")
+            column(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else column(f.name)
             for f in df.schema.fields
         ]
     )

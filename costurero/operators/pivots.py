@@ -8,36 +8,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def pivot_values(df: DataFrame, column: str) -> list[str]:
+def pivot_values(df: DataFrame, by: str) -> list[str]:
     """The distinct non-null values of a pivot column, in order.
 
     Only column names travel to the driver, and no more of them than the session
     allows a pivot to have; a pivot that would be wider is refused, never cut.
     """
     limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-    rows = df.where(F.col(column).isNotNull()).select(column).distinct().limit(limit + 1).collect()
+    rows = df.where(F.col(by).isNotNull()).select(by).distinct().limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} values; raise spark.sql.pivotMaxValues")
+        raise ValueError(f"{by} has more than {limit} values; raise spark.sql.pivotMaxValues")
     return sorted(r[0] for r in rows)
 
 
-def cell(column: str, value: str, measure: Column) -> Column:
+def column(name: str) -> Column:
+    """A column by its exact name, whatever signs a pivot value brought into it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def cell(by: str, value: str, measure: Column) -> Column:
     """``measure`` on the rows of one pivot value, null elsewhere."""
-    return F.when(F.col(column) == F.lit(value), measure)
+    return F.when(F.col(by) == F.lit(value), measure)
 
 
 def pivot_sums(
-    df: DataFrame, index: list[str], column: str, values: list[str], measures: Mapping[str, str]
+    df: DataFrame, index: list[str], by: str, values: list[str], measures: Mapping[str, str]
 ) -> DataFrame:
-    """Sum of several measures per pivot value, interleaved, absent cells 0, rows with a null index dropped.
+    """Sum of several measures per pivot value, interleaved, absent cells 0, rows with a null key dropped.
 
     ``measures`` maps a measure to its label pattern, e.g. ``{"Q_REQ": "{} (Req)"}``.
     One grouping with conditional sums, so the rows are combined before their only shuffle.
     """
-    for name in index:
+    for name in [*index, by]:
         df = df.where(F.col(name).isNotNull())
     cells = [
-        F.coalesce(F.sum(cell(column, v, F.col(m))), F.lit(0)).alias(pattern.format(v))
+        F.coalesce(F.sum(cell(by, v, F.col(m))), F.lit(0)).alias(pattern.format(v))
         for v in values
         for m, pattern in measures.items()
     ]

@@ -11,7 +11,7 @@ from costurero.functions import filters as P
 from costurero.functions import scalars as S
 from costurero.operators.aggregates import sorted_list
 from costurero.operators.joins import with_master
-from costurero.operators.pivots import cell, pivot_values
+from costurero.operators.pivots import cell, column, pivot_values
 from costurero.operators.reuse import materialize
 from costurero.plans import constants as K
 from costurero.sources.registry import Tables
@@ -69,26 +69,27 @@ def op_lists(orders: DataFrame) -> DataFrame:
 
 
 def cut_by_client(cells: DataFrame, clients: list[str] | None = None) -> DataFrame:
-    """A row per day; per client its units and ``<client>_OP`` list, and the day's ``TOTAL``.
+    """A row per day; per client its units and ``<client>_OP`` list, and their ``TOTAL``.
 
-    Absent cells are 0 and empty text. Without cells the result is empty with ``FECHA, TOTAL``.
+    Absent cells are 0 and empty text; cuts without a client name belong to no column. Without cells the result is empty with ``FECHA, TOTAL``.
     """
     if clients is None:
         cells = materialize(cells)
         clients = pivot_values(cells, "CLIENTE")
     by_day = cells.groupBy("DIA").agg(
         *[F.coalesce(F.sum(cell("CLIENTE", c, F.col("UNID"))), F.lit(0)).alias(c) for c in clients],
-        F.sum("UNID").alias("TOTAL"),
+        F.coalesce(F.sum(F.when(F.col("CLIENTE").isin(clients), F.col("UNID"))), F.lit(0)).alias("TOTAL"),
         *[F.coalesce(F.max(cell("CLIENTE", c, F.col("OPS"))), F.lit("")).alias(f"{c}_OP") for c in clients],
     )
     return by_day.orderBy("DIA").select(
-        S.day_text(F.col("DIA")).alias("FECHA"), *[F.col(f"`{c}`") for c in by_day.columns if c != "DIA"]
+        S.day_text(F.col("DIA")).alias("FECHA"), *[column(c) for c in by_day.columns if c != "DIA"]
     )
 
 
 def cut_by_client_kpis(orders: DataFrame) -> DataFrame:
     """Days with cuts, units, and units per such day (0 when there is none)."""
-    by_day = orders.groupBy("DIA").agg(F.sum("UNID").alias("_units"))
+    named = F.when(F.col("CLIENTE").isNotNull(), F.col("UNID"))
+    by_day = orders.groupBy("DIA").agg(F.sum(named).alias("_units"))
     total = by_day.agg(
         F.count("*").alias("DIAS"), F.coalesce(F.sum("_units"), F.lit(0)).alias("UNIDADES")
     )

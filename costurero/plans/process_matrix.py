@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from costurero.functions import filters as P
 from costurero.functions import scalars as S
 from costurero.operators.joins import filter_join, with_master
-from costurero.operators.pivots import pivot_sums, pivot_values
+from costurero.operators.pivots import column, pivot_sums, pivot_values
 from costurero.operators.reuse import materialize
 from costurero.sources.registry import Tables
 
@@ -99,4 +99,4 @@ def process_matrix(summary: DataFrame, processes: list[str] | None = None) -> Da
 
 def presentation(matrix: DataFrame) -> DataFrame:
     """The matrix as shown: quantities as text with thousands separators."""
-    return matrix.select(*INDEX, *[S.thousands(F.col(f"`{c}`")).alias(c) for c in matrix.columns if c not in INDEX])
+    return matrix.select(*INDEX, *[S.thousands(column(c)).alias(c) for c in matrix.columns if c not in INDEX])

@@ -125,11 +125,12 @@ def test_matrix_equals_pandas(spark):
          rnd.choice(["R", "N"]), rnd.choice(["CORTE", "COSTURA", "LAVADO"]), float(rnd.integers(50)), float(rnd.integers(50)))
         for _ in range(300)
     ]
-    rows += [("P9", "OP9", "A", None, "R", "CORTE", 1.0, 1.0)]  # a null index key drops out
+    # a null key drops out
+    rows += [("P9", "OP9", "A", None, "R", "CORTE", 1.0, 1.0), ("P8", "OP8", "A", "E1", "R", None, 1.0, 1.0)]
     frame = pd.DataFrame(rows, columns=[*INDEX, "PROCESO", "Q_REQ", "Q_PROD"])
     wide = frame.pivot_table(index=INDEX, columns="PROCESO", values=["Q_REQ", "Q_PROD"], aggfunc="sum", fill_value=0)
     got = process_matrix(summary_of(spark, rows))
-    processes = sorted(frame.PROCESO.unique())
+    processes = sorted(frame.PROCESO.dropna().unique())
     assert got.columns == INDEX + [f"{p} ({m})" for p in processes for m in ("Req", "Prod")]
     mine = {tuple(r)[:5]: tuple(r)[5:] for r in got.collect()}
     theirs = {

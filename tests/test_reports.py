@@ -192,6 +192,17 @@ def test_days_are_in_calendar_order_and_absent_cells_empty(spark):
     ]
 
 
+def test_cuts_without_a_client_name_are_in_no_column(spark):
+    orders = spark.createDataFrame(
+        [("2024-01-02", "C. `X`", "op1", 5), ("2024-01-02", None, "op2", 7), ("2024-01-03", None, "op3", 1)],
+        "DIA string, CLIENTE string, OP string, UNID bigint",
+    ).withColumn("DIA", F.to_date("DIA"))
+    got = CC.cut_by_client(CC.op_lists(orders))
+    assert got.columns == ["FECHA", "C. `X`", "TOTAL", "C. `X`_OP"]
+    assert [tuple(r) for r in got.collect()] == [("02-01-2024", 5, 5, "op1"), ("03-01-2024", 0, 0, "")]
+    assert tuple(CC.cut_by_client_kpis(orders).first()) == (2, 5, 2.5)
+
+
 def test_cut_progress_filters(spark):
     rows = merge(BASE, {"docOrdenVenta": [sale(1), sale(2, dtFechaPlanea=datetime(2024, 5, 31, 1))]},
                  garment(1, D(5)), garment(2, D(5)), {
