@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costurero.llm import toxicity
+from costurero.llm import contamination, lines, simhash, toxicity
 from costurero.llm.common import prepare, table
 
 
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+def op5_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Recurring lines dropped from every document."""
+    return lines.report(table(spark, folder, "documents"))
+
+
+def op8_contamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows found in every document."""
+    return contamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Score of every document, learned from the labelled ones."""
     prepare(spark)
@@ -17,6 +32,9 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": op3_simhash,
+    "op5_lines": op5_lines,
+    "op8_contamination": op8_contamination,
     "op9_toxicity": op9_toxicity,
 }
 
