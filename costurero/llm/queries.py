@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costurero.llm import contamination, lines, simhash, toxicity
+from costurero.llm import contamination, lines, packing, simhash, toxicity
 from costurero.llm.common import prepare, table
 
 
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's tokens packed into sequences."""
+    return packing.pack(table(spark, folder, "documents"))
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
@@ -32,6 +37,7 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op5_lines": op5_lines,
     "op8_contamination": op8_contamination,
