@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costurero.llm import contamination, lines, packing, passages, simhash, toxicity
+from costurero.llm import bytes_dedup, contamination, lines, packing, passages, simhash, toxicity
 from costurero.llm.common import prepare, table
 
 
@@ -25,6 +25,11 @@ def op5_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.report(table(spark, folder, "documents"))
 
 
+def op6_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of strings of 400 that occur again anywhere, removed from every document."""
+    return bytes_dedup.report(table(spark, folder, "documents"))
+
+
 def op7_passages(spark: SparkSession, folder: str) -> DataFrame:
     """Windows of fifty words that a document with a smaller doc_id has too, removed from every document."""
     return passages.report(table(spark, folder, "documents"))
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op5_lines": op5_lines,
+    "op6_suffix_array": op6_suffix_array,
     "op7_passages": op7_passages,
     "op8_contamination": op8_contamination,
     "op9_toxicity": op9_toxicity,
