@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costurero.llm import bytes_dedup, contamination, lines, packing, passages, simhash, toxicity
+from costurero.llm import bytes_dedup, contamination, lines, packing, passages, quality, simhash, toxicity
 from costurero.llm.common import prepare, table
 
 
@@ -20,6 +20,11 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Surface counts and the verdict of the n-gram ratio for every document."""
+    return quality.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Recurring lines dropped from every document."""
     return lines.report(table(spark, folder, "documents"))
@@ -49,6 +54,7 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op4_quality": op4_quality,
     "op5_lines": op5_lines,
     "op6_suffix_array": op6_suffix_array,
     "op7_passages": op7_passages,
