@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costurero.llm import bytes_dedup, contamination, lines, packing, passages, quality, simhash, toxicity
+from costurero.llm import bytes_dedup, contamination, lines, packing, passages, pii, quality, simhash, toxicity
 from costurero.llm.common import prepare, table
 
 
@@ -51,6 +51,11 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.detect(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op10_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with surrogates for the personal data in it; a deployment passes a secret key of its own."""
+    return pii.surrogates(table(spark, folder, "documents"), b"costurero")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_passages": op7_passages,
     "op8_contamination": op8_contamination,
     "op9_toxicity": op9_toxicity,
+    "op10_surrogates": op10_surrogates,
 }
 
 ORACLE_SQL: dict[str, str] = {}
