@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costurero.llm import bytes_dedup, contamination, lines, packing, passages, pii, quality, simhash, toxicity
+from costurero.llm import bytes_dedup, contamination, html_main, lines, packing, passages, pii, quality, simhash, toxicity
 from costurero.llm.common import prepare, table
 
 
+def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_main.extract(table(spark, folder, "pages"))
+
+
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's tokens packed into sequences."""
     return packing.pack(table(spark, folder, "documents"))
@@ -57,6 +62,7 @@ def op10_surrogates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_main_text": op1_main_text,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
