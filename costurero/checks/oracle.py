@@ -63,7 +63,9 @@ def _days(start: str, end: str) -> str:
 
 # --- sales orders -------------------------------------------------------------------------
 
-def _orders(span: tuple[str, str], variant: str, po: str = "", codes: list[str] | None = None) -> str:
+def _orders(
+    span: tuple[str, str], variant: str, po: str = "", codes: list[str] | None = None, code: str = "", client: str = ""
+) -> str:
     """CTEs that end in ``progreso``: one row per order of the page, every measure."""
     shown = "dtFechaEntrega" if variant == "delivery" else "dtFechaPlanea"
     fabric_void = "" if variant == "delivery" else "AND op.bAnulado = 0"
@@ -150,8 +152,8 @@ def _orders(span: tuple[str, str], variant: str, po: str = "", codes: list[str]
         LEFT JOIN unidades u ON u.codigo = v.CoddocOrdenVenta
         WHERE v.IdtdDocumentoForm = 10 AND v.IdtdTipoVenta = 4 AND v.bAnulado = 0 {delivery} {listed}
           AND CAST(v.{shown} AS DATE) BETWEEN DATE '{span[0]}' AND DATE '{span[1]}'
-          AND v.nvDocumentoReferencia ILIKE '%{po}%' AND v.CoddocOrdenVenta ILIKE '%%'
-          AND c.NommaeAnexoCliente ILIKE '%%')"""
+          AND v.nvDocumentoReferencia ILIKE '%{po}%' AND v.CoddocOrdenVenta ILIKE '%{code}%'
+          AND c.NommaeAnexoCliente ILIKE '%{client}%')"""
 
 
 _MAIN = [
@@ -212,6 +214,9 @@ def _order_statements() -> dict[str, Sql]:
         "orders_progress_list": _statement(
             f"SELECT {_names(_ORDER_OUTPUT)} FROM progreso", _orders(Q.EVER, "delivery", codes=codes)
         ),
+        "orders_searched": _statement(
+            f"SELECT {_names(_ORDER_OUTPUT)} FROM progreso", _orders(Q.EVER, "planned", code="ped0000", client="building")
+        ),
         "orders_status_pct": _statement(f"SELECT {_names(_STATUS_OUTPUT)} FROM progreso", status),
         "orders_with_total": _statement(_with_total(ORDER_COLUMNS["planned"]), planned),
         "orders_status_with_total": _statement(_with_total(ORDER_COLUMNS["status"]), status),
@@ -323,6 +328,9 @@ def _process_statements() -> dict[str, Sql]:
             f'SELECT "DIA", "CLIENTE", CAST(SUM(unid) AS BIGINT) AS "UNID", {lists} AS "OPS" FROM cortes GROUP BY ALL',
             _notes(Q.EVER),
         ),
+        "cut_orders": _statement(
+            'SELECT "DIA", "CLIENTE", "OP", CAST(SUM(unid) AS BIGINT) AS "UNID" FROM cortes GROUP BY ALL', _notes(Q.EVER)
+        ),
         "cut_by_client": _statement(
             f"SELECT strftime(\"DIA\", '%d-%m-%Y') AS \"FECHA\", {pivot}, CAST(SUM(unid) AS BIGINT) AS \"TOTAL\" "
             'FROM cortes GROUP BY "DIA"',
@@ -385,14 +393,12 @@ def _package_statements() -> dict[str, Sql]:
         FROM paquete WHERE resto - unidades > 0)"""
     header = ["PEDIDO", "CLIENTE", "PO", "OP", "ESTILO", "COMBO", "OBS", "MP"]
     ties = ", ".join(f'"{c}" DESC NULLS LAST' for c in header)
+    numbered = """SELECT "OS", row_number() OVER (PARTITION BY "OS" ORDER BY "ORDEN_TALLA", talla, q, copia, ini) AS "#",
+        talla AS "TALLA", unidades AS "CANTIDAD", ini AS "Prenda Ini", ini + unidades - 1 AS "Prenda Fin"
+        FROM paquete"""
     return {
-        "packages": _statement(
-            """SELECT "OS", row_number() OVER (PARTITION BY "OS" ORDER BY "ORDEN_TALLA", talla, q, copia, ini) AS "#",
-            talla AS "TALLA", unidades AS "CANTIDAD", ini AS "Prenda Ini", ini + unidades - 1 AS "Prenda Fin"
-            FROM paquete""",
-            loop,
-            recursive=True,
-        ),
+        "packages": _statement(numbered, loop, recursive=True),
+        "packages_one_os": _statement(f"""{numbered} WHERE "OS" = '{Q.ONE_OS}'""", loop, recursive=True),
         "packages_by_size": _statement(
             'SELECT "OS", talla AS "TALLA", CAST(SUM(unidades) AS BIGINT) AS "CANTIDAD" FROM paquete GROUP BY ALL',
             loop,
@@ -413,7 +419,9 @@ def _package_statements() -> dict[str, Sql]:
 
 # --- fabric quality and schedule ----------------------------------------------------------
 
-def _quality(span: tuple[str, str], cliente: str = "", tela: str = "", color: str = "") -> str:
+def _quality(
+    span: tuple[str, str], cliente: str = "", tela: str = "", color: str = "", codigo: str = "", acabado: str = "", partida: str = ""
+) -> str:
     # An empty search still needs a text to search in: LIKE '%%' is null for null.
     return f"""
     calidad AS (
@@ -432,8 +440,8 @@ def _quality(span: tuple[str, str], cliente: str = "", tela: str = "", color: st
         JOIN maeAnexoCliente cl ON cl.IdmaeAnexo_Cliente = op.IdmaeAnexo_Cliente
         WHERE CAST(q.dtFechaReporte AS DATE) BETWEEN DATE '{span[0]}' AND DATE '{span[1]}'
           AND cl.NommaeAnexoCliente ILIKE '%{cliente}%' AND i.NommaeItemInventario ILIKE '%{tela}%'
-          AND co.nommaecolor ILIKE '%{color}%' AND i.CodmaeItemInventario ILIKE '%%'
-          AND q.ntDescripcionAcabado ILIKE '%%' AND op.CoddocOrdenProduccion ILIKE '%%')"""
+          AND co.nommaecolor ILIKE '%{color}%' AND i.CodmaeItemInventario ILIKE '%{codigo}%'
+          AND q.ntDescripcionAcabado ILIKE '%{acabado}%' AND op.CoddocOrdenProduccion ILIKE '%{partida}%')"""
 
 
 def _quality_statements() -> dict[str, Sql]:
@@ -457,6 +465,9 @@ def _quality_statements() -> dict[str, Sql]:
             "SELECT * FROM calidad",
             _quality(Q.PLANNED, cliente="building", tela="WIDGET", color="o"),
         ),
+        "qc_report_searched": _statement(
+            "SELECT * FROM calidad", _quality(Q.EVER, codigo="it0", acabado="n", partida="000")
+        ),
         "qc_histogram": _statement(
             """SELECT b.metric AS "METRIC", CAST(b.i AS INTEGER) AS "BIN", b.desde AS "DESDE", b.hasta AS "HASTA",
             COUNT(v.x) AS "N", COUNT(v.x)::DOUBLE / b.total::DOUBLE * 100 AS "PORCENTAJE"
@@ -477,9 +488,7 @@ def _schedule_statements() -> dict[str, Sql]:
                     WHEN {_ratio(elapsed, 'r.Tiempo')} * 100 > 100 THEN 100
                     ELSE {_ratio(elapsed, 'r.Tiempo')} * 100 END AS esperado
         FROM Pedido p JOIN Proceso r ON r.Id_Pedido = p.Id_Pedido)"""
-    return {
-        "gantt_schedule": _statement(
-            """SELECT Id_Pedido, Nompedido, Fecha_Emision, Fecha_Entrega, CAST(Id_Proceso AS BIGINT) AS Id_Proceso,
+    bars = """SELECT Id_Pedido, Nompedido, Fecha_Emision, Fecha_Entrega, CAST(Id_Proceso AS BIGINT) AS Id_Proceso,
             Fecha_Inicial_Programada AS "INICIO", Fecha_Inicial_Programada + Tiempo * INTERVAL '1' DAY AS "FIN",
             Tiempo AS "DIAS", Porcentaje_Avance AS "PCT_REAL", esperado AS "PCT_ESPERADO",
             CASE WHEN Porcentaje_Avance < esperado THEN CAST(Porcentaje_Avance AS DOUBLE)
@@ -488,9 +497,10 @@ def _schedule_statements() -> dict[str, Sql]:
             CASE WHEN Porcentaje_Avance > 0 THEN Fecha_Inicial_Real END AS "MARCA_INICIO",
             CASE WHEN Porcentaje_Avance = 100 THEN Fecha_Final_Real END AS "MARCA_FIN",
             CASE WHEN Fecha_Inicial_Real IS NOT NULL THEN CAST(Porcentaje_Avance AS VARCHAR) || '%' END AS "ETIQUETA_REAL",
-            CAST(CAST(trunc(esperado) AS BIGINT) AS VARCHAR) || '%' AS "ETIQUETA_ESPERADO" FROM plan""",
-            plan,
-        ),
+            CAST(CAST(trunc(esperado) AS BIGINT) AS VARCHAR) || '%' AS "ETIQUETA_ESPERADO"FROM plan"""
+    return {
+        "gantt_schedule": _statement(bars, plan),
+        "gantt_one_order": _statement(f"{bars} WHERE Id_Pedido = {Q.ONE_ORDER}", plan),
         "gantt_calendar": _statement(
             """SELECT Id_Pedido, Fecha_Emision + n * INTERVAL '1' DAY AS "DIA",
             CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END AS "MARCA_2D",

@@ -24,7 +24,7 @@ from costurero.schemas import TABLES
 from costurero.session import tune
 from costurero.sources.derived import star_tables
 from costurero.sources.registry import Tables
-from costurero.sources.sinks import read_csv, shared_folder, write_csv
+from costurero.sources.sinks import csv_lines, from_csv_lines
 
 # Parameters: the first two years hold every planned day and every line, the others a typical page.
 EVER = ("1995-01-01", "2002-12-31")
@@ -34,6 +34,8 @@ DELIVERED_AFTER = "2000-01-01"
 MAX_UNITS = 40
 TODAY = "1998-06-15"
 CLIENT = "BUILDING Custom"
+ONE_OS = "OS00000002"
+ONE_ORDER = 1
 
 _tables: dict[tuple[str, str], Tables] = {}
 
@@ -156,6 +158,10 @@ def orders_status_pct(t: Tables) -> DataFrame:
     return OP.order_progress(t, *EVER, variant="status")
 
 
+def orders_searched(t: Tables) -> DataFrame:
+    return OP.order_progress(t, *EVER, variant="planned", pedido="ped0000", cliente="building")
+
+
 def agg_masked_sum(t: Tables) -> DataFrame:
     items = t["docOrdenProduccionItem"]
     orders = t["docOrdenProduccion"].select(
@@ -181,9 +187,7 @@ def agg_op_list(t: Tables) -> DataFrame:
 
 def csv_roundtrip(t: Tables) -> DataFrame:
     listing = FQ.fabric_quality(t, *EVER)
-    path = shared_folder(listing.sparkSession)
-    write_csv(listing, path)
-    return read_csv(listing.sparkSession, path, listing.schema)
+    return from_csv_lines(csv_lines(listing), listing.schema)
 
 
 _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
@@ -203,6 +207,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "orders_progress": orders_planned,
     "orders_progress_delivery": orders_progress_delivery,
     "orders_progress_list": orders_progress_list,
+    "orders_searched": orders_searched,
     "orders_status_pct": orders_status_pct,
     "orders_with_total": lambda t: OP.with_total(orders_planned(t), "planned"),
     "orders_status_with_total": lambda t: OP.with_total(orders_status_pct(t), "status"),
@@ -224,16 +229,20 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "cut_progress": lambda t: CP.cut_progress(t, *PLANNED),
     "cut_progress_filtered": lambda t: CP.cut_progress(t, *EVER, cliente=" building "),
     "cut_progress_kpis": lambda t: CP.cut_progress_kpis(CP.cut_progress(t, *PLANNED)),
+    "cut_orders": lambda t: CC.cut_orders(t, *EVER),
     "cut_by_client": lambda t: CC.cut_by_client(CC.op_lists(CC.cut_orders(t, *CUT))),
     "cut_by_client_kpis": lambda t: CC.cut_by_client_kpis(CC.cut_orders(t, *CUT)),
     "packages": lambda t: PK.packages(t, MAX_UNITS),
+    "packages_one_os": lambda t: PK.packages(t, MAX_UNITS, ONE_OS),
     "packages_by_size": PK.packages_by_size,
     "packages_header": PK.packages_header,
     "packages_source": PK.package_source,
     "qc_report": lambda t: FQ.fabric_quality(t, *EVER),
     "qc_report_filtered": lambda t: FQ.fabric_quality(t, *PLANNED, cliente="building", tela="WIDGET", color="o"),
+    "qc_report_searched": lambda t: FQ.fabric_quality(t, *EVER, codigo="it0", acabado="n", partida="000"),
     "qc_histogram": lambda t: FQ.quality_histogram(FQ.fabric_quality(t, *EVER)),
     "gantt_schedule": lambda t: SC.schedule(t, TODAY),
+    "gantt_one_order": lambda t: SC.schedule(t, TODAY, ONE_ORDER),
     "gantt_calendar": SC.schedule_calendar,
 }
 

@@ -1,8 +1,8 @@
 """Joins to master tables and joins that only filter.
 
-A master is broadcast when a count shows that it is small; beyond that the join
-is left to Spark, which shuffles both sides by the key and splits partitions
-that one hot key fills (see ``costurero.session``).
+No side is marked for broadcast: Spark broadcasts what its own byte threshold or, at run
+time, its measured size allows, and otherwise shuffles both sides by the key and splits
+partitions that one hot key fills (see ``costurero.session``).
 """
 
 from __future__ import annotations
@@ -31,8 +31,6 @@ def with_master(
     master = master.select(
         F.col(master_key or key).alias(tag), *[F.col(old).alias(new) for new, old in columns.items()]
     )
-    if tables.fits(name):
-        master = F.broadcast(master)
     return df.join(master, F.col(key) == F.col(tag)).drop(tag)
 
 

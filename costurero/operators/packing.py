@@ -46,7 +46,9 @@ def split_packages(
         .withColumn("_before", F.coalesce(F.sum("_total").over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_total") - 1) / BLOCK))))
     )
-    spread = plan.repartition(*keys, "_block")
+    # A given number of partitions: adaptive execution would merge these few rows before they grow.
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = plan.repartition(partitions, *keys, "_block")
     first = F.col("_block") * BLOCK
     packages = spread.withColumn(
         "_at", F.explode(F.sequence(first, F.least(F.col("_total"), first + BLOCK) - 1))

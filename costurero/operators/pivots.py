@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,22 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def unique_names(wanted: Iterable[str], taken: Iterable[str] = ()) -> list[str]:
+    """Column names told apart as Spark does, without regard to case.
+
+    A name that equals an earlier or a ``taken`` one gets `` (2)``, `` (3)``, ... behind it.
+    """
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        n, new = 1, name
+        while new.lower() in used:
+            n += 1
+            new = f"{name} ({n})"
+        used.add(new.lower())
+        out.append(new)
+    return out
+
+
 def cell(by: str, value: str, measure: Column) -> Column:
     """``measure`` on the rows of one pivot value, null elsewhere."""
     return F.when(F.col(by) == F.lit(value), measure)
@@ -38,13 +54,14 @@ def pivot_sums(
 
     ``measures`` maps a measure to its label pattern, e.g. ``{"Q_REQ": "{} (Req)"}``.
     One grouping with conditional sums, so the rows are combined before their only shuffle.
+    Cells are named by place and renamed at the end, so values that differ only in case, or
+    equal another column's name, do not clash.
     """
     for name in [*index, by]:
         df = df.where(F.col(name).isNotNull())
-    cells = [
-        F.coalesce(F.sum(cell(by, v, F.col(m))), F.lit(0)).alias(pattern.format(v))
-        for v in values
-        for m, pattern in measures.items()
-    ]
-    grouped = df.groupBy(*index)
-    return grouped.agg(*cells) if cells else df.select(*index).distinct()
+    pairs = [(v, m, pattern) for v in values for m, pattern in measures.items()]
+    if not pairs:
+        return df.select(*index).distinct()
+    cells = [F.coalesce(F.sum(cell(by, v, F.col(m))), F.lit(0)).alias(f"_c{i}") for i, (v, m, _) in enumerate(pairs)]
+    names = unique_names((pattern.format(v) for v, _, pattern in pairs), index)
+    return df.groupBy(*index).agg(*cells).toDF(*index, *names)

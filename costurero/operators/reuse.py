@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Hashable
 from typing import Any
 
@@ -10,20 +9,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once for several jobs, in the shared checkpoint folder.
-
-    A lost executor takes none of it along, unlike a cached or locally checkpointed
-    copy. The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset, as in tests, a local one is made.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="costurero-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 class ReportCache:
     """Keeps the result of a report per set of parameters until it is refreshed."""
 

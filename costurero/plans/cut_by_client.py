@@ -11,8 +11,7 @@ from costurero.functions import filters as P
 from costurero.functions import scalars as S
 from costurero.operators.aggregates import sorted_list
 from costurero.operators.joins import with_master
-from costurero.operators.pivots import cell, column, pivot_values
-from costurero.operators.reuse import materialize
+from costurero.operators.pivots import pivot_values, unique_names
 from costurero.plans import constants as K
 from costurero.sources.registry import Tables
 
@@ -71,19 +70,30 @@ def op_lists(orders: DataFrame) -> DataFrame:
 def cut_by_client(cells: DataFrame, clients: list[str] | None = None) -> DataFrame:
     """A row per day; per client its units and ``<client>_OP`` list, and their ``TOTAL``.
 
-    Absent cells are 0 and empty text; cuts without a client name belong to no column. Without cells the result is empty with ``FECHA, TOTAL``.
+    ``cells`` has each day and client once (``op_lists``). Absent cells are 0 and empty text; cuts without a
+    client name belong to no column. Without cells the result is empty with ``FECHA, TOTAL``. Without a list
+    of ``clients`` one job reads their names. Names equal but for case, or equal to another column, are
+    numbered (``unique_names``).
     """
     if clients is None:
-        cells = materialize(cells)
         clients = pivot_values(cells, "CLIENTE")
+    own = F.col("CLIENTE").isNotNull() if not clients else F.col("CLIENTE").isin(clients)
     by_day = cells.groupBy("DIA").agg(
-        *[F.coalesce(F.sum(cell("CLIENTE", c, F.col("UNID"))), F.lit(0)).alias(c) for c in clients],
-        F.coalesce(F.sum(F.when(F.col("CLIENTE").isin(clients), F.col("UNID"))), F.lit(0)).alias("TOTAL"),
-        *[F.coalesce(F.max(cell("CLIENTE", c, F.col("OPS"))), F.lit("")).alias(f"{c}_OP") for c in clients],
-    )
-    return by_day.orderBy("DIA").select(
-        S.day_text(F.col("DIA")).alias("FECHA"), *[column(c) for c in by_day.columns if c != "DIA"]
+        F.map_from_entries(
+            F.collect_list(F.when(F.col("CLIENTE").isNotNull(), F.struct("CLIENTE", F.struct("UNID", "OPS"))))
+        ).alias("_cells"),
+        F.coalesce(F.sum(F.when(own, F.col("UNID"))), F.lit(0)).alias("_total"),
     )
+    found = F.col("_cells")
+    columns = [
+        S.day_text(F.col("DIA")).alias("_d"),
+        *[F.coalesce(F.try_element_at(found, F.lit(c))["UNID"], F.lit(0)).alias(f"_u{i}") for i, c in enumerate(clients)],
+        F.col("_total"),
+        *[F.coalesce(F.try_element_at(found, F.lit(c))["OPS"], F.lit("")).alias(f"_o{i}") for i, c in enumerate(clients)],
+    ]
+    names = unique_names([*clients, *[f"{c}_OP" for c in clients]], ["FECHA", "TOTAL"])
+    n = len(clients)
+    return by_day.orderBy("DIA").select(*columns).toDF("FECHA", *names[:n], "TOTAL", *names[n:])
 
 
 def cut_by_client_kpis(orders: DataFrame) -> DataFrame:

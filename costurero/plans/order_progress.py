@@ -33,20 +33,40 @@ VARIANTS: dict[str, dict] = {
 }
 
 
-def fabric_kilos(tables: Tables, skip_void: bool) -> DataFrame:
+def only(df: DataFrame, key: str, ids: DataFrame | None) -> DataFrame:
+    """Rows whose ``key`` is among the ids (a frame of one column); all rows if none are given.
+
+    Multiplicities stay. A set of ids that proves small at run time is broadcast by Spark, so
+    the rows that do not belong never reach a shuffle.
+    """
+    if ids is None:
+        return df
+    wanted = ids.select(F.col(ids.columns[0]).alias("_only")).distinct()
+    return df.join(wanted, F.col(key) == F.col("_only"), "left_semi")
+
+
+def fabric_kilos(tables: Tables, skip_void: bool, orders: DataFrame | None = None) -> DataFrame:
     """Kilos required, assembled, dispatched, dyed and approved per garment order.
 
     Production items meet their fabric order and its dyeing steps per production order. The
     result, per fabric order and item, meets the order items that ask for it; those also give
-    the required kilos, whether or not anything was produced for them.
+    the required kilos, whether or not anything was produced for them. With ``orders`` (ids of
+    garment orders) only what hangs on these is read into any grouping.
     """
+    sold = only(tables["docOrdenVentaItem"], "IdDocumento_Referencia", orders)
+    fabric = P.where_equal(tables["docOrdenProduccion"], bAnulado=0 if skip_void else None)
+    if orders is not None:
+        fabric = only(fabric, "IdDocumento_Referencia", sold.select("IdDocumento_OrdenVenta"))
     steps = (
-        tables["docOrdenProduccionRuta"]
-        .where(P.positive("IdmaeReceta"))
+        only(
+            tables["docOrdenProduccionRuta"].where(P.positive("IdmaeReceta")),
+            "IdDocumento_OrdenProduccion",
+            None if orders is None else fabric.select("IdDocumento_OrdenProduccion"),
+        )
         .groupBy(F.col("IdDocumento_OrdenProduccion").alias("_step_op"))
         .agg(F.count("*").alias("_steps"), F.sum("bCerrado").alias("_steps_closed"))
     )
-    fabric = P.where_equal(tables["docOrdenProduccion"], bAnulado=0 if skip_void else None).select(
+    fabric = fabric.select(
         F.col("IdDocumento_OrdenProduccion").alias("_op"),
         F.col("IdDocumento_Referencia").alias("_fabric"),
         "bCerrado",
@@ -67,7 +87,7 @@ def fabric_kilos(tables: Tables, skip_void: bool) -> DataFrame:
         )
     )
     asked = (
-        tables["docOrdenVentaItem"]
+        sold
         .groupBy("IdDocumento_OrdenVenta", "IdmaeItem", F.col("IdDocumento_Referencia").alias("_fabric_for"))
         .agg(F.count("*").alias("_times"), F.sum("dCantidad").alias("_asked"))
     )
@@ -93,16 +113,20 @@ def _sum(value: Column) -> Column:
     return F.sum(value.cast(QTY)).cast(QTY)
 
 
-def moved_units(tables: Tables) -> DataFrame:
-    """Units cut and sewn per production order and item, from the stock notes of both centres."""
+def moved_units(tables: Tables, ops: DataFrame | None = None) -> DataFrame:
+    """Units cut and sewn per production order and item, from the stock notes of both centres.
+
+    With ``ops`` only notes of these production orders, and only their lines, go into the grouping.
+    """
+    notes = P.where_equal(
+        tables["docNotaInventario"],
+        IdtdDocumentoForm=K.FORM_STOCK_NOTE,
+        bDevolucion=0,
+        bDesactivado=0,
+        bAnulado=0,
+    ).where(P.nonzero("IdDocumento_OrdenProduccion") & F.col("IdmaeCentroCosto").isin(K.CUTTING, K.SEWING))
     notes = with_master(
-        P.where_equal(
-            tables["docNotaInventario"],
-            IdtdDocumentoForm=K.FORM_STOCK_NOTE,
-            bDevolucion=0,
-            bDesactivado=0,
-            bAnulado=0,
-        ).where(P.nonzero("IdDocumento_OrdenProduccion") & F.col("IdmaeCentroCosto").isin(K.CUTTING, K.SEWING)),
+        only(notes, "IdDocumento_OrdenProduccion", ops),
         tables,
         "maeCentroCosto",
         "IdmaeCentroCosto",
@@ -139,21 +163,34 @@ def moved_units(tables: Tables) -> DataFrame:
     )
 
 
-def garment_units(tables: Tables, open_only: bool) -> DataFrame:
+def garment_units(tables: Tables, open_only: bool, orders: DataFrame | None = None) -> DataFrame:
     """Units programmed, cut and sewn per sales order (``_units_for``).
 
     Items of a production order are reduced to one row each with the number of times they are
     listed; cut and sewn units count once per listing, programmed units once per cutting step.
+    Only items, steps and notes of garment production orders, with ``orders`` only of those made
+    for these sales orders, go into any grouping.
     """
+    production = only(
+        P.where_equal(
+            tables["docOrdenProduccion"],
+            bCerrado=0 if open_only else None,
+            bAnulado=0,
+            IdtdDocumentoForm=K.FORM_GARMENT_ORDER,
+        ),
+        "IdDocumento_Referencia",
+        orders,
+    )
+    ops = production.select("IdDocumento_OrdenProduccion")
     items = (
-        tables["docOrdenProduccionItem"]
+        only(tables["docOrdenProduccionItem"], "IdDocumento_OrdenProduccion", ops)
         .groupBy("IdDocumento_OrdenProduccion", "IdmaeItem")
         .agg(F.sum("dCantidadProgramado").alias("_programmed"), F.count("*").alias("_times"))
     )
     times = F.col("_times")
     per_op = (
         items.join(
-            moved_units(tables),
+            moved_units(tables, ops),
             (F.col("IdDocumento_OrdenProduccion") == F.col("_moved_op")) & (F.col("IdmaeItem") == F.col("_moved_item")),
             "left",
         )
@@ -166,7 +203,11 @@ def garment_units(tables: Tables, open_only: bool) -> DataFrame:
     )
     steps = (
         with_master(
-            P.where_equal(tables["docOrdenProduccionRuta"], IdmaeCentroCosto=K.CUTTING),
+            only(
+                P.where_equal(tables["docOrdenProduccionRuta"], IdmaeCentroCosto=K.CUTTING),
+                "IdDocumento_OrdenProduccion",
+                ops,
+            ),
             tables,
             "maeCentroCosto",
             "IdmaeCentroCosto",
@@ -175,14 +216,11 @@ def garment_units(tables: Tables, open_only: bool) -> DataFrame:
         .groupBy(F.col("IdDocumento_OrdenProduccion").alias("_step_op"))
         .agg(F.count("*").alias("_steps"))
     )
-    production = P.where_equal(
-        tables["docOrdenProduccion"],
-        bCerrado=0 if open_only else None,
-        bAnulado=0,
-        IdtdDocumentoForm=K.FORM_GARMENT_ORDER,
-    ).select(F.col("IdDocumento_OrdenProduccion").alias("_op"), F.col("IdDocumento_Referencia").alias("_units_for"))
+    named = production.select(
+        F.col("IdDocumento_OrdenProduccion").alias("_op"), F.col("IdDocumento_Referencia").alias("_units_for")
+    )
     return (
-        production.join(per_op, F.col("_op") == F.col("_units_op"))
+        named.join(per_op, F.col("_op") == F.col("_units_op"))
         .join(steps, F.col("_op") == F.col("_step_op"), "left")
         .groupBy("_units_for")
         .agg(
@@ -237,14 +275,15 @@ def order_progress(
     )
 
     # Units belong to every order with the same code, whatever its form.
-    units = garment_units(tables, how["open_only"])
+    same_code = only(tables["docOrdenVenta"], "CoddocOrdenVenta", chosen.select("PEDIDO"))
+    units = garment_units(tables, how["open_only"], same_code.select("IdDocumento_OrdenVenta"))
     produced = (
-        tables["docOrdenVenta"]
+        same_code
         .select("IdDocumento_OrdenVenta", F.col("CoddocOrdenVenta").alias("_code"))
         .join(units, F.col("IdDocumento_OrdenVenta") == F.col("_units_for"), "left")
         .select("_code", *[F.coalesce(F.col(c), F.lit(0).cast(QTY)).alias(c) for c in ("PROG", "CORTADO", "COSIDO")])
     )
-    fabric = fabric_kilos(tables, how["skip_void_fabric"])
+    fabric = fabric_kilos(tables, how["skip_void_fabric"], chosen.select("_id"))
     joined = (
         chosen.join(fabric, F.col("_id") == F.col("_fabric_for"), "left")
         .join(produced, F.col("PEDIDO") == F.col("_code"), "left")

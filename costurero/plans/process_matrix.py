@@ -11,7 +11,6 @@ from costurero.functions import filters as P
 from costurero.functions import scalars as S
 from costurero.operators.joins import filter_join, with_master
 from costurero.operators.pivots import column, pivot_sums, pivot_values
-from costurero.operators.reuse import materialize
 from costurero.sources.registry import Tables
 
 INDEX = ["PEDIDO", "OP", "CLIENTE", "ESTILO", "COMBO"]
@@ -39,8 +38,9 @@ def production_orders(tables: Tables, orders: DataFrame, production: DataFrame)
 def process_summary(tables: Tables, delivered_after: date | str = "2024-07-30") -> DataFrame:
     """Quantities per order, production order, process, combo, client and style.
 
-    Sizes are summed away first, before the progress rows meet any document. Groups use
-    the full client name; the result shows its first 15 characters.
+    Only progress of the production orders of the date goes into the first grouping, which sums
+    the sizes away before the rows meet any document. Groups use the full client name; the result
+    shows its first 15 characters.
     """
     progress = tables["avanceComboTalla"]
     ops = production_orders(
@@ -48,6 +48,8 @@ def process_summary(tables: Tables, delivered_after: date | str = "2024-07-30")
         tables["docOrdenVenta"],
         tables["docOrdenProduccion"].where(P.after("dtFechaEntrega", delivered_after)),
     )
+    dated = ops.select(F.col("_op").alias("_dated")).distinct()
+    progress = progress.join(dated, F.col("IdDocumento_OrdenProduccion") == F.col("_dated"), "left_semi")
     sized = with_master(progress, tables, "maeTalla", "IdmaeTalla")
     by_step = sized.groupBy(
         "IdDocumento_OrdenProduccion", "IddocOrdenProduccionRuta", "IdmaeCentroCosto", "IdmaeCombo"
@@ -88,11 +90,9 @@ def process_summary(tables: Tables, delivered_after: date | str = "2024-07-30")
 def process_matrix(summary: DataFrame, processes: list[str] | None = None) -> DataFrame:
     """Processes as columns, required and produced side by side.
 
-    Without a list of ``processes`` the summary is computed once, into the shared folder,
-    and read twice: for the process names and for the matrix.
+    Without a list of ``processes`` one job reads their names; the matrix itself stays lazy.
     """
     if processes is None:
-        summary = materialize(summary.select(*INDEX, "PROCESO", *MEASURES))
         processes = pivot_values(summary, "PROCESO")
     return pivot_sums(summary, INDEX, "PROCESO", processes, MEASURES)
 

@@ -21,9 +21,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from costurero.schemas import TABLES, conform
 
-#: Rows up to which a master table may be broadcast. Measured, never assumed.
-BROADCAST_ROWS = 50_000
-
 _SLICES = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
 
 
@@ -37,11 +34,11 @@ def load(spark: SparkSession, name: str, conf: Mapping[str, Mapping[str, Any]])
     if "table" in spec:
         return conform(spark.table(spec["table"]), name)
     options = dict(spec.get("options", {}))
-    if spec["format"] == "jdbc" and not name.startswith("mae"):
-        # An unsliced database read would pull a whole document table through one task.
+    if spec["format"] == "jdbc":
+        # An unsliced database read would pull a whole table through one task.
         missing = [o for o in _SLICES if o not in options]
         if missing:
-            raise ValueError(f"{name}: a jdbc document table needs {', '.join(missing)}")
+            raise ValueError(f"{name}: a jdbc table needs {', '.join(missing)}")
     reader = spark.read.format(spec["format"]).options(**options)
     if spec["format"] in ("csv", "json"):
         reader = reader.schema(TABLES[name])
@@ -51,24 +48,15 @@ def load(spark: SparkSession, name: str, conf: Mapping[str, Mapping[str, Any]])
 class Tables:
     """The input tables of the reports, resolved by name, lazily and once."""
 
-    def __init__(self, resolve: Callable[[str], DataFrame], broadcast_rows: int = BROADCAST_ROWS):
+    def __init__(self, resolve: Callable[[str], DataFrame]):
         self._resolve = resolve
         self._frames: dict[str, DataFrame] = {}
-        self._fits: dict[str, bool] = {}
-        self.broadcast_rows = broadcast_rows
 
     @classmethod
-    def from_conf(cls, spark: SparkSession, conf: Mapping[str, Mapping[str, Any]], **kw: Any) -> Tables:
-        return cls(lambda name: load(spark, name, conf), **kw)
+    def from_conf(cls, spark: SparkSession, conf: Mapping[str, Mapping[str, Any]]) -> Tables:
+        return cls(lambda name: load(spark, name, conf))
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._frames:
             self._frames[name] = self._resolve(name)
         return self._frames[name]
-
-    def fits(self, name: str) -> bool:
-        """Whether a master has at most ``broadcast_rows`` rows; reads no more than that many."""
-        if name not in self._fits:
-            limit = self.broadcast_rows
-            self._fits[name] = self[name].select(self[name].columns[0]).limit(limit + 1).count() <= limit
-        return self._fits[name]

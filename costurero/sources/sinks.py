@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 # Quotes inside a value are doubled and a null becomes empty text, as spreadsheet users expect.
@@ -28,7 +26,17 @@ def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.options(**_CSV).schema(schema).csv(path)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path all executors can reach: under the session's checkpoint folder, else (tests) local."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="costurero-")
-    return f"{root.rstrip('/')}/costurero-{uuid.uuid4().hex}"
+def _in_text() -> dict[str, str]:
+    """The file's options without the header, which a line of text has not."""
+    return {k: str(v) for k, v in _CSV.items() if k != "header"}
+
+
+def csv_lines(df: DataFrame) -> DataFrame:
+    """Each row as the line that ``write_csv`` would write, in a column ``LINEA``."""
+    return df.select(F.to_csv(F.struct(*df.columns), _in_text()).alias("LINEA"))
+
+
+def from_csv_lines(lines: DataFrame, schema: StructType) -> DataFrame:
+    """Rows from lines of ``csv_lines``, as ``read_csv`` would read them."""
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    return lines.select(F.from_csv("LINEA", ddl, _in_text()).alias("row")).select("row.*")

@@ -14,8 +14,9 @@ from costurero.operators.calendar import day_calendar
 from costurero.operators.histogram import percent_histogram
 from costurero.operators.joins import filter_join
 from costurero.operators.packing import MIN_REST, full_packages, split_packages
-from costurero.operators.pivots import pivot_values
-from costurero.operators.reuse import ReportCache, materialize
+from costurero.operators.pivots import pivot_sums, pivot_values, unique_names
+from costurero.operators.reuse import ReportCache
+from costurero.plans.cut_by_client import cut_by_client
 from costurero.plans.process_matrix import INDEX, presentation, process_matrix
 
 
@@ -73,6 +74,8 @@ def test_a_huge_quantity_is_spread(spark):
     got = split_packages(rows, "os", ["n", "size"], "q", "lines", 1)
     sizes = got.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in sizes) == 3 * (50_000 - MIN_REST + 1)
+    # settings as tune() leaves them: the session's partitions share the packages, none is merged away
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     check = got.agg(F.min("#"), F.max("#"), F.countDistinct("#"), F.sum("UNIDADES")).first()
     assert tuple(check) == (1, 149_973, 149_973, 150_000)
 
@@ -194,8 +197,30 @@ def test_report_cache_computes_once_until_refreshed(spark):
     cached.clear()
 
 
-def test_materialize_uses_the_shared_folder(spark):
-    folder = spark.conf.get("spark.checkpoint.dir")
-    kept = materialize(spark.range(10).select((F.col("id") * 2).alias("x")))
-    assert sorted(r.x for r in kept.collect()) == list(range(0, 20, 2))
-    assert spark.sparkContext.getCheckpointDir().removeprefix("file:").startswith(folder)
+def test_one_hot_order_fills_no_task(spark):
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        rows = spark.createDataFrame([("OS", 1, "S", 1_000_008, 1)], "os string, n int, size string, q bigint, lines bigint")
+        sizes = split_packages(rows, "os", ["n", "size"], "q", "lines", 1).groupBy(F.spark_partition_id()).count().collect()
+        total = sum(r["count"] for r in sizes)
+        assert total == 999_999 and max(r["count"] for r in sizes) <= 0.05 * total
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
+def test_pivot_names_do_not_clash(spark):
+    assert unique_names(["Acme", "ACME", "acme (2)", "X"], ["x"]) == ["Acme", "ACME (2)", "acme (2) (2)", "X (2)"]
+    rows = spark.createDataFrame([("a", "Corte", 1), ("a", "CORTE", 2), ("a", "COMBO", 4)], "COMBO string, p string, q int")
+    wide = pivot_sums(rows, ["COMBO"], "p", pivot_values(rows, "p"), {"q": "{}"})
+    assert wide.columns == ["COMBO", "COMBO (2)", "CORTE", "Corte (2)"]
+    assert [tuple(r) for r in wide.collect()] == [("a", 4, 2, 1)]
+
+
+def test_clients_named_like_columns(spark):
+    names = ["Acme", "ACME", "X", "X_OP", "TOTAL", "FECHA", "DIA"]
+    cells = spark.createDataFrame([("1996-01-02", n, i + 1, f"OP{i}") for i, n in enumerate(names)] + [("1996-01-02", None, 50, "Z")], "d string, CLIENTE string, UNID bigint, OPS string").selectExpr("to_date(d) AS DIA", "CLIENTE", "UNID", "OPS")
+    row = cut_by_client(cells).collect()[0].asDict()
+    assert row["TOTAL"] == sum(range(1, 8)) and row["FECHA"] == "02-01-1996"
+    assert {row[k] for k in ("ACME", "Acme (2)", "DIA", "FECHA (2)", "TOTAL (2)", "X", "X_OP")} == set(range(1, 8))
+    assert row["X_OP (2)"] == "OP2"

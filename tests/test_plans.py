@@ -8,6 +8,7 @@ from costurero.checks.queries import queries, run
 from costurero.plans import cut_by_client as CC
 from costurero.plans import order_progress as OP
 from costurero.plans import packages as PK
+from costurero.plans import process_matrix as PM
 from costurero.schemas import TABLES
 from costurero.sources.registry import Tables
 from tests.helpers import frames_of, random_rows
@@ -24,7 +25,7 @@ def conf(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def large(spark, conf):
     """Tables of which none counts as small."""
-    return Tables.from_conf(spark, conf, broadcast_rows=0)
+    return Tables.from_conf(spark, conf)
 
 
 @pytest.fixture
@@ -59,12 +60,24 @@ def test_no_pairing_of_whole_tables(large, settings, name):
         assert name in {"orders_counts", "cut_progress_kpis", "cut_by_client_kpis", "scan_counts"} or "total" in name or "_to_" in name
 
 
-def test_masters_are_broadcast_only_when_counted_small(spark, conf, settings):
-    small, big = (Tables.from_conf(spark, conf, broadcast_rows=n) for n in (5, 1000))
-    assert [small.fits("maeCentroCosto"), small.fits("maeAnexoCliente"), big.fits("maeAnexoCliente")] == [True, False, True]
-    few, many = (plan_of(CC.cut_orders(t, "1996-01-01", "1998-01-01")) for t in (small, big))
-    assert "BroadcastHashJoin" not in few
-    assert "BroadcastHashJoin [IdmaeAnexo_Cliente" in many
+def test_masters_carry_no_hint_and_plans_start_no_job(spark, large, settings):
+    plan = CC.cut_orders(large, "1996-01-01", "1998-01-01")._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in plan
+    spark.sparkContext.setJobGroup("building", "")
+    try:
+        for name in set(queries()) - {"cut_by_client", "process_matrix", "process_matrix_text", "matrix_filtered"}:
+            run(name, large)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_facts_meet_the_chosen_orders_before_their_grouping(large, settings):
+    plan = OP.order_progress(large, "1996-05-01", "1996-05-31", pedidos="A")._jdf.queryExecution().optimizedPlan().toString()
+    # sold items, fabric orders, dyeing steps; same-code orders, garment orders, items, notes, cutting steps
+    assert plan.count("LeftSemi") >= 8
+    summary = PM.process_summary(large)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi, (IdDocumento_OrdenProduccion" in summary
 
 
 def test_filters_and_columns_reach_the_scans(large, settings):
@@ -79,7 +92,8 @@ def test_filters_and_columns_reach_the_scans(large, settings):
     assert "EqualTo(IdtdDocumentoForm,131)" in notes
     assert "dtFechaRegistro" not in notes
     items = [s for s in scans if "docOrdenVentaItem]" in s]
-    assert len(items) == 1  # required and produced kilos share one scan
+    # required and produced kilos share one scan; the other finds the fabric orders of the chosen ones
+    assert len(items) == 2
 
 
 def test_sums_are_combined_before_they_are_shuffled(large, settings):
