@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from costurero.llm import bytes_dedup, contamination, html_main, lines, packing, passages, pii, quality, simhash, toxicity
 from costurero.llm.common import prepare, table
+from costurero.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,5 +74,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_surrogates": op10_surrogates,
 }
-
-ORACLE_SQL: dict[str, str] = {}
