@@ -8,7 +8,9 @@ only there sequences shorter than the window arise, cut to powers of two, which
 
 from __future__ import annotations
 
+import os
 import re
+import struct
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -21,8 +23,12 @@ from pyspark.sql import functions as F
 from costurero.llm.common import prepare, stored
 
 END = 1
-ODD_BLANK = re.compile(r" \s| $")
+ODD_BLANK = re.compile(r"\s\s|\s$")
 CUT = re.compile(r" (?=\S)")
+LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]*)")
+#: Byte-level vocabularies show each byte as a letter: printable ones as themselves, the others from 256 on.
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+SHOWN = {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)) - set(PRINTABLE)))}
 #: The tag of a task's leftover windows in the table of pieces.
 OPEN = -1
 
@@ -40,7 +46,7 @@ class Settings:
     size: int = 2048
     windows: int = 32
     tasks: int = 256
-    cached: int = 400_000
+    cached: int = 600_000
     tokenizer: str = "byte_bpe_50k.json"
 
 
@@ -50,37 +56,81 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Token ids of a text as little-endian 32-bit numbers.
 
     Byte-level BPE tokenises each run between a blank and the next by itself, as long as the blank has no further
-    white space behind it: so the ids of a run are computed once and remembered, up to a bound.
+    white space beside it: so the ids of a run are computed once and remembered, up to a bound. Texts with two blanks
+    in a row, or one at the end, are cut the same way but not remembered.
     """
 
     def __init__(self, name: str, cached: int):
+        # A task has one core: the library's own threads would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
+        self.model = self.tokenizer.model
         self.cached = cached
+        self.words: dict[str, bytes] = {}
+        self.stops: dict[str, bytes] = {}
+        self.line_end = self.direct(["\n"])[0]
         self.known: dict[str, bytes] = {}
 
     def direct(self, texts: list[str]) -> list[bytes]:
-        return [pa.array(e.ids, pa.uint32()).buffers()[1].to_pybytes()[: 4 * len(e.ids)] if e.ids else b"" for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [packed(e.ids) for e in found]
+
+    def word(self, word: str, blank: str) -> bytes:
+        """Ids of a Latin word behind a blank, or behind none."""
+        plain = blank + word
+        ids = self.words.get(plain)
+        if ids is None:
+            shown = plain.encode("utf-8").decode("latin-1").translate(SHOWN) if not word.isascii() else SHOWN[32] * len(blank) + word
+            ids = self.words[plain] = packed([t.id for t in self.model.tokenize(shown)])
+        return ids
+
+    def run(self, run: str) -> bytes:
+        """Ids of a blank and a run; a run that begins with a line end has no blank.
+
+        A Latin word and the stops behind it are tokenised apart, so each is kept once.
+        """
+        end = run[0] == "\n"
+        parts = LATIN.fullmatch(run, end)
+        if not parts:
+            return self.direct([run if end else " " + run])[0]
+        word, stops = parts.groups()
+        ids = self.word(word, "" if end else " ")
+        if stops:
+            if stops not in self.stops:
+                self.stops[stops] = self.direct([stops])[0]
+            ids += self.stops[stops]
+        return self.line_end + ids if end else ids
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        runs = CUT.split(text) if ODD_BLANK.search(text) else text.split(" ")
-        known = self.known
+        if ODD_BLANK.search(text):
+            runs = CUT.split(text)
+            return self.direct(runs[:1])[0] + b"".join(self.direct([" " + r for r in runs[1:]]))
+        # A single line end stands alone between two runs, so the second begins with it.
+        runs = text.replace("\n", " \n").split(" ")
         first, rest = runs[0], runs[1:]
-        new = [*{*rest}.difference(known)]
-        if len(known) + len(new) > self.cached:
-            self.known = known = {}
-            new = [*{*rest}]
-        if new:
-            known.update(zip(new, self.direct([" " + r for r in new])))
+        if len(self.known) > self.cached:
+            self.known.clear()
+            self.words.clear()
+        known = self.known
         head = self.direct([first])[0] if first else b""
-        return head + b"".join([known[r] for r in rest])
+        try:
+            return head + b"".join([known[r] for r in rest])
+        except KeyError:
+            for r in {*rest}.difference(known):
+                known[r] = self.run(r)
+            return head + b"".join([known[r] for r in rest])
 
 
 class Bins:
