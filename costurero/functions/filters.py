@@ -6,6 +6,7 @@ typed by a user keeps its meaning as a wildcard.
 
 from __future__ import annotations
 
+import calendar
 from collections.abc import Iterable
 from datetime import date
 from typing import Any
@@ -28,6 +29,15 @@ def check_range(start: date | str, end: date | str) -> tuple[date, date]:
     return first, last
 
 
+def or_this_month(
+    start: date | str | None, end: date | str | None, today: date | None = None
+) -> tuple[date | str, date | str]:
+    """The range as given; an end left out is that of the current month."""
+    today = today or date.today()
+    last = calendar.monthrange(today.year, today.month)[1]
+    return start or today.replace(day=1), end or today.replace(day=last)
+
+
 def where_equal(df: DataFrame, **values: Any) -> DataFrame:
     """Keep rows whose columns equal the given constants; ``None`` leaves a column free."""
     for name, value in values.items():

@@ -15,16 +15,19 @@ def percent_histogram(df: DataFrame, metrics: Mapping[str, str], bins: int = 30)
     half a unit to either side; a column without values gives no rows. A value belongs
     to the bin whose edges, as floats, enclose it; the last bin includes its upper edge.
     """
-    values = (
-        df.select(*[F.col(c).cast("double").alias(label) for label, c in metrics.items()])
-        .unpivot([], list(metrics), "METRIC", "_x")
-        .where(F.col("_x").isNotNull())
-    )
+    wide = df.select(*[F.col(c).cast("double").alias(label) for label, c in metrics.items()])
+    values = wide.unpivot([], list(metrics), "METRIC", "_x").where(F.col("_x").isNotNull())
     constant = F.col("_min") == F.col("_max")
-    # One row per metric, whatever the data: the only thing broadcast here.
+    # All columns' extremes in one row, before anything is unpivoted; then one row per metric,
+    # whatever the data: the only thing broadcast here.
+    extremes = [
+        F.struct(F.lit(m).alias("METRIC"), F.min(m).alias("_min"), F.max(m).alias("_max"), F.count(m).alias("_total"))
+        for m in metrics
+    ]
     bounds = (
-        values.groupBy("METRIC")
-        .agg(F.min("_x").alias("_min"), F.max("_x").alias("_max"), F.count("_x").alias("_total"))
+        wide.agg(F.array(*extremes).alias("_all"))
+        .select(F.inline("_all"))
+        .where(F.col("_total") > 0)
         .select(
             "METRIC",
             "_total",

@@ -18,17 +18,18 @@ from costurero.sources.registry import Tables
 
 def cut_progress(
     tables: Tables,
-    start: date | str,
-    end: date | str,
+    start: date | str | None = None,
+    end: date | str | None = None,
     *,
     pedidos: str | Iterable[str] | None = None,
     cliente: str | None = None,
 ) -> DataFrame:
-    """Required, programmed, produced and pending units of orders planned in the range.
+    """Required, programmed, produced and pending units of orders planned in the range (default: this month).
 
     The planned date is compared as an instant. The orders of the range are joined to their
     production orders before the progress rows are.
     """
+    start, end = P.or_this_month(start, end)
     orders = tables["docOrdenVenta"].where(
         P.instant_range("dtFechaPlanea", start, end) & P.in_list("CoddocOrdenVenta", pedidos)
     )

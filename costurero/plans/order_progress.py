@@ -233,8 +233,8 @@ def garment_units(tables: Tables, open_only: bool, orders: DataFrame | None = No
 
 def order_progress(
     tables: Tables,
-    start: date | str,
-    end: date | str,
+    start: date | str | None = None,
+    end: date | str | None = None,
     *,
     variant: str = "planned",
     pedido: str = "",
@@ -242,11 +242,12 @@ def order_progress(
     cliente: str = "",
     po: str = "",
 ) -> DataFrame:
-    """One row per sales order of the date range with its stage kilos and units.
+    """One row per sales order of the date range (default: this month) with its stage kilos and units.
 
     ``pedido``, ``cliente`` and ``po`` are contains searches; ``pedidos`` is a list of codes.
     """
     how = VARIANTS[variant]
+    start, end = P.or_this_month(start, end)
     chosen = P.where_equal(
         tables["docOrdenVenta"], IdtdDocumentoForm=K.FORM_SALES_ORDER, IdtdTipoVenta=K.SALE_TYPE, bAnulado=0
     ).where(

@@ -92,3 +92,8 @@ def test_constants_and_key(spark):
     assert P.where_equal(df, bAnulado=None, form=127).count() == 2
     assert P.by_key(df, "form", 126).count() == 1
     assert P.by_key(df, "form", None).count() == 3
+
+
+def test_a_range_left_out_is_the_current_month():
+    assert P.or_this_month(None, None, date(2024, 2, 9)) == (date(2024, 2, 1), date(2024, 2, 29))
+    assert P.or_this_month("2024-01-05", None, date(2023, 12, 31)) == ("2024-01-05", date(2023, 12, 31))
