@@ -267,7 +267,7 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     spans = stored(shards(made, s))
     placed = made.where("anchor IS NOT NULL").select("doc_id", "start", "digest_a", "digest_b")
     plain = placed.join(spans, ["digest_a", "digest_b"]).select("doc_id", "start", "spans")
-    hot = by_key(made.where("key IS NOT NULL").select(*schema_of(PACKED).names), more_than_one)
+    hot = by_key(made.where("key IS NOT NULL").select(*schema_of(PACKED).names), n_keys, more_than_one)
     both = plain.unionAll(hot.select("doc_id", F.lit(0).cast("bigint").alias("start"), F.col("places").alias("spans")))
     return both.groupBy("doc_id").agg(F.collect_list(F.struct("start", "spans")).alias("spans"))
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costurero.llm.common import byte_words, map_batches, prepare
+from costurero.llm.common import byte_words, map_batches, prepare, stored
 
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 PACKED = "key int, docs binary, counts binary, places binary, low binary, high binary"
@@ -186,43 +186,54 @@ def probes(docs: DataFrame, n_keys: int, settings: Settings) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, PACKED)
 
 
-def by_key(packed: DataFrame, decide) -> DataFrame:
-    """Packed rows brought together by key; `decide(doc, place, low, high)` says which entries are marked."""
-    schema = schema_of(MARKS)
+def unpacked(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and places of packed rows."""
+    docs = [np.repeat(np.frombuffer(r["docs"], "<i8"), from_planes(r["counts"])) for r in rows]
+    return np.concatenate(docs), np.concatenate([from_planes(r["places"]) for r in rows])
 
-    def marks(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order]
-        start, size = runs(doc)
-        cells = [doc[start], [planes(place[a : a + n]) for a, n in zip(start.tolist(), size.tolist())]]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, schema)], schema=schema)
 
-    def unpacked(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        docs = [np.frombuffer(r["docs"], "<i8") for r in rows]
-        doc = np.concatenate([np.repeat(d, from_planes(r["counts"])) for d, r in zip(docs, rows)])
-        return doc, np.concatenate([from_planes(r["places"]) for r in rows])
-
-    def settle(rows: list[dict]) -> pa.RecordBatch:
-        doc, place = unpacked(rows)
-        if rows[0]["key"] >= 0:
-            low = np.concatenate([np.frombuffer(r["low"], "<u8" if r["high"] is not None else "<u4") for r in rows])
-            high = np.concatenate([np.frombuffer(r["high"], "<u8") for r in rows]) if rows[0]["high"] is not None else None
-            hit = decide(doc, place, low, high)
-            doc, place = doc[hit], place[hit]
-        return marks(doc, place)
+def grouped(packed: DataFrame, out: str, settle) -> DataFrame:
+    """Packed rows brought together by key; `settle(key, rows)` makes a batch of each key's rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
                 if held and held[0]["key"] != row["key"]:
-                    yield settle(held)
+                    yield settle(held[0]["key"], held)
                     held = []
                 held.append(row)
         if held:
-            yield settle(held)
+            yield settle(held[0]["key"], held)
+
+    return packed.repartition("key").sortWithinPartitions("key").mapInArrow(run, out)
+
+
+def by_key(packed: DataFrame, n_keys: int, decide) -> DataFrame:
+    """(doc_id, places), one row per document, of the packed entries that `decide(doc, place, low, high)` marks.
+
+    Marks leave their bucket packed by a key of their document, so that their rows do not multiply with the buckets.
+    """
+    between, schema = schema_of(PACKED), schema_of(MARKS)
 
-    return packed.repartition("key").sortWithinPartitions("key").mapInArrow(run, MARKS)
+    def in_bucket(key: int, rows: list[dict]) -> pa.RecordBatch:
+        doc, place = unpacked(rows)
+        if key >= 0:
+            low = np.concatenate([np.frombuffer(r["low"], "<u8" if r["high"] is not None else "<u4") for r in rows])
+            high = np.concatenate([np.frombuffer(r["high"], "<u8") for r in rows]) if rows[0]["high"] is not None else None
+            hit = decide(doc, place, low, high)
+            doc, place = doc[hit], place[hit]
+        return settled_rows(doc, place, n_keys, between)
+
+    def of_document(key: int, rows: list[dict]) -> pa.RecordBatch:
+        doc, place = unpacked(rows)
+        order = np.lexsort((place, doc))
+        doc, place = doc[order], place[order]
+        start, size = runs(doc)
+        cells = [doc[start], [planes(place[a : a + n]) for a, n in zip(start.tolist(), size.tolist())]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, schema)], schema=schema)
+
+    return grouped(grouped(packed, PACKED, in_bucket), MARKS, of_document)
 
 
 def hits(docs: DataFrame, n_keys: int, settings: Settings) -> DataFrame:
@@ -237,7 +248,7 @@ def hits(docs: DataFrame, n_keys: int, settings: Settings) -> DataFrame:
         hit[order] = np.repeat(good, size)
         return hit
 
-    return by_key(probes(docs, n_keys, settings), decide)
+    return by_key(probes(docs, n_keys, settings), n_keys, decide)
 
 
 def repeated(docs: DataFrame, found: DataFrame, n_keys: int, settings: Settings) -> DataFrame:
@@ -246,8 +257,7 @@ def repeated(docs: DataFrame, found: DataFrame, n_keys: int, settings: Settings)
     Only windows over a hit are compared.
     """
     window, block, schema = settings.window, settings.block, schema_of(PACKED)
-    per_doc = found.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    joined = docs.select("doc_id", "text").join(per_doc, "doc_id")
+    joined = docs.select("doc_id", "text").join(found, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolls = [Rolling(b) for b in BASES]
@@ -259,7 +269,7 @@ def repeated(docs: DataFrame, found: DataFrame, n_keys: int, settings: Settings)
             row, place = text.within(window)
             cover = np.zeros(len(text.codes) + 1, np.int64)
             for start, (_, _, marked) in zip(text.start.tolist(), rows):
-                p = np.concatenate([from_planes(m) for m in marked])
+                p = from_planes(marked)
                 np.add.at(cover, start + np.maximum(p - (window - block), 0), 1)
                 np.add.at(cover, start + p + 1, -1)
             near = np.cumsum(cover)[text.start[row] + place] > 0
@@ -289,31 +299,28 @@ def repeated(docs: DataFrame, found: DataFrame, n_keys: int, settings: Settings)
         hit[order] = doc[order] > first
         return hit
 
-    return by_key(joined.mapInArrow(run, PACKED), decide)
+    return by_key(joined.mapInArrow(run, PACKED), n_keys, decide)
 
 
-def removed_words(n: int, starts: list[bytes] | None, window: int) -> np.ndarray:
+def removed_words(n: int, starts: bytes, window: int) -> np.ndarray:
     """Whether each of n words is covered by one of the windows."""
     cover = np.zeros(n + window + 1, np.int64)
-    for s in starts or []:
-        at = from_planes(s)
-        at = at[at <= n - window]
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + window, -1)
+    at = from_planes(starts)
+    at = at[at <= n - window]
+    np.add.at(cover, at, 1)
+    np.add.at(cover, at + window, -1)
     return np.cumsum(cover)[:n] > 0
 
 
 def repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, starts): for each document, packed starts of its windows that a smaller doc_id has too."""
-    from costurero.llm.common import stored
-
     prepare(docs.sparkSession)
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     chars = known.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
     n_keys = chars // settings.bucket + 1
     found = stored(hits(known, n_keys, settings))
     gone = stored(repeated(known, found, n_keys, settings))
-    return gone.groupBy("doc_id").agg(F.collect_list("places").alias("starts"))
+    return gone.withColumnRenamed("places", "starts")
 
 
 def without_repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
