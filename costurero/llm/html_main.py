@@ -312,12 +312,16 @@ def training_set(pages: list[list[Block]], settings: Settings) -> tuple[list[lis
 
 
 def fit(pages: DataFrame, settings: Settings = Settings()) -> Labeller:
-    """Train on at most `pages` pages, in the order of a hash of page_id; longer pages than `longest` are not used.
+    """Train on at most `pages` pages, in the order of a hash of page_id; longer pages than `longest` are not used, and
+    of rows that share a page_id one.
 
     Without a page of any text the labeller is untrained.
     """
-    few = pages.where(F.length("html") <= settings.longest).select("page_id", "html")
-    rows = few.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(settings.pages).collect()
+    few = pages.where("page_id IS NOT NULL").where(F.length("html") <= settings.longest).select("page_id", "html")
+    # The ids are chosen first, so that no task sends more pages than are wanted in all.
+    chosen = few.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(settings.pages)
+    wanted = few.join(F.broadcast(chosen), "page_id").groupBy("page_id").agg(F.min("html").alias("html"))
+    rows = sorted(wanted.collect(), key=lambda r: r.page_id)
     model = Labeller(settings)
     used, labels = training_set([blocks(r.html) for r in rows], settings)
     if used:
