@@ -1,8 +1,8 @@
 """Quality rules: counts of a document's surface, and a log-likelihood ratio of hashed n-grams.
 
 Two multinomials over hashed n-grams are compared: one of the trusted target, taken from documents labelled good,
-one of the raw corpus, counted over all documents. The n-grams are words, and pairs of neighbouring word shapes (a
-word with its letters and digits folded) with whether the two words are equal. A document's ratio, averaged over its
+one of the raw corpus, counted over all documents. The n-grams are words, and pairs of neighbouring word shapes (the
+last sign, and whether the word is in capitals) with whether the two words are equal. A document's ratio, averaged over its
 n-grams, is held against one threshold; nothing is drawn at random. Only DataFrame functions are used.
 """
 
@@ -44,25 +44,24 @@ def split(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+", -1))
 
 
-def shaped(text: Column) -> Column:
-    """Letters folded to one letter a run, digits to one digit; blanks stay."""
-    return F.regexp_replace(F.regexp_replace(text, r"\p{L}+", "a"), r"\p{N}+", "0")
+def with_words(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns to keep and every row's words (w)."""
+    return docs.select(*keep, split(F.col("text")).alias("w"))
 
 
-def hashed(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns to keep and, for every row, the hashes of its words (h) and of their shapes (s)."""
-    cut = docs.select(*keep, split(F.col("text")).alias("w"), split(shaped(F.col("text"))).alias("v"))
-    return cut.select(*keep, F.transform("w", lambda x: F.xxhash64(x)).alias("h"), F.transform("v", lambda x: F.xxhash64(x)).alias("s"))
-
-
-def word_bucket(i: Column, s: Settings) -> Column:
-    return F.pmod(F.col("h")[i], F.lit(s.buckets)).cast("int")
-
-
-def pair_bucket(i: Column, s: Settings) -> Column:
-    """Bucket of the shapes at i and i + 1 and whether the words are equal; behind the buckets of words."""
-    h, v = F.col("h"), F.col("s")
-    return (F.pmod(F.xxhash64(v[i], v[i + 1], h[i] == h[i + 1]), F.lit(s.buckets)) + s.buckets).cast("int")
+def grams(rows: DataFrame, s: Settings, *keep: str) -> DataFrame:
+    """A row per word (none for a text without words, then one of nulls): the buckets of the word and of the pair it
+    begins; the last word begins none. A word's shape is its last sign and whether it is written in capitals.
+    """
+    pairs = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))
+    each = rows.select(*keep, F.explode_outer(pairs).alias("x")).select(*keep, "x.a", "x.b")
+    shape = [y for x in ("a", "b") for y in (F.right(F.col(x), F.lit(1)), F.upper(x) == F.col(x))]
+    pair = F.pmod(F.xxhash64(*shape, F.col("a") == F.col("b")), F.lit(s.buckets)) + s.buckets
+    return each.select(
+        *keep,
+        F.when(F.col("a").isNotNull(), F.pmod(F.xxhash64("a"), F.lit(s.buckets)).cast("int")).alias("word"),
+        F.when(F.col("b").isNotNull(), pair.cast("int")).alias("pair"),
+    )
 
 
 def places(column: Column, behind: int) -> Column:
@@ -73,11 +72,8 @@ def places(column: Column, behind: int) -> Column:
 
 def counts(rows: DataFrame, s: Settings) -> DataFrame:
     """(bucket, n) over all n-grams of the rows; counted on the map side before it moves."""
-    grams = F.concat(
-        F.transform(places(F.col("h"), 0), lambda i: word_bucket(i, s)),
-        F.transform(places(F.col("h"), 1), lambda i: pair_bucket(i, s)),
-    )
-    return rows.select(F.explode(grams).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    each = grams(rows, s).select(F.explode(F.array("word", "pair")).alias("bucket"))
+    return each.where("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 def ratios(target: dict[int, int], raw: dict[int, int], s: Settings) -> list[float]:
@@ -98,12 +94,18 @@ def constant(numbers: list[float]) -> Column:
     return F.split(F.lit(",".join(f"{x:.6g}" for x in numbers)), ",").cast("array<double>")
 
 
-def ratio(weights: Column, s: Settings) -> Column:
-    """Mean log ratio over the n-grams of a row of `hashed`; zero without words."""
-    n = F.size("h")
-    words = F.aggregate(places(F.col("h"), 0), F.lit(0.0), lambda t, i: t + weights[word_bucket(i, s)])
-    pairs = F.aggregate(places(F.col("h"), 1), F.lit(0.0), lambda t, i: t + weights[pair_bucket(i, s)])
-    return F.when(n == 0, 0.0).otherwise((words + pairs) / F.greatest(2 * n - 1, F.lit(1)))
+def scored(rows: DataFrame, weights: list[float], s: Settings, *keep: str) -> DataFrame:
+    """The columns to keep and each row's mean log ratio over its n-grams; zero without words.
+
+    Rows are told apart by a number of their own, so repeated rows stay. A row's words stand together in one task,
+    where they are summed before one number per row moves.
+    """
+    table = constant(weights)
+    each = grams(rows.withColumn("row", F.monotonically_increasing_id()), s, "row", *keep)
+    both = F.coalesce(table[F.col("word")], F.lit(0.0)) + F.coalesce(table[F.col("pair")], F.lit(0.0))
+    grouped = each.select("row", *keep, both.alias("x"), F.col("word").isNotNull().alias("is_word")).groupBy("row", *keep)
+    made = grouped.agg(F.sum("x").alias("total"), F.count_if("is_word").alias("n"))
+    return made.select(*keep, F.when(F.col("n") == 0, 0.0).otherwise(F.col("total") / (2 * F.col("n") - 1)).alias("ratio"))
 
 
 @dataclass(frozen=True)
@@ -126,13 +128,13 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
         part = marked.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.per_class)
         chosen = part if chosen is None else chosen.unionAll(part)
     sample = texts.join(F.broadcast(chosen), "doc_id")
-    raw = {r.bucket: r.n for r in counts(hashed(texts), s).collect()}
-    target = {r.bucket: r.n for r in counts(hashed(sample.where("quality = 1")), s).collect()}
+    raw = {r.bucket: r.n for r in counts(with_words(texts), s).collect()}
+    target = {r.bucket: r.n for r in counts(with_words(sample.where("quality = 1")), s).collect()}
     weights = ratios(target, raw, s)
-    scores = hashed(sample, "quality").select("quality", ratio(constant(weights), s).alias("x"))
+    scores = scored(with_words(sample, "quality"), weights, s, "quality")
     found = {
         r.quality: r
-        for r in scores.groupBy("quality").agg(F.percentile_approx("x", F.lit(s.lost), F.lit(10_000)).alias("low"), F.avg("x").alias("mean")).collect()
+        for r in scores.groupBy("quality").agg(F.percentile_approx("ratio", F.lit(s.lost), F.lit(10_000)).alias("low"), F.avg("ratio").alias("mean")).collect()
     }
     if 1 not in found:
         return Model(weights, float("-inf"))
@@ -142,12 +144,12 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
 
 
 def repeated_words(s: Settings) -> Column:
-    """Words in windows that a row of `hashed` holds at least twice.
+    """Words in windows that a row of `with_words` holds at least twice.
 
     Window hashes are sorted with their places only where some hash repeats.
     """
     k = s.window
-    windows = F.transform(places(F.col("h"), k - 1), lambda i: F.xxhash64(*[F.col("h")[i + j] for j in range(k)]))
+    windows = F.transform(places(F.col("w"), k - 1), lambda i: F.xxhash64(*[F.col("w")[i + j] for j in range(k)]))
 
     def covered(w: Column) -> Column:
         by_hash = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
@@ -179,16 +181,10 @@ def assess(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         F.element_at(F.transform(F.array(lines), lambda a: F.size(a) - F.size(F.array_distinct(a))), 1).cast("bigint").alias("n_dup_lines"),
     ]
-    rows = hashed(texts.select("doc_id", "text", *surface), "doc_id", "word_chars", "n_symbols", "n_dup_lines")
-    counted = rows.select(
-        "doc_id",
-        F.size("h").cast("bigint").alias("n_words"),
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        repeated_words(s).alias("n_repeat_words"),
-        ratio(constant(model.weights), s).alias("ratio"),
-    )
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    rows = with_words(texts.select("doc_id", "text", *surface), "doc_id", *base[2:5])
+    rows = rows.select(*base[:1], F.size("w").cast("bigint").alias("n_words"), *base[2:5], repeated_words(s).alias("n_repeat_words"), "w")
+    counted = scored(rows, model.weights, s, *base)
     failed = (F.col("n_words") < s.words) | (100 * F.col("n_repeat_words") > s.repeated * F.col("n_words"))
     kept = ~failed & (F.col("ratio") >= F.lit(model.threshold))
     return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), "ratio")
