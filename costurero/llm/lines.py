@@ -1,17 +1,20 @@
 """Recurring lines by a log-template tree of fixed depth.
 
 A line goes down the tree by its number of tokens and its leading tokens; tokens that hold a digit count as a
-variable field. Within a leaf a position is constant for a line if its token there recurs across the leaf's
-documents, and variable otherwise. The constant tokens make the line's template. Templates that recur across
-documents are dropped from all but the first of them.
+variable field. Within a leaf a line joins the template it shares most tokens with, if these are enough of its
+tokens; places in which they differ become variable. This compares tokens and counts nothing, so it does not depend on
+how many documents there are. Templates that recur across documents are dropped from all but the first of them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,12 +30,15 @@ FIELD = b"<*>"
 class Settings:
     """`leading` tokens below the token count make a leaf; a template recurs from `documents` documents on.
 
-    A template with fewer constant tokens than `alike` times its tokens says too little and is never dropped.
+    Lines below five documents are as a rule copied text, which the operators for copies judge as a whole. A line joins
+    a template only with `alike` times its tokens in common, so that no template has fewer constant tokens. A task merges
+    up to about `chunk` lines of a leaf; the templates of a larger leaf's chunks are merged in turn.
     """
 
     leading: int = 3
     documents: int = 5
     alike: float = 0.5
+    chunk: int = 20_000
 
 
 def masked(line: bytes) -> list[bytes]:
@@ -83,33 +89,116 @@ def parsed(docs: DataFrame, settings: Settings) -> DataFrame:
 
 
 def tokens_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(leaf, line, documents, tokens) for `wanted` (doc_id, leaf, line, documents), read from those documents."""
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("leaf", "line", "documents")).alias("wanted"))
+    """(leaf, line, first, tokens) for `wanted` (doc_id, leaf, line), read from those documents; first is the doc_id."""
+    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("leaf", "line")).alias("wanted"))
     joined = docs.where("text IS NOT NULL").select("doc_id", "text").join(per_doc, "doc_id")
 
     def make():
         def run(cols):
-            out = {"leaf": [], "line": [], "documents": [], "tokens": []}
-            for text, wanted_ in zip(cols["text"], cols["wanted"]):
+            out = {"leaf": [], "line": [], "first": [], "tokens": []}
+            for doc, text, wanted_ in zip(cols["doc_id"], cols["text"], cols["wanted"]):
                 need = {w["line"]: w for w in wanted_}
                 for line in text.encode("utf-8").split(b"\n"):
                     tokens = masked(line)
                     if tokens and (w := need.pop(line_hash(tokens), None)):
                         out["leaf"].append(w["leaf"])
                         out["line"].append(w["line"])
-                        out["documents"].append(w["documents"])
+                        out["first"].append(doc)
                         out["tokens"].append([_hash([t]) for t in tokens])
             return out
 
         return run
 
-    return map_batches(joined, "leaf bigint, line bigint, documents bigint, tokens array<bigint>", make)
+    return map_batches(joined, "leaf bigint, line bigint, first bigint, tokens array<bigint>", make)
+
+
+def merged(tokens: list[list[int | None]], leading: int, alike: float) -> tuple[list[int], dict[int, list[int | None]]]:
+    """For each line of a leaf the number of the line that leads its template, and the leaders' templates.
+
+    A line joins the template with most equal tokens, the earlier one of equals, if they are at least `alike` of all;
+    else it leads one of its own. None is a variable place and equals nothing. All lines share the leading tokens, so a
+    template with enough in common has an equal token in one of the first `probed` places behind them.
+    """
+    lines = np.array([[0 if x is None else x for x in t] for t in tokens], np.int64)
+    n = lines.shape[1]
+    need, lead = math.ceil(alike * n - 1e-9), min(leading, n)
+    probed = range(lead, n - (need - lead) + 1 if need > lead else lead)
+    made = np.zeros((16, n), np.int64)
+    leaders: list[int] = []
+    found: dict[tuple[int, int], list[int]] = {}
+    out = []
+    for i, line in enumerate(lines):
+        if need > lead:
+            near = sorted({g for p in probed if line[p] for g in found.get((p, int(line[p])), ())})
+        else:
+            near = list(range(len(leaders)))
+        if near:
+            common = ((made[near] == line) & (line != 0)).sum(axis=1)
+            best = int(common.argmax())
+            if common[best] >= need:
+                g = near[best]
+                made[g][made[g] != line] = 0
+                out.append(leaders[g])
+                continue
+        g = len(leaders)
+        if g == len(made):
+            made = np.concatenate([made, np.zeros_like(made)])
+        made[g] = line
+        leaders.append(i)
+        out.append(i)
+        for p in probed:
+            if line[p]:
+                found.setdefault((p, int(line[p])), []).append(g)
+    return out, {i: [int(x) or None for x in made[g]] for g, i in enumerate(leaders)}
+
+
+MERGED = "leaf bigint, line bigint, first bigint, template bigint, tokens array<bigint>"
+
+
+def merged_lines(rows: DataFrame, settings: Settings) -> DataFrame:
+    """(leaf, line, first, template, tokens) of rows (leaf, part, line, first, tokens), each leaf's part by itself.
+
+    A template is named by the line that leads it; that line's row has its tokens. Lines come in the order of documents.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(MERGED))
+    ordered = rows.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "first", "line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], []
+
+        def close() -> None:
+            if held:
+                leaders, made = merged([t for *_, t in held], settings.leading, settings.alike)
+                out.extend((key[0], line, first, held[g][0], made.get(i)) for i, ((line, first, _), g) in enumerate(zip(held, leaders)))
+                held.clear()
+
+        def batch_of() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            out.clear()
+            return made
+
+        for batch in batches:
+            for leaf, part, line, first, tokens in zip(*[c.to_pylist() for c in batch.columns]):
+                if key != (leaf, part):
+                    close()
+                    key = leaf, part
+                    if len(out) > 2000:
+                        yield batch_of()
+                held.append((line, first, tokens))
+        close()
+        if out:
+            yield batch_of()
+
+    return ordered.select("leaf", "part", "line", "first", "tokens").mapInArrow(run, MERGED)
 
 
 def templates(docs: DataFrame, rows: DataFrame, settings: Settings) -> DataFrame:
-    """(line, template, alike): the template of each line whose leaf recurs, and the share of constant tokens.
+    """(line, template): the template of each line whose leaf recurs.
 
-    Equal lines are one row with their number of documents, so a hot line or leaf is aggregated before it moves.
+    Equal lines are one row, so a hot line is aggregated before it moves.
     """
     leaves = (
         rows.groupBy("leaf")
@@ -117,34 +206,24 @@ def templates(docs: DataFrame, rows: DataFrame, settings: Settings) -> DataFrame
         .where(F.col("n") >= settings.documents)
         .select("leaf")
     )
-    lines = rows.groupBy("leaf", "line").agg(F.count("*").alias("documents"), F.min("doc_id").alias("doc_id"))
-    wanted = lines.join(leaves, "leaf", "left_semi").select("doc_id", "leaf", "line", "documents")
+    lines = rows.groupBy("leaf", "line").agg(F.min("doc_id").alias("doc_id"))
+    wanted = lines.join(leaves, "leaf", "left_semi").select("doc_id", "leaf", "line")
     found = stored(tokens_of(docs, wanted).dropDuplicates(["line"]))
-    cells = found.select("leaf", "line", "documents", F.posexplode("tokens").alias("place", "token"))
-    constant = (
-        cells.groupBy("leaf", "place", "token")
-        .agg(F.sum("documents").alias("n"))
-        .where(F.col("n") >= settings.documents)
-        .drop("n")
-    )
-    # Addends that depend on place and token: the template's number does not depend on the order of rows.
-    kept = cells.join(constant, ["leaf", "place", "token"]).groupBy("leaf", "line")
-    made = kept.agg(
-        F.sum(F.shiftright(F.xxhash64("place", "token"), 24)).alias("tokens_hash"), F.count("*").alias("constants")
-    )
-    sizes = found.select("line", F.size("tokens").alias("size"))
-    return made.join(sizes, "line").select(
-        "line",
-        F.xxhash64("leaf", "tokens_hash", "constants").alias("template"),
-        (F.col("constants") / F.col("size")).alias("alike"),
+    large = found.groupBy("leaf").count().where(F.col("count") > settings.chunk)
+    parts = found.join(large, "leaf", "left").withColumn(
+        "part", F.coalesce(F.pmod(F.xxhash64("line"), F.ceil(F.col("count") / settings.chunk)), F.lit(0))
     )
+    own = stored(merged_lines(parts.drop("count"), settings))
+    leads = own.where("tokens IS NOT NULL").join(large, "leaf", "left_semi").select("leaf", F.lit(0).alias("part"), "line", "first", "tokens")
+    whole = merged_lines(leads, settings).select(F.col("line").alias("template"), F.col("template").alias("merged"))
+    return own.join(whole, "template", "left").select("line", F.coalesce("merged", "template").alias("template"))
 
 
 def dropped(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, lines): for each document that loses lines, their hashes."""
     prepare(docs.sparkSession)
     rows = stored(parsed(docs, settings))
-    known = stored(templates(docs, rows, settings).where(F.col("alike") >= settings.alike))
+    known = stored(templates(docs, rows, settings))
     placed = rows.join(known, "line").select("doc_id", "line", "template")
     per_document = placed.select("template", "doc_id").distinct()
     recurring = (

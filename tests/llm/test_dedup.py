@@ -129,3 +129,25 @@ def test_rare_lines_and_odd_rows_stay(documents, odd):
     kept = sorted(str(r.text) for r in lines.cleaned(odd).collect())
     assert kept == sorted(str(r.text) for r in odd.collect())
     assert lines.cleaned(odd.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [20_000, 50])
+@pytest.mark.parametrize("n", [200, 5000])
+def test_templates_do_not_depend_on_the_number_of_documents(documents, n, chunk):
+    rng = random.Random(1)
+    word = lambda kind, k: kind + chr(97 + k // 10) + chr(97 + k % 10)
+    docs = [
+        (i, f"This story was written by {word('n', rng.randrange(100))} for {word('c', rng.randrange(100))} readers\n"
+            f"This story was first shown in {word('t', rng.randrange(100))} last year\n"
+            f"own {word('x', i % 100)} {word('y', i // 100)} text of this document alone")
+        for i in range(n)
+    ]
+    got = {r.doc_id: r.text for r in lines.cleaned(documents(docs), lines.Settings(chunk=chunk)).collect()}
+    assert got[0] == docs[0][1]
+    assert all(got[i] == docs[i][1].split("\n")[2] for i in range(1, n))
+
+
+def test_a_line_joins_the_template_it_is_most_like():
+    tokens = [[1, 2, 3, 4, 5, 6, 7, 8], [1, 2, 3, 9, 10, 11, 12, 13], [1, 2, 3, 4, 5, 6, 7, 20], [1, 2, 3, 9, 10, 11, 12, 8]]
+    leaders, made = lines.merged(tokens, 3, 0.5)
+    assert leaders == [0, 1, 0, 1] and made == {0: [1, 2, 3, 4, 5, 6, 7, None], 1: [1, 2, 3, 9, 10, 11, 12, None]}
