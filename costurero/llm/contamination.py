@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -249,7 +250,7 @@ def block_matches(docs: DataFrame, items: list[tuple[int, str]], settings: Setti
 
 
 def blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of at most `most` characters (an item alone may have more); only one block is held."""
+    """Items in blocks of at most `most` characters (an item alone may have more), one after the other."""
     held, size = [], 0
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
     for row in items.toLocalIterator():
@@ -279,26 +280,28 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
 
     n_hit counts the words inside occurrences of any window, `items` has the item_ids with an occurring window,
     `near_items` those that only come near. Null texts have no words. Null items have no windows; items that share
-    an id count as one. Rows that repeat a doc_id each get their own row when one block holds the benchmark; over
-    several blocks rows with one doc_id are taken as one document, the longest text's words counting.
+    an id count as one. Rows that repeat a doc_id, or have none, each get their own row: where several blocks hold the
+    benchmark, their results meet by a stored number of each row.
     """
     prepare(docs.sparkSession)
-    parts = [block_matches(docs, b, settings, proximity) for b in blocks(benchmark, settings.block)]
-    if not parts:
-        parts = [block_matches(docs, [], settings, proximity)]
-    if len(parts) == 1:
-        return parts[0].select("doc_id", "n_words", "n_hit", "items", "near_items")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionAll(p)
-
-    merged = every.groupBy("doc_id").agg(
+    every = blocks(benchmark, settings.block)
+    first, second = next(every, []), next(every, None)
+    if second is None:
+        return block_matches(docs, first, settings, proximity).select("doc_id", "n_words", "n_hit", "items", "near_items")
+    numbered = stored(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
+    rows = numbered.select(F.col("row").alias("doc_id"), "text")
+    found = None
+    for block in chain([first, second], every):
+        part = block_matches(rows, block, settings, proximity)
+        found = part if found is None else found.unionAll(part)
+    merged = found.withColumnRenamed("doc_id", "row").groupBy("row").agg(
         F.max("n_words").alias("n_words"),
         F.collect_list("hits").alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"),
     )
-    return merged.select("doc_id", "n_words", F.pandas_udf(_total, "bigint")("hits").alias("n_hit"), "items", "near_items")
+    counted = merged.select("row", "n_words", F.pandas_udf(_total, "bigint")("hits").alias("n_hit"), "items", "near_items")
+    return numbered.select("row", "doc_id").join(counted, "row").select("doc_id", "n_words", "n_hit", "items", "near_items")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -37,6 +37,13 @@ def test_contamination_of_odd_rows_and_empty_tables(spark, odd):
     assert contamination.report(odd.where("false"), bench).count() == 0
 
 
+def test_contamination_has_the_same_rows_over_one_block_and_many(spark, documents):
+    docs = documents([(None, "a b c"), (None, "d e f"), (1, "a b x"), (1, "d e f y z"), (1, "nothing"), (2, None)])
+    bench = spark.createDataFrame([(1, "a b"), (2, "e f"), (3, "d e")], "item_id bigint, text string")
+    one, many = (sorted(map(str, contamination.report(docs, bench, s).collect())) for s in (contamination.Settings(), contamination.Settings(block=3, segment=3)))
+    assert len(one) == 6 and one == many
+
+
 def ids_of(texts):
     from tokenizers import Tokenizer
 
