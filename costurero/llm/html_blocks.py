@@ -13,10 +13,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset("button canvas datalist head iframe noscript object option script select style svg template textarea title".split())
 #: Elements whose inside is no markup.
 RAW = frozenset("script style textarea title iframe noscript template svg".split())
+#: Elements that may stand in the head; any other, or text, ends a head left open.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: An opening tag of the first kind ends an open one of the second.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*|[^>]*)>|<[/A-Za-z!?][^>]*\Z|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: The end of a raw element, found in the page itself: lower-casing a text may change its length.
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW}
+#: A slash at the end of a tag that is not part of an unquoted value.
+VALUE_WITH_SLASH = re.compile(r"=\s*[^\s\"'>]+/\Z")
 PART = re.compile(r"[a-z]+|\d+")
 BEFORE_HTML_BLOCK_ENDS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
@@ -40,6 +46,7 @@ class _Open:
 
 @dataclass
 class _Page:
+    labelled: bool = True
     stack: list[_Open] = field(default_factory=list)
     blocks: list[Block] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
@@ -48,7 +55,17 @@ class _Page:
     silent: int = 0
     where: tuple[tuple[str, ...], int | None] | None = None
 
+    def end_head(self) -> None:
+        """Close a head that is still open; its end tag may be left out."""
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i].tag == "head":
+                while len(self.stack) > i:
+                    self.pop()
+                return
+
     def text(self, raw: str) -> None:
+        if self.stack and self.stack[-1].tag == "head" and raw.strip():
+            self.end_head()
         if self.silent:
             return
         shown = html.unescape(raw) if "&" in raw else raw
@@ -66,6 +83,8 @@ class _Page:
         self.parts, self.linked, self.where = [], 0, None
 
     def open(self, tag: str, attributes: str) -> None:
+        if self.silent and tag not in IN_HEAD:
+            self.end_head()
         if tag not in INLINE:
             self.flush()
             if tag in BEFORE_HTML_BLOCK_ENDS:
@@ -89,7 +108,7 @@ class _Page:
             for name, a, b, c in ATTRIBUTE.findall(attributes):
                 value = (a or b or c).lower()
                 if name.lower() == "data-y":
-                    label = int(value)
+                    label = int(value) if self.labelled and value in ("0", "1") else label
                 else:
                     tokens.extend(PART.findall(value)[:8])
         self.stack.append(_Open(tag, tuple(tokens), label))
@@ -114,12 +133,14 @@ class _Page:
                 return
 
 
-def blocks(page: str | None) -> list[Block]:
-    """Blocks in page order; none of a null or empty page. Broken markup is read as far as it goes."""
+def blocks(page: str | None, labelled: bool = True) -> list[Block]:
+    """Blocks in page order; none of a null or empty page. Broken markup is read as far as it goes.
+
+    `labelled` pages are those composed for training, whose data-y is a label; of given pages it says nothing.
+    """
     if not page:
         return []
-    state, at, n = _Page(), 0, len(page)
-    lower = None
+    state, at, n = _Page(labelled), 0, len(page)
     while at < n:
         m = PIECE.match(page, at)
         if m is None:  # a tag that never ends
@@ -136,10 +157,12 @@ def blocks(page: str | None) -> list[Block]:
             if m.group(2):
                 state.close(tag)
                 continue
+            alone = m.group(4).endswith("/") and not VALUE_WITH_SLASH.search(m.group(4))
             state.open(tag, m.group(4))
-            if tag in RAW and not m.group(4).endswith("/"):
-                lower = page.lower() if lower is None else lower
-                end = lower.find(f"</{tag}", at)
-                at = n if end < 0 else end
+            if tag == "svg" and alone:
+                state.close(tag)
+            elif tag in RAW and not alone:
+                end = RAW_END[tag].search(page, at)
+                at = end.start() if end else n
     state.flush()
     return state.blocks

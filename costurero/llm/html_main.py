@@ -323,7 +323,7 @@ def fit(pages: DataFrame, settings: Settings = Settings()) -> Labeller:
     wanted = few.join(F.broadcast(chosen), "page_id").groupBy("page_id").agg(F.min("html").alias("html"))
     rows = sorted(wanted.collect(), key=lambda r: r.page_id)
     model = Labeller(settings)
-    used, labels = training_set([blocks(r.html) for r in rows], settings)
+    used, labels = training_set([blocks(r.html, labelled=False) for r in rows], settings)
     if used:
         features = Features(settings)
         model.train([features.page(p) for p in used], labels)
@@ -341,7 +341,7 @@ def main_text(pages: DataFrame, model: Labeller) -> DataFrame:
         features = Features(model.settings)
 
         def run(cols):
-            read = [blocks(h) for h in cols["html"]]
+            read = [blocks(h, labelled=False) for h in cols["html"]]
             marked = model.label([features.page(p) if p else ([], [], None) for p in read])
             kept = [[b.text for b, p in zip(page, m) if p >= 0.5] for page, m in zip(read, marked)]
             texts = ["\n\n".join(k) for k in kept]
