@@ -110,7 +110,7 @@ class _Page:
                 if name.lower() == "data-y":
                     label = int(value) if self.labelled and value in ("0", "1") else label
                 else:
-                    tokens.extend(PART.findall(value)[:8])
+                    tokens.extend(PART.findall(value))
         self.stack.append(_Open(tag, tuple(tokens), label))
         self.links += tag == "a"
         self.silent += tag in SILENT

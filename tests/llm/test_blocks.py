@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 
 from costurero.llm.html_blocks import blocks
+from costurero.llm.html_main import named_role
 
 
 def texts(page):
@@ -29,3 +30,8 @@ def test_labels_are_read_only_while_training():
     page = '<div data-y="1"><p>a</p></div><div data-y="many">b</div>'
     assert [b.label for b in blocks(page, labelled=False)] == [None, None]
     assert [b.label for b in blocks(page)] == [1, None]
+
+
+def test_every_token_of_a_class_is_on_the_path():
+    [block] = blocks('<div class="col-md-8 col-lg-9 px-3 mt-2 mb-2 sidebar">text</div>')
+    assert "sidebar" in block.path and named_role(block) == 0
