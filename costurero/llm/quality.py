@@ -1,8 +1,8 @@
 """Quality rules: counts of a document's surface, and a log-likelihood ratio of hashed n-grams.
 
 Two multinomials over hashed n-grams are compared: one of the trusted target, taken from documents labelled good,
-one of the raw corpus, counted over all documents. The n-grams are words, and pairs of neighbouring word shapes (the
-last sign, and whether the word is in capitals) with whether the two words are equal. A document's ratio, averaged over its
+one of the raw corpus, counted over all documents. The n-grams are words, and pairs of neighbouring word shapes (a
+word with its letters and digits folded) with whether the two words are equal. A document's ratio, averaged over its
 n-grams, is held against one threshold; nothing is drawn at random. Only DataFrame functions are used.
 """
 
@@ -44,19 +44,24 @@ def split(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+", -1))
 
 
+def shaped(text: Column) -> Column:
+    """Letters folded to one letter a run, digits to one digit; blanks stay."""
+    return F.regexp_replace(F.regexp_replace(text, r"\p{L}+", "a"), r"\p{N}+", "0")
+
+
 def with_words(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns to keep and every row's words (w)."""
-    return docs.select(*keep, split(F.col("text")).alias("w"))
+    """The columns to keep and every row's words (w) and their shapes (v)."""
+    return docs.select(*keep, split(F.col("text")).alias("w"), split(shaped(F.col("text"))).alias("v"))
 
 
 def grams(rows: DataFrame, s: Settings, *keep: str) -> DataFrame:
-    """A row per word (none for a text without words, then one of nulls): the buckets of the word and of the pair it
-    begins; the last word begins none. A word's shape is its last sign and whether it is written in capitals.
+    """A row per word (none for a text without words, then one of nulls): the buckets of the word and of the pair of
+    shapes it begins, with whether the two words are equal; the last word begins none.
     """
-    pairs = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))
-    each = rows.select(*keep, F.explode_outer(pairs).alias("x")).select(*keep, "x.a", "x.b")
-    shape = [y for x in ("a", "b") for y in (F.right(F.col(x), F.lit(1)), F.upper(x) == F.col(x))]
-    pair = F.pmod(F.xxhash64(*shape, F.col("a") == F.col("b")), F.lit(s.buckets)) + s.buckets
+    behind = lambda c: F.slice(c, 2, F.greatest(F.size(c), F.lit(1)))
+    pairs = F.arrays_zip(F.col("w").alias("a"), behind("w").alias("b"), F.col("v").alias("c"), behind("v").alias("d"))
+    each = rows.select(*keep, F.explode_outer(pairs).alias("x")).select(*keep, "x.a", "x.b", "x.c", "x.d")
+    pair = F.pmod(F.xxhash64("c", "d", F.col("a") == F.col("b")), F.lit(s.buckets)) + s.buckets
     return each.select(
         *keep,
         F.when(F.col("a").isNotNull(), F.pmod(F.xxhash64("a"), F.lit(s.buckets)).cast("int")).alias("word"),
@@ -183,7 +188,7 @@ def assess(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame
     ]
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rows = with_words(texts.select("doc_id", "text", *surface), "doc_id", *base[2:5])
-    rows = rows.select(*base[:1], F.size("w").cast("bigint").alias("n_words"), *base[2:5], repeated_words(s).alias("n_repeat_words"), "w")
+    rows = rows.select(*base[:1], F.size("w").cast("bigint").alias("n_words"), *base[2:5], repeated_words(s).alias("n_repeat_words"), "w", "v")
     counted = scored(rows, model.weights, s, *base)
     failed = (F.col("n_words") < s.words) | (100 * F.col("n_repeat_words") > s.repeated * F.col("n_words"))
     kept = ~failed & (F.col("ratio") >= F.lit(model.threshold))
