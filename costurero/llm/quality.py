@@ -14,14 +14,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costurero.llm.common import BLANKS, prepare
+from costurero.llm.common import BLANKS, prepare, stored
 
 SYMBOLS = "#*$%&|<>"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """`buckets` per kind of n-gram. `per_class` bounds the labelled documents that fit the target and threshold.
+    """`buckets` per kind of n-gram.
 
     A document fails the rules with fewer than `words` words, or with more than `repeated` percent of its words in
     windows of `window` words that it holds twice. The threshold lies `margin` of the way from the score that all but
@@ -29,7 +29,6 @@ class Settings:
     """
 
     buckets: int = 4096
-    per_class: int = 20_000
     words: int = 10
     window: int = 5
     repeated: int = 20
@@ -119,33 +118,34 @@ class Model:
     threshold: float
 
 
-def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
-    """Count the raw corpus and the target, and set the threshold.
+def marks(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality), one row per labelled document."""
+    return labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
 
-    At most `per_class` labelled documents of each quality, in the order of a hash of doc_id, are used for the target
-    and the threshold; their ids are broadcast. The raw corpus is every document. Where the bad documents do not score lower
-    than the good ones, the threshold is the good ones' own. Without good labels nothing is told apart and the threshold keeps all.
-    """
+
+def learned(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> list[float]:
+    """Weights of the buckets: the target is every document labelled good, the raw corpus every document."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    marked = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = None
-    for y in (0, 1):
-        part = marked.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.per_class)
-        chosen = part if chosen is None else chosen.unionAll(part)
-    sample = texts.join(F.broadcast(chosen), "doc_id")
+    good = texts.join(marks(labels).where("quality = 1"), "doc_id")
     raw = {r.bucket: r.n for r in counts(with_words(texts), s).collect()}
-    target = {r.bucket: r.n for r in counts(with_words(sample.where("quality = 1")), s).collect()}
-    weights = ratios(target, raw, s)
-    scores = scored(with_words(sample, "quality"), weights, s, "quality")
-    found = {
-        r.quality: r
-        for r in scores.groupBy("quality").agg(F.percentile_approx("ratio", F.lit(s.lost), F.lit(10_000)).alias("low"), F.avg("ratio").alias("mean")).collect()
-    }
+    target = {r.bucket: r.n for r in counts(with_words(good), s).collect()}
+    return ratios(target, raw, s)
+
+
+def threshold(scores: DataFrame, labels: DataFrame, s: Settings = Settings()) -> float:
+    """The ratio to reach, from the scores (doc_id, ratio) of every labelled document; no text moves.
+
+    Where the bad documents do not score lower than the good ones, it is the good ones' own. Without good labels
+    nothing is told apart and it keeps all.
+    """
+    marked = scores.select("doc_id", "ratio").join(marks(labels), "doc_id")
+    low = F.percentile_approx("ratio", F.lit(s.lost), F.lit(10_000)).alias("low")
+    found = {r.quality: r for r in marked.groupBy("quality").agg(low, F.avg("ratio").alias("mean")).collect()}
     if 1 not in found:
-        return Model(weights, float("-inf"))
-    low = found[1].low
-    bad = found[0].mean if 0 in found else low
-    return Model(weights, low - s.margin * max(0.0, low - bad))
+        return float("-inf")
+    reached = found[1].low
+    bad = found[0].mean if 0 in found else reached
+    return reached - s.margin * max(0.0, reached - bad)
 
 
 def repeated_words(s: Settings) -> Column:
@@ -173,11 +173,8 @@ def repeated_words(s: Settings) -> Column:
     return F.element_at(found, 1).cast("bigint")
 
 
-def assess(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
-    """One row per document: its counts, whether it fails the rules, its ratio, and whether it is kept.
-
-    A null text is an empty one: no words, so it fails. Every row is judged by itself, whatever its doc_id.
-    """
+def measured(docs: DataFrame, weights: list[float], s: Settings = Settings()) -> DataFrame:
+    """One row per document: its counts, whether it fails the rules, and its ratio. A null text is an empty one."""
     text = F.coalesce("text", F.lit(""))
     texts = docs.select("doc_id", text.alias("text"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -189,13 +186,27 @@ def assess(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rows = with_words(texts.select("doc_id", "text", *surface), "doc_id", *base[2:5])
     rows = rows.select(*base[:1], F.size("w").cast("bigint").alias("n_words"), *base[2:5], repeated_words(s).alias("n_repeat_words"), "w", "v")
-    counted = scored(rows, model.weights, s, *base)
+    counted = scored(rows, weights, s, *base)
     failed = (F.col("n_words") < s.words) | (100 * F.col("n_repeat_words") > s.repeated * F.col("n_words"))
-    kept = ~failed & (F.col("ratio") >= F.lit(model.threshold))
-    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), "ratio")
+    return counted.select(*base, failed.alias("base_failed"), "ratio")
+
+
+def judged(found: DataFrame, least: float) -> DataFrame:
+    """The rows of `measured` with whether the document is kept."""
+    kept = ~F.col("base_failed") & (F.col("ratio") >= F.lit(least))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "ratio")
+
+
+def assess(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
+    """One row per document: its counts, whether it fails the rules, its ratio, and whether it is kept.
+
+    A null text has no words, so it fails. Every row is judged by itself, whatever its doc_id.
+    """
+    return judged(measured(docs, model.weights, s), model.threshold)
 
 
 def report(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Fit, then assess every document."""
+    """Learn the weights, measure every document once, set the threshold by the labelled ones and judge all."""
     prepare(docs.sparkSession)
-    return assess(docs, fit(docs, labels, s), s)
+    found = stored(measured(docs, learned(docs, labels, s), s))
+    return judged(found, threshold(found, labels, s))

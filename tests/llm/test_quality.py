@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 from costurero.llm import quality
 
 
@@ -14,3 +16,15 @@ def test_pairs_see_the_whole_shape_of_words(documents):
     for junk in ("###win some here", "win a1b2c here", "win foo|bar here", "w--in some here"):
         got = pairs(documents, junk)
         assert len(got) == len(plain) and got != plain
+
+
+def test_every_labelled_document_counts(spark):
+    n = 21_000
+    docs = spark.range(n + 1000).selectExpr("id AS doc_id", "'alpha beta' AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality")
+    s = quality.Settings()
+    got = {round(w, 12) for w in quality.learned(docs, labels, s)}
+    log = lambda a, b, k: round(math.log((a + 1) / (k * n + s.buckets) / ((b + 1) / (k * (n + 1000) + s.buckets))), 12)
+    assert got == {log(n, n + 1000, 2), log(0, 0, 2), log(n, n + 1000, 1), log(0, 0, 1)}
+    scores = spark.range(n).selectExpr("id AS doc_id", "CAST(id AS double) AS ratio")
+    assert abs(quality.threshold(scores, labels, s) - s.lost * n) <= 3
