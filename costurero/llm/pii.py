@@ -13,6 +13,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import sys
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -42,8 +44,27 @@ CYRILLIC_END = {"m": "ов", "f": "ова"}
 
 GENDER = {name: (script, sex) for script, by in GIVEN.items() for sex, names in by.items() for name in names}
 TITLE_SEX = {t: sex for sex, ts in TITLES.items() for t in ts}
-WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zà-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zà-öø-ÿа-яё]+)?"
-TRIGGER = re.compile("[0-9@=:]|AKIA|sk-")
+
+
+def letters(*categories: str) -> str:
+    """The ranges of a character class of all characters of these Unicode categories."""
+    out, start = [], None
+    for i in range(sys.maxunicode + 2):
+        inside = i <= sys.maxunicode and unicodedata.category(chr(i)) in categories
+        if inside and start is None:
+            start = i
+        elif not inside and start is not None:
+            out.append(f"\\U{start:08x}-\\U{i - 1:08x}")
+            start = None
+    return "".join(out)
+
+
+UPPER, LOWER, OTHER_LETTERS = letters("Lu", "Lt"), letters("Ll"), letters("Lm", "Lo", "Mn", "Mc")
+#: A capital and at least one small letter, capitals inside as in McDonald, a prefix as in O'Neil, parts joined by
+#: hyphens; a word ends where no letter, mark or digit follows.
+PART = f"[{UPPER}][{UPPER}{OTHER_LETTERS}]*[{LOWER}][{UPPER}{LOWER}{OTHER_LETTERS}]*"
+WORD = rf"(?:[{UPPER}]['’])?{PART}(?:-{PART})*(?![\w{OTHER_LETTERS}])"
+TRIGGER = re.compile("[0-9@=:]|AKIA|ASIA|(?:sk|pk|ghp|xoxb)[-_]|[a-f]{32}")
 EMAIL = re.compile(r"(?<![\w.%+-])[A-Za-z0-9](?:[\w.%+-]*\w)?@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}", re.ASCII)
 SECRET = re.compile(
     r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?)([A-Za-z0-9_\-+/]{6,})"
@@ -214,11 +235,12 @@ def surrogate(kind: str, normal: str, key: bytes, attempt: int = 0) -> str:
         return normal[:n] + same_format(normal[n:], key, label)
     if kind.startswith(("given", "family")):
         part, sex = kind.split("_")
-        script = "cyrillic" if re.match("[А-Яа-яЁё]", normal) else "latin"
+        script = "cyrillic" if "\u0400" <= normal[0] <= "\u04ff" else "latin"
         x = number(key, label, normal)
-        if part == "given" and not attempt:
-            names = GIVEN[script][sex]
-            return names[(names.index(normal) + 1 + x % (len(names) - 1)) % len(names)] if normal in names else names[x % len(names)]
+        if part == "given" and not attempt and normal in GIVEN[script][sex]:
+            # Each name becomes the next one in a keyed order of the list, so all stay distinct.
+            names = sorted(GIVEN[script][sex], key=lambda name: number(key, part, sex, name))
+            return names[(names.index(normal) + 1) % len(names)]
         made = ""
         for _ in range(3 + attempt // 4):
             x, i = divmod(x, len(SYLLABLES[script]))
@@ -267,7 +289,8 @@ def mentions(docs: DataFrame) -> DataFrame:
 def drawn_again(seen: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
     """(kind, normal, attempt) of the entities whose first replacement is taken.
 
-    Given names share a short list by design (two people may have one given name), so only their own mention counts.
+    Kinds that differ by gender only are checked together. The listed given names change places among themselves, so
+    that one of them is an entity too does not count; it does for one that drew again.
     """
 
     def make():
@@ -277,15 +300,17 @@ def drawn_again(seen: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
 
         return run
 
-    known = stored(seen.where("NOT startswith(kind, 'given')").select("kind", "normal").distinct())
+    known = stored(seen.select("kind", "normal").distinct())
     table = known.withColumn("attempt", F.lit(0))
+    group = F.substring_index("kind", "_", 1).alias("group")
     for _ in range(rounds):
-        table = stored(map_batches(table, "kind string, normal string, attempt int, new string", make))
-        shared = table.groupBy("kind", "new").agg(F.min(F.struct("attempt", "normal")).alias("first"), F.count("*").alias("n"))
-        clash = shared.where("n > 1").select("kind", "new", F.col("first.normal").alias("holder"))
-        taken = known.select("kind", F.col("normal").alias("new"), F.lit(True).alias("taken"))
-        marked = table.join(clash, ["kind", "new"], "left").join(taken, ["kind", "new"], "left")
-        again = F.coalesce("taken", F.lit(False)) | (F.col("holder") != F.col("normal"))
+        table = stored(map_batches(table, "kind string, normal string, attempt int, new string", make)).select("*", group)
+        shared = table.groupBy("group", "new").agg(F.min(F.struct("attempt", "kind", "normal")).alias("first"), F.count("*").alias("n"))
+        clash = shared.where("n > 1").select("group", "new", F.struct("first.kind", "first.normal").alias("holder"))
+        taken = known.select(group, F.col("normal").alias("new"), F.lit(True).alias("taken")).distinct()
+        marked = table.join(clash, ["group", "new"], "left").join(taken, ["group", "new"], "left")
+        swapped = (F.col("group") == "given") & (F.col("attempt") == 0)
+        again = (F.coalesce("taken", F.lit(False)) & ~swapped) | (F.col("holder") != F.struct("kind", "normal"))
         checked = stored(marked.select("kind", "normal", "attempt", F.coalesce(again, F.lit(False)).alias("again")))
         if checked.where("again").isEmpty():
             break
