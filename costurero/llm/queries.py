@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costurero.llm import bytes_dedup, contamination, html_main, lines, packing, passages, pii, quality, simhash, toxicity
+from costurero.llm import (
+    bytes_dedup, contamination, fill_middle, html_main, lines, packing, passages, pii, quality, simhash, toxicity, turns, url_filter,
+)
 from costurero.llm.common import prepare, table
 from costurero.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
@@ -62,6 +64,21 @@ def op10_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     return pii.surrogates(table(spark, folder, "documents"), b"costurero")
 
 
+def op11_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule and verdict of every page's URL."""
+    return url_filter.report(table(spark, folder, "pages"))
+
+
+def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document cut for fill-in-the-middle training, as digests."""
+    return fill_middle.report(table(spark, folder, "documents"))
+
+
+def op13_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after damage."""
+    return turns.damage_report(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_packing": op2_packing,
@@ -73,4 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_contamination": op8_contamination,
     "op9_toxicity": op9_toxicity,
     "op10_surrogates": op10_surrogates,
+    "op11_url_filter": op11_url_filter,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_turn_repair": op13_turn_repair,
 }

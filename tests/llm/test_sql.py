@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_query_agrees_with_its_sql(spark, name):
     connection = duckdb.connect()
-    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "pages", "conversations"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = connection.execute(ORACLE_SQL[name])
     columns = [c[0] for c in want.description]
     got = QUERIES[name](spark, SF)
