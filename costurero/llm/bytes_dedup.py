@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costurero.llm.common import map_batches, prepare, stored
+from costurero.llm.common import deal, map_batches, numbered, prepare, stored
 from costurero.llm.passages import BASES, PACKED, Rolling, by_key, from_planes, packed_rows, planes, schema_of, settled_rows
 from costurero.llm.suffix import common_prefixes, suffix_array
 
@@ -29,8 +29,8 @@ CODES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * n
 #: Not a byte of UTF-8.
 BORDER = b"\xff"
 
-ANCHORS = "anchor bigint, doc_id bigint, start bigint, n int"
-PIECES = "doc_id bigint, start bigint, n int, anchor bigint, digest_a bigint, digest_b bigint, body binary, copies int, " + PACKED
+ANCHORS = "anchor bigint, row bigint, start bigint, n int"
+PIECES = "row bigint, start bigint, n int, anchor bigint, digest_a bigint, digest_b bigint, body binary, copies int, " + PACKED
 SPANS = "digest_a bigint, digest_b bigint, spans binary"
 
 
@@ -124,15 +124,15 @@ def anchors(docs: DataFrame, s: Settings) -> DataFrame:
             cells = [anchor, texts.docs[row], place, n.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, schema)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, ANCHORS)
+    return docs.select("row", "text").mapInArrow(run, ANCHORS)
 
 
 def pieces(docs: DataFrame, wanted: DataFrame, n_keys: int, s: Settings) -> DataFrame:
-    """For `wanted` (doc_id, start, n, anchor, hot): occurrences with the digest of their segment, a segment's bytes
+    """For `wanted` (row, start, n, anchor, hot): occurrences with the digest of their segment, a segment's bytes
     once per task and digest, and for hot anchors packed digests of single windows.
     """
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("wanted"))
-    joined = docs.select("doc_id", "text").join(per_doc, "doc_id")
+    per_row = wanted.groupBy("row").agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("wanted"))
+    joined = docs.select("row", "text").join(per_row, "row")
     schema, packed = schema_of(PIECES), schema_of(PACKED)
 
     def with_all(columns: dict, n: int) -> pa.RecordBatch:
@@ -167,7 +167,7 @@ def pieces(docs: DataFrame, wanted: DataFrame, n_keys: int, s: Settings) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolls = [Rolling(b) for b in BASES]
         for texts, more in texts_in(batches, s):
-            out = {k: [] for k in ("doc_id", "start", "n", "anchor", "digest_a", "digest_b", "body", "copies")}
+            out = {k: [] for k in ("row", "start", "n", "anchor", "digest_a", "digest_b", "body", "copies")}
             bodies: dict[bytes, int] = {}
             hot: list[tuple[int, int, int]] = []
             for row, (doc, base, (found,)) in enumerate(zip(texts.docs.tolist(), texts.start.tolist(), more)):
@@ -182,12 +182,12 @@ def pieces(docs: DataFrame, wanted: DataFrame, n_keys: int, s: Settings) -> Data
                         out["copies"][bodies[digest]] += 1
                         body = None
                     else:
-                        bodies[digest] = len(out["doc_id"])
+                        bodies[digest] = len(out["row"])
                     low, high = np.frombuffer(digest, "<i8").tolist()
                     for k, v in zip(out, (doc, w["start"], w["n"], w["anchor"], low, high, body, 1)):
                         out[k].append(v)
-            if out["doc_id"]:
-                yield with_all(out, len(out["doc_id"]))
+            if out["row"]:
+                yield with_all(out, len(out["row"]))
             if hot:
                 for batch in digests(texts, rolls, hot):
                     yield from_packed(batch)
@@ -211,11 +211,11 @@ def repeated_starts(bodies: list[bytes], length: int) -> list[np.ndarray]:
     return [np.flatnonzero(flag[a : a + n]) for a, n in zip(start.tolist(), size.tolist())]
 
 
-def shards(made: DataFrame, s: Settings) -> DataFrame:
+def shards(made: DataFrame, n_keys: int, s: Settings) -> DataFrame:
     """(digest_a, digest_b, spans): repeated window starts of each segment that has any."""
     schema = schema_of(SPANS)
     rows = made.where("body IS NOT NULL").select("anchor", "digest_a", "digest_b", "body", "n", "copies")
-    dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "digest_a", "digest_b")
+    dealt = rows.repartition(deal(made.sparkSession, n_keys), "anchor").sortWithinPartitions("anchor", "digest_a", "digest_b")
 
     def solved(groups: list[dict]) -> pa.RecordBatch:
         """`groups`: of each anchor the distinct segments {digest: [body, n, copies]}."""
@@ -254,22 +254,23 @@ def shards(made: DataFrame, s: Settings) -> DataFrame:
     return dealt.mapInArrow(run, SPANS)
 
 
-def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, spans): for each document the packed (offset, relative starts) of its repeated windows."""
-    prepare(docs.sparkSession)
-    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+def repeats(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(row, spans): for each of the `numbered` rows the packed (offset, relative starts) of its repeated windows."""
+    prepare(rows.sparkSession)
+    known = rows.where("text IS NOT NULL")
     chars = known.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
     n_keys = chars // s.bucket + 1
     seen = stored(anchors(known, s))
-    counts = seen.groupBy("anchor").count().where("count > 1")
-    wanted = seen.join(counts, "anchor").select("doc_id", "start", "n", "anchor", (F.col("count") > s.hot).alias("hot"))
+    # Written before they are joined: both sides then come by a shuffle of their own, which can be split at a hot anchor.
+    counts = stored(seen.groupBy("anchor").count().where("count > 1"))
+    wanted = seen.join(counts, "anchor").select("row", "start", "n", "anchor", (F.col("count") > s.hot).alias("hot"))
     made = stored(pieces(known, wanted, n_keys, s))
-    spans = stored(shards(made, s))
-    placed = made.where("anchor IS NOT NULL").select("doc_id", "start", "digest_a", "digest_b")
-    plain = placed.join(spans, ["digest_a", "digest_b"]).select("doc_id", "start", "spans")
+    spans = stored(shards(made, n_keys, s))
+    placed = made.where("anchor IS NOT NULL").select("row", "start", "digest_a", "digest_b")
+    plain = placed.join(spans, ["digest_a", "digest_b"]).select("row", "start", "spans")
     hot = by_key(made.where("key IS NOT NULL").select(*schema_of(PACKED).names), n_keys, more_than_one)
-    both = plain.unionAll(hot.select("doc_id", F.lit(0).cast("bigint").alias("start"), F.col("places").alias("spans")))
-    return both.groupBy("doc_id").agg(F.collect_list(F.struct("start", "spans")).alias("spans"))
+    both = plain.unionAll(hot.select("row", F.lit(0).cast("bigint").alias("start"), F.col("places").alias("spans")))
+    return both.groupBy("row").agg(F.collect_list(F.struct("start", "spans")).alias("spans"))
 
 
 def more_than_one(doc: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -297,11 +298,11 @@ def removed_bytes(n: int, spans: list[dict] | None, length: int) -> np.ndarray:
 def without_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, kept, n_bytes, n_removed, n_spans): the bytes left of every row, and what went.
 
-    A string that repeats inside its own document counts. Null texts are empty; a null doc_id is not compared. Rows
-    that share a doc_id are compared like different documents, but what is repeated in one of them at some place is
-    removed at that place from all of them, so ids should be unique.
+    A string that repeats inside its own document counts. Null texts are empty. Every row is a document of its own,
+    whether it shares its doc_id with others or has none.
     """
-    joined = docs.select("doc_id", "text").join(repeats(docs, s), "doc_id", "left")
+    rows = numbered(docs)
+    joined = rows.join(repeats(rows, s), "row", "left").select("doc_id", "text", "spans")
 
     def make():
         def run(cols):

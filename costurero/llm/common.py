@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import costurero.llm
 
@@ -62,6 +63,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text) of every row, written once: the number tells rows apart whatever ids they share or lack."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+
+
+def deal(spark: SparkSession, buckets: int) -> int:
+    """Partitions for so many buckets of bounded size: a few buckets each, which a task takes one after the other."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets // 4 + 1, 32_000))
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]]) -> DataFrame:
     """Rows through a function of Python columns, batch by batch.
 

@@ -22,11 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costurero.llm.common import byte_words, map_batches, prepare, stored
+from costurero.llm.common import byte_words, deal, map_batches, numbered, prepare, stored
 
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-PACKED = "key int, docs binary, counts binary, places binary, low binary, high binary"
-MARKS = "doc_id bigint, places binary"
+PACKED = "key int, docs binary, ids binary, counts binary, places binary, low binary, high binary"
+MARKS = "row bigint, places binary"
 
 
 @dataclass(frozen=True)
@@ -88,8 +88,8 @@ def runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.concatenate([start, [len(sorted_)]]))
 
 
-def packed_rows(key, doc, place, low, high, schema) -> pa.RecordBatch:
-    """Entries sorted by key and doc, packed to one row per key."""
+def packed_rows(key, doc, place, low, high, schema, ids=None) -> pa.RecordBatch:
+    """Entries sorted by key and doc (a row's number), packed to one row per key; with `ids` also each doc's own id."""
     cells = {f.name: [] for f in schema}
     starts, sizes = runs(key)
     for a, n in zip(starts.tolist(), sizes.tolist()):
@@ -97,6 +97,7 @@ def packed_rows(key, doc, place, low, high, schema) -> pa.RecordBatch:
         first, counts = runs(doc[part])
         cells["key"].append(int(key[a]))
         cells["docs"].append(doc[part][first].astype("<i8").tobytes())
+        cells["ids"].append(None if ids is None else ids[part][first].astype("<i8").tobytes())
         cells["counts"].append(planes(counts))
         cells["places"].append(planes(place[part]))
         cells["low"].append(low[part].tobytes())
@@ -119,7 +120,7 @@ def settled_rows(doc: np.ndarray, place: np.ndarray, n_keys: int, schema: pa.Sch
 
 
 def collected(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple]]:
-    """Rows of the batches in pieces of about `size` words; a row is (doc_id, words, further columns)."""
+    """Rows of the batches in pieces of about `size` words; a row is (number, words, further columns)."""
     held, n = [], 0
     for batch in batches:
         for doc, text, *more in zip(*[c.to_pylist() for c in batch.columns]):
@@ -183,16 +184,16 @@ def probes(docs: DataFrame, n_keys: int, settings: Settings) -> DataFrame:
             at, key = at[order], key[order]
             yield packed_rows(key, doc[at], place[at], (h[at] & np.uint64(0xFFFFFFFF)).astype("<u4"), None, schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PACKED)
+    return docs.select("row", "text").mapInArrow(run, PACKED)
 
 
-def unpacked(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Documents and places of packed rows."""
-    docs = [np.repeat(np.frombuffer(r["docs"], "<i8"), from_planes(r["counts"])) for r in rows]
+def unpacked(rows: list[dict], name: str = "docs") -> tuple[np.ndarray, np.ndarray]:
+    """Documents (their rows' numbers, or their ids) and places of packed rows."""
+    docs = [np.repeat(np.frombuffer(r[name], "<i8"), from_planes(r["counts"])) for r in rows]
     return np.concatenate(docs), np.concatenate([from_planes(r["places"]) for r in rows])
 
 
-def grouped(packed: DataFrame, out: str, settle) -> DataFrame:
+def grouped(packed: DataFrame, n_keys: int, out: str, settle) -> DataFrame:
     """Packed rows brought together by key; `settle(key, rows)` makes a batch of each key's rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,11 +207,13 @@ def grouped(packed: DataFrame, out: str, settle) -> DataFrame:
         if held:
             yield settle(held[0]["key"], held)
 
-    return packed.repartition("key").sortWithinPartitions("key").mapInArrow(run, out)
+    dealt = packed.repartition(deal(packed.sparkSession, n_keys), "key")
+    return dealt.sortWithinPartitions("key").mapInArrow(run, out)
 
 
 def by_key(packed: DataFrame, n_keys: int, decide) -> DataFrame:
-    """(doc_id, places), one row per document, of the packed entries that `decide(doc, place, low, high)` marks.
+    """(row, places), one line per row, of the packed entries that `decide(doc, place, low, high)` marks; where entries
+    carry their documents' ids, these are what `decide` sees.
 
     Marks leave their bucket packed by a key of their document, so that their rows do not multiply with the buckets.
     """
@@ -221,7 +224,7 @@ def by_key(packed: DataFrame, n_keys: int, decide) -> DataFrame:
         if key >= 0:
             low = np.concatenate([np.frombuffer(r["low"], "<u8" if r["high"] is not None else "<u4") for r in rows])
             high = np.concatenate([np.frombuffer(r["high"], "<u8") for r in rows]) if rows[0]["high"] is not None else None
-            hit = decide(doc, place, low, high)
+            hit = decide(unpacked(rows, "ids")[0] if rows[0]["ids"] is not None else doc, place, low, high)
             doc, place = doc[hit], place[hit]
         return settled_rows(doc, place, n_keys, between)
 
@@ -233,11 +236,11 @@ def by_key(packed: DataFrame, n_keys: int, decide) -> DataFrame:
         cells = [doc[start], [planes(place[a : a + n]) for a, n in zip(start.tolist(), size.tolist())]]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, schema)], schema=schema)
 
-    return grouped(grouped(packed, PACKED, in_bucket), MARKS, of_document)
+    return grouped(grouped(packed, n_keys, PACKED, in_bucket), n_keys, MARKS, of_document)
 
 
 def hits(docs: DataFrame, n_keys: int, settings: Settings) -> DataFrame:
-    """(doc_id, places): places of probes equal to a reference block elsewhere, and of such blocks."""
+    """(row, places): places of probes equal to a reference block elsewhere, and of such blocks."""
     block = settings.block
 
     def decide(doc, place, low, high):
@@ -252,12 +255,12 @@ def hits(docs: DataFrame, n_keys: int, settings: Settings) -> DataFrame:
 
 
 def repeated(docs: DataFrame, found: DataFrame, n_keys: int, settings: Settings) -> DataFrame:
-    """(doc_id, places): starts of windows that also start in a document with a smaller doc_id.
+    """(row, places): starts of windows that also start in a document with a smaller doc_id.
 
     Only windows over a hit are compared.
     """
     window, block, schema = settings.window, settings.block, schema_of(PACKED)
-    joined = docs.select("doc_id", "text").join(found, "doc_id")
+    joined = docs.join(found, "row").select("row", "text", "places", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolls = [Rolling(b) for b in BASES]
@@ -268,7 +271,7 @@ def repeated(docs: DataFrame, found: DataFrame, n_keys: int, settings: Settings)
             text = Joined(rows)
             row, place = text.within(window)
             cover = np.zeros(len(text.codes) + 1, np.int64)
-            for start, (_, _, marked) in zip(text.start.tolist(), rows):
+            for start, (_, _, marked, _) in zip(text.start.tolist(), rows):
                 p = from_planes(marked)
                 np.add.at(cover, start + np.maximum(p - (window - block), 0), 1)
                 np.add.at(cover, start + p + 1, -1)
@@ -276,20 +279,20 @@ def repeated(docs: DataFrame, found: DataFrame, n_keys: int, settings: Settings)
             row, place = row[near], place[near]
             if not len(row):
                 continue
-            at, doc = text.start[row] + place, text.doc[row]
+            at, doc, own = text.start[row] + place, text.doc[row], np.array([r[3] for r in rows], np.int64)[row]
             low, high = (roll(text.codes, window)[at] for roll in rolls)
-            order = np.lexsort((doc, high, low))
+            order = np.lexsort((own, high, low))
             new = np.concatenate([[True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])])
             first = np.zeros(len(low), np.int64)
-            first[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-            settled = doc > first
+            first[order] = own[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+            settled = own > first
             if settled.any():
                 yield settled_rows(doc[settled], place[settled], n_keys, schema)
             at = np.flatnonzero(~settled)
             key = (low[at] >> np.uint64(32)).astype(np.int64) % n_keys
             order = np.lexsort((place[at], doc[at], key))
             at, key = at[order], key[order]
-            yield packed_rows(key, doc[at], place[at], low[at].astype("<u8"), high[at].astype("<u8"), schema)
+            yield packed_rows(key, doc[at], place[at], low[at].astype("<u8"), high[at].astype("<u8"), schema, own[at])
 
     def decide(doc, place, low, high):
         order = np.lexsort((doc, high, low))
@@ -312,10 +315,10 @@ def removed_words(n: int, starts: bytes, window: int) -> np.ndarray:
     return np.cumsum(cover)[:n] > 0
 
 
-def repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, starts): for each document, packed starts of its windows that a smaller doc_id has too."""
-    prepare(docs.sparkSession)
-    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+def repeats(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(row, starts): for each of the `numbered` rows, packed starts of its windows that a smaller doc_id has too."""
+    prepare(rows.sparkSession)
+    known = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
     chars = known.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
     n_keys = chars // settings.bucket + 1
     found = stored(hits(known, n_keys, settings))
@@ -325,7 +328,8 @@ def repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 def without_repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, text, n_words, n_removed): kept words joined by one blank."""
-    joined = docs.select("doc_id", "text").join(repeats(docs, settings), "doc_id", "left")
+    rows = numbered(docs)
+    joined = rows.join(repeats(rows, settings), "row", "left").select("doc_id", "text", "starts")
 
     def make():
         def run(cols):
@@ -349,8 +353,9 @@ def without_repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 def report(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row.
 
-    Null and wordless texts have no words and the empty text's digest. A null doc_id is not compared and loses
-    nothing; rows that share a doc_id are one document, so they remove nothing from each other.
+    Null and wordless texts have no words and the empty text's digest. A null doc_id is neither smaller nor greater than
+    another, so its row removes and loses nothing. Rows that share a doc_id, with equal or other texts, remove nothing from
+    each other; each loses what a smaller doc_id has.
     """
     kept = without_repeats(docs, settings)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -54,6 +54,53 @@ def test_passages_of_odd_rows(documents, odd):
     assert passages.report(odd.where("false")).count() == 0
 
 
+def shared_ids(seed):
+    """Texts of `soup` under few ids, some of them null: rows share an id with texts of other lengths."""
+    rng = random.Random(seed)
+    ids = [None, 1, 1, 2, 2, 2, 3, 5, 8]
+    rows = [(rng.choice(ids), t) for _, t in soup(seed, 40)]
+    a, b, c = ("w " * 200).strip(), " ".join(f"v{i}" for i in range(200)), " ".join(f"u{i}" for i in range(60))
+    return rows + [(1, a), (2, c), (2, a), (2, c + " " + a), (9, a), (9, b), (4, a), (4, None), (None, a), (None, b)]
+
+
+@pytest.mark.parametrize("window", [6, 50])
+def test_passages_of_rows_that_share_an_id(documents, window):
+    docs = shared_ids(window)
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in docs]
+    first = {}
+    for (i, _), w in zip(docs, words):
+        for k in range(len(w) - window + 1) if i is not None else ():
+            first[tuple(w[k : k + window])] = min(first.get(tuple(w[k : k + window]), i), i)
+    want = []
+    for (i, _), w in zip(docs, words):
+        gone = [False] * len(w)
+        for k in range(len(w) - window + 1) if i is not None else ():
+            if first[tuple(w[k : k + window])] < i:
+                gone[k : k + window] = [True] * window
+        kept = " ".join(a for a, g in zip(w, gone) if not g)
+        want.append(str((i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())))
+    got = passages.report(documents(docs), passages.Settings(window=window, bucket=500, batch=100)).collect()
+    assert sorted(str(tuple(r)) for r in got) == sorted(want)
+    assert window != 50 or any("200, 0" in w for w in want)
+
+
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_bytes_of_rows_that_share_an_id(documents, hot):
+    docs, length = shared_ids(8), 24
+    counts = collections.Counter(b[k : k + length] for _, t in docs for b in [(t or "").encode()] for k in range(len(b) - length + 1))
+    want = []
+    for i, t in docs:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if counts[b[k : k + length]] > 1:
+                gone[k : k + length] = b"\1" * length
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        want.append(str((i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())))
+    s = bytes_dedup.Settings(length=length, gram=6, shard=400, hot=hot, batch=600, bucket=700)
+    assert sorted(str(tuple(r)) for r in bytes_dedup.report(documents(docs), s).collect()) == sorted(want)
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(4)
     for t in range(250):
@@ -100,6 +147,7 @@ def test_bytes_match_brute_force(documents, hot):
 def test_bytes_of_odd_rows(documents, odd):
     got = {(r.doc_id, r.n_bytes > 400): r.n_removed for r in bytes_dedup.report(odd).collect()}
     assert got[5, True] == got[6, True] > 0 and got[1, False] == got[None, False] == 0
+    assert bytes_dedup.report(documents([(None, "x" * 300 + "y" * 200), (1, "x" * 300 + "y" * 200)])).where("n_removed = 500").count() == 2
     assert bytes_dedup.report(odd.where("false")).count() == 0
 
 

@@ -41,7 +41,7 @@ def brute_roots(codes, differ):
 
 def near_codes(n, seed):
     rng = random.Random(seed)
-    codes = [rng.getrandbits(64) for _ in range(n // 4)]
+    codes = [rng.getrandbits(64) for _ in range(max(1, n // 4))]
     while len(codes) < n:
         codes.append(rng.choice(codes) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (rng.random() < 0.3) << rng.randrange(64))
     return sorted(set(codes))
