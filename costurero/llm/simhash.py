@@ -70,18 +70,21 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint's 64 bits as a bigint. Null and wordless texts have zero."""
+    """(doc_id, same, fp) of every row; fp is the fingerprint's 64 bits as a bigint, `same` a digest that tells the texts
+    of rows that share a doc_id apart. Null and wordless texts have fingerprint zero.
+    """
 
     def make():
         def run(cols):
             found = [shingle_hashes(t, width) for t in cols["text"]]
             sizes = np.array([len(x) for x in found], np.int64)
             hashes = np.array([h for x in found for h in x], np.uint64)
-            return {"doc_id": cols["doc_id"], "fp": majority(hashes, sizes).view(np.int64)}
+            return {"doc_id": cols["doc_id"], "same": cols["same"], "fp": majority(hashes, sizes).view(np.int64)}
 
         return run
 
-    return map_batches(docs.select("doc_id", "text"), "doc_id bigint, fp bigint", make)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("same"))
+    return map_batches(rows, "doc_id bigint, same bigint, fp bigint", make)
 
 
 # ---------------------------------------------------------------- groups by masked pattern
@@ -253,6 +256,22 @@ def links(fps: DataFrame, differ: int, most: int = 4096) -> DataFrame:
 # ---------------------------------------------------------------- results
 
 
+def grouped(docs: DataFrame, width: int, differ: int) -> DataFrame:
+    """(doc_id, same, fp, component_id) of every row.
+
+    Nodes and their roots are written before they meet: a root of very many nodes, and a fingerprint of very many rows,
+    then come by a shuffle that can be split.
+    """
+    prepare(docs.sparkSession)
+    prints = stored(fingerprints(docs, width))
+    firsts = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    tree = components(links(firsts.select("fp"), differ)).withColumnRenamed("node", "fp")
+    members = stored(firsts.join(tree, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    least = stored(members.groupBy("root").agg(F.min("first").alias("component_id")))
+    classes = stored(members.join(least, "root").select("fp", "component_id"))
+    return prints.join(classes, "fp")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, differ: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row.
 
@@ -260,22 +279,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, differ: int = 2) -> DataFra
     however many they are. Null and wordless texts have fingerprint zero and link like any other. Rows that repeat
     a doc_id each get their own row; a null doc_id takes part but is never a component's id unless all are null.
     """
-    prepare(docs.sparkSession)
-    prints = stored(fingerprints(docs, width))
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    tree = components(links(firsts.select("fp"), differ)).withColumnRenamed("node", "fp")
-    members = firsts.join(tree, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = members.join(least, "root").select("fp", "component_id")
-    joined = prints.join(classes, "fp")
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return grouped(docs, width, differ).select("doc_id", fingerprint, "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 3, differ: int = 2) -> DataFrame:
     """The rows of the document with the smallest doc_id of each component, with all their columns.
 
-    Rows without doc_id stay.
+    Rows without doc_id stay. Of rows that share a doc_id only those go whose own text is in another's component.
     """
-    found = near_duplicates(docs, width, differ)
-    losers = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    losers = grouped(docs, width, differ).where("doc_id <> component_id").select("doc_id", "same").distinct()
+    lost = losers.select(F.col("doc_id").alias("lost_id"), "same")
+    found = (docs["doc_id"] == lost["lost_id"]) & (F.xxhash64(docs["text"]) == lost["same"])
+    return docs.join(lost, found, "left_anti")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from costurero.llm import simhash
 from costurero.llm.components import components
 
@@ -99,6 +100,27 @@ def test_one_of_each_keeps_columns_and_rows_without_id(documents, odd):
     assert sorted(i for i in ids if i is not None) == [1, 4, 4, 5, 7] and ids.count(None) == 2
 
 
+def test_rows_that_share_an_id_go_by_their_own_text(documents):
+    like, unlike = "one two three four five six seven", "other words stand here and nothing of it is above"
+    docs = documents([(1, like), (2, like), (2, unlike), (3, unlike), (None, like), (4, None), (5, None)])
+    kept = simhash.one_of_each(docs).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in kept) == sorted(map(str, [(1, like), (2, unlike), (None, like), (4, None)]))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stage_keeps_the_smallest_of_each_component_of_brute_force(spark, documents, seed):
+    rng = random.Random(seed)
+    texts = []
+    while len(texts) < 150:
+        words = rng.choice(texts).split() if texts and rng.random() < 0.6 else [f"w{rng.randrange(900)}" for _ in range(rng.randrange(0, 400))]
+        if words and rng.random() < 0.7:
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    roots = brute_roots([brute_fingerprint(t) for t in texts], 2)
+    kept = corpus_pipeline.one_of_each_group(spark, documents(list(enumerate(texts))), "").collect()
+    assert {r.doc_id for r in kept} == set(roots) and len(set(roots)) < 140
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "v bigint, u bigint")
     found = {r.node: r.root for r in components(edges).collect()}
