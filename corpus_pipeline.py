@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costurero.llm import contamination, lines, packing, similar, toxicity
+from costurero.llm import contamination, lines, packing, simhash, toxicity
 from costurero.llm.common import prepare, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -25,8 +25,8 @@ def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    return similar.one_of_each(docs)
+    """The document with the smallest doc_id of each group of near-duplicates: three-word shingles, two differing bits."""
+    return simhash.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
