@@ -223,14 +223,14 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "orders_status_to_dye": lambda t: OP.sub_list(orders_status_pct(t), "to_dye", "status"),
     "orders_status_to_dispatch": lambda t: OP.sub_list(orders_status_pct(t), "to_dispatch", "status"),
     "process_summary": lambda t: PM.process_summary(t, DELIVERED_AFTER),
-    "process_matrix": lambda t: PM.process_matrix(PM.process_summary(t, DELIVERED_AFTER)),
-    "process_matrix_text": lambda t: PM.presentation(PM.process_matrix(PM.process_summary(t, DELIVERED_AFTER))),
-    "matrix_filtered": lambda t: PM.process_matrix(P.cascade(PM.process_summary(t, DELIVERED_AFTER), CLIENT)),
+    "process_matrix": lambda t: PM.process_report(t, DELIVERED_AFTER),
+    "process_matrix_text": lambda t: PM.presentation(PM.process_report(t, DELIVERED_AFTER)),
+    "matrix_filtered": lambda t: PM.process_report(t, DELIVERED_AFTER, CLIENT),
     "cut_progress": lambda t: CP.cut_progress(t, *PLANNED),
     "cut_progress_filtered": lambda t: CP.cut_progress(t, *EVER, cliente=" building "),
     "cut_progress_kpis": lambda t: CP.cut_progress_kpis(CP.cut_progress(t, *PLANNED)),
     "cut_orders": lambda t: CC.cut_orders(t, *EVER),
-    "cut_by_client": lambda t: CC.cut_by_client(CC.op_lists(CC.cut_orders(t, *CUT))),
+    "cut_by_client": lambda t: CC.cut_by_client_report(t, *CUT),
     "cut_by_client_kpis": lambda t: CC.cut_by_client_kpis(CC.cut_orders(t, *CUT)),
     "packages": lambda t: PK.packages(t, MAX_UNITS),
     "packages_one_os": lambda t: PK.packages(t, MAX_UNITS, ONE_OS),

@@ -22,7 +22,25 @@ def cut_orders(tables: Tables, start: date | str, end: date | str) -> DataFrame:
     Clients equal in their first 15 characters are one client here. Registration is compared
     as an instant, so of the last day only midnight counts.
     """
-    notes = (
+    production = with_master(
+        _production(tables).select("_op", F.col("CoddocOrdenProduccion").alias("OP"), "IdmaeAnexo_Cliente"),
+        tables, "maeAnexoCliente", "IdmaeAnexo_Cliente", _client="NommaeAnexoCliente",
+    )
+    lines = _lines(tables).select("_note", S.whole(F.col("dCantidadIng")).alias("_units"))
+    return (
+        _notes(tables, start, end)
+        .join(production, F.col("IdDocumento_OrdenProduccion") == F.col("_op"))
+        .join(lines, F.col("IdDocumento_NotaInventario") == F.col("_note"))
+        .groupBy(
+            F.to_date("dtFechaRegistro").alias("DIA"), S.first_chars(F.col("_client")).alias("CLIENTE"), "OP"
+        )
+        .agg(F.sum("_units").alias("UNID"))
+    )
+
+
+def _notes(tables: Tables, start: date | str, end: date | str) -> DataFrame:
+    """Cutting notes of the range."""
+    return (
         P.where_equal(
             tables["docNotaInventario"],
             IdtdDocumentoForm=K.FORM_STOCK_NOTE,
@@ -34,28 +52,46 @@ def cut_orders(tables: Tables, start: date | str, end: date | str) -> DataFrame:
         .where(P.nonzero("IdDocumento_OrdenProduccion") & P.instant_range("dtFechaRegistro", start, end))
         .select("IdDocumento_NotaInventario", "IdDocumento_OrdenProduccion", "dtFechaRegistro")
     )
-    production = P.where_equal(
+
+
+def _production(tables: Tables) -> DataFrame:
+    """Open garment production orders."""
+    return P.where_equal(
         tables["docOrdenProduccion"], bCerrado=0, bAnulado=0, IdtdDocumentoForm=K.FORM_GARMENT_ORDER
-    ).select(
-        F.col("IdDocumento_OrdenProduccion").alias("_op"), F.col("CoddocOrdenProduccion").alias("OP"),
-        "IdmaeAnexo_Cliente",
-    )
-    production = with_master(
-        production, tables, "maeAnexoCliente", "IdmaeAnexo_Cliente", _client="NommaeAnexoCliente"
-    )
-    lines = (
+    ).withColumnRenamed("IdDocumento_OrdenProduccion", "_op")
+
+
+def _lines(tables: Tables) -> DataFrame:
+    """Lines of stock notes that move something."""
+    return (
         tables["docNotaInventarioItem"]
         .where(P.nonzero("dCantidadIng"))
-        .select(F.col("IdDocumento_NotaInventario").alias("_note"), S.whole(F.col("dCantidadIng")).alias("_units"))
+        .withColumnRenamed("IdDocumento_NotaInventario", "_note")
     )
-    return (
-        notes.join(production, F.col("IdDocumento_OrdenProduccion") == F.col("_op"))
-        .join(lines, F.col("IdDocumento_NotaInventario") == F.col("_note"))
-        .groupBy(
-            F.to_date("dtFechaRegistro").alias("DIA"), S.first_chars(F.col("_client")).alias("CLIENTE"), "OP"
-        )
-        .agg(F.sum("_units").alias("UNID"))
+
+
+def client_names(tables: Tables, start: date | str, end: date | str) -> list[str]:
+    """The clients that have a column in the report of the range, from keys alone.
+
+    Notes that move something lead to production orders, these to client ids, and only the distinct ids meet
+    the clients' names: no unit is summed and no document's text is read.
+    """
+    moved = _notes(tables, start, end).join(
+        _lines(tables).select("_note"), F.col("IdDocumento_NotaInventario") == F.col("_note"), "left_semi"
+    )
+    ids = (
+        _production(tables)
+        .join(moved.select(F.col("IdDocumento_OrdenProduccion").alias("_moved")), F.col("_op") == F.col("_moved"), "left_semi")
+        .select("IdmaeAnexo_Cliente")
+        .distinct()
     )
+    named = with_master(ids, tables, "maeAnexoCliente", "IdmaeAnexo_Cliente", _client="NommaeAnexoCliente")
+    return pivot_values(named.select(S.first_chars(F.col("_client")).alias("CLIENTE")), "CLIENTE")
+
+
+def cut_by_client_report(tables: Tables, start: date | str, end: date | str) -> DataFrame:
+    """``cut_by_client`` over the cells of the range, its columns named by ``client_names``."""
+    return cut_by_client(op_lists(cut_orders(tables, start, end)), client_names(tables, start, end))
 
 
 def op_lists(orders: DataFrame) -> DataFrame:

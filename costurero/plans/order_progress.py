@@ -41,43 +41,69 @@ def only(df: DataFrame, key: str, ids: DataFrame | None) -> DataFrame:
     """
     if ids is None:
         return df
-    wanted = ids.select(F.col(ids.columns[0]).alias("_only")).distinct()
-    return df.join(wanted, F.col(key) == F.col("_only"), "left_semi")
+    return df.join(ids.toDF("_only"), F.col(key) == F.col("_only"), "left_semi")
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """Each distinct row once, with the number of rows it stands for (``_n``): a set of keys that several facts use.
+
+    Grouped by all its columns and never used without the number, it has one and the same plan below its exchange wherever
+    it is used (``ids``), so it runs once: all uses but the first read the exchange of the first.
+    """
+    return df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
+
+
+def ids(keys: DataFrame, column: str) -> DataFrame:
+    """One column of a ``keyed`` frame.
+
+    The number is always positive. Its part in the value keeps what a join infers of its key, that it is not null, from
+    sinking below the exchange, where each use would read other rows than the next.
+    """
+    return keys.select(F.when(F.col("_n") > 0, F.col(column)).alias(column))
+
+
+def each(keys: DataFrame) -> DataFrame:
+    """The rows a ``keyed`` frame stands for."""
+    return keys.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
 
 
 def fabric_kilos(tables: Tables, skip_void: bool, orders: DataFrame | None = None) -> DataFrame:
     """Kilos required, assembled, dispatched, dyed and approved per garment order.
 
-    Production items meet their fabric order and its dyeing steps per production order. The
-    result, per fabric order and item, meets the order items that ask for it; those also give
-    the required kilos, whether or not anything was produced for them. With ``orders`` (ids of
-    garment orders) only what hangs on these is read into any grouping.
+    Fabric orders meet their dyeing steps, then the items made for them. The result, per fabric
+    order and item, meets the order items that ask for it; those also give the required kilos,
+    whether or not anything was produced for them. With ``orders`` (ids of garment orders) only
+    what hangs on these is read into any grouping.
     """
-    sold = only(tables["docOrdenVentaItem"], "IdDocumento_Referencia", orders)
+    asked = keyed(
+        only(tables["docOrdenVentaItem"], "IdDocumento_Referencia", orders).select(
+            F.col("IdDocumento_OrdenVenta").alias("_asked_of"),
+            F.col("IdmaeItem").alias("_asked_item"),
+            F.col("IdDocumento_Referencia").alias("_fabric_for"),
+            "dCantidad",
+        )
+    )
     fabric = P.where_equal(tables["docOrdenProduccion"], bAnulado=0 if skip_void else None)
     if orders is not None:
-        fabric = only(fabric, "IdDocumento_Referencia", sold.select("IdDocumento_OrdenVenta"))
-    steps = (
-        only(
-            tables["docOrdenProduccionRuta"].where(P.positive("IdmaeReceta")),
-            "IdDocumento_OrdenProduccion",
-            None if orders is None else fabric.select("IdDocumento_OrdenProduccion"),
-        )
-        .groupBy(F.col("IdDocumento_OrdenProduccion").alias("_step_op"))
-        .agg(F.count("*").alias("_steps"), F.sum("bCerrado").alias("_steps_closed"))
+        fabric = only(fabric, "IdDocumento_Referencia", ids(asked, "_asked_of"))
+    steps = tables["docOrdenProduccionRuta"].where(P.positive("IdmaeReceta")).select(
+        F.col("IdDocumento_OrdenProduccion").alias("_step_op"), F.col("bCerrado").alias("_step_closed")
     )
-    fabric = fabric.select(
-        F.col("IdDocumento_OrdenProduccion").alias("_op"),
-        F.col("IdDocumento_Referencia").alias("_fabric"),
-        "bCerrado",
-        "bCierreAprobado",
+    dyed = (
+        fabric.join(steps, F.col("IdDocumento_OrdenProduccion") == F.col("_step_op"))
+        .groupBy(
+            F.col("IdDocumento_OrdenProduccion").alias("_op"),
+            F.col("IdDocumento_Referencia").alias("_fabric"),
+            "bCerrado",
+            "bCierreAprobado",
+        )
+        .agg(F.count("*").alias("_steps"), F.sum("_step_closed").alias("_steps_closed"))
     )
     made = tables["docOrdenProduccionItem"]
     programmed, required = F.col("dCantidadProgramado"), F.col("dCantidadRequerido")
     steps_n = F.col("_steps")
     per_item = (
-        made.join(fabric, made["IdDocumento_OrdenProduccion"] == F.col("_op"))
-        .join(steps, F.col("_op") == F.col("_step_op"))
+        made.join(dyed, made["IdDocumento_OrdenProduccion"] == F.col("_op"))
         .groupBy("_fabric", F.col("IdmaeItem").alias("_item"))
         .agg(
             _sum(programmed * steps_n).alias("_armed"),
@@ -86,21 +112,12 @@ def fabric_kilos(tables: Tables, skip_void: bool, orders: DataFrame | None = Non
             masked_sum(F.col("bCierreAprobado"), (programmed * steps_n).cast(QTY)).cast(QTY).alias("_approved"),
         )
     )
-    asked = (
-        sold
-        .groupBy("IdDocumento_OrdenVenta", "IdmaeItem", F.col("IdDocumento_Referencia").alias("_fabric_for"))
-        .agg(F.count("*").alias("_times"), F.sum("dCantidad").alias("_asked"))
-    )
-    times = F.col("_times")
+    times = F.col("_n")
     return (
-        asked.join(
-            per_item,
-            (F.col("IdDocumento_OrdenVenta") == F.col("_fabric")) & (F.col("IdmaeItem") == F.col("_item")),
-            "left",
-        )
+        asked.join(per_item, (F.col("_asked_of") == F.col("_fabric")) & (F.col("_asked_item") == F.col("_item")), "left")
         .groupBy("_fabric_for")
         .agg(
-            F.sum(F.when(P.positive("_fabric_for"), F.col("_asked"))).cast(QTY).alias("KG"),
+            F.sum(F.when(P.positive("_fabric_for"), (F.col("dCantidad") * times).cast(QTY))).cast(QTY).alias("KG"),
             _sum(F.col("_armed") * times).alias("KG_ARM"),
             _sum(F.col("_sent") * times).alias("KG_PRODUC"),
             _sum(F.col("_dyed") * times).alias("KG_TEÑIDOS"),
@@ -171,17 +188,21 @@ def garment_units(tables: Tables, open_only: bool, orders: DataFrame | None = No
     Only items, steps and notes of garment production orders, with ``orders`` only of those made
     for these sales orders, go into any grouping.
     """
-    production = only(
-        P.where_equal(
-            tables["docOrdenProduccion"],
-            bCerrado=0 if open_only else None,
-            bAnulado=0,
-            IdtdDocumentoForm=K.FORM_GARMENT_ORDER,
-        ),
-        "IdDocumento_Referencia",
-        orders,
+    production = keyed(
+        only(
+            P.where_equal(
+                tables["docOrdenProduccion"],
+                bCerrado=0 if open_only else None,
+                bAnulado=0,
+                IdtdDocumentoForm=K.FORM_GARMENT_ORDER,
+            ).where(F.col("IdDocumento_OrdenProduccion").isNotNull()),
+            "IdDocumento_Referencia",
+            orders,
+        ).select(
+            F.col("IdDocumento_OrdenProduccion").alias("_op"), F.col("IdDocumento_Referencia").alias("_units_for")
+        )
     )
-    ops = production.select("IdDocumento_OrdenProduccion")
+    ops = ids(production, "_op")
     items = (
         only(tables["docOrdenProduccionItem"], "IdDocumento_OrdenProduccion", ops)
         .groupBy("IdDocumento_OrdenProduccion", "IdmaeItem")
@@ -201,32 +222,27 @@ def garment_units(tables: Tables, open_only: bool, orders: DataFrame | None = No
             _sum(F.col("_sewn") * times).alias("_sewn"),
         )
     )
-    steps = (
-        with_master(
-            only(
-                P.where_equal(tables["docOrdenProduccionRuta"], IdmaeCentroCosto=K.CUTTING),
-                "IdDocumento_OrdenProduccion",
-                ops,
-            ),
-            tables,
-            "maeCentroCosto",
-            "IdmaeCentroCosto",
-            where=F.col("bConOrdenProduccion") == 1,
-        )
-        .groupBy(F.col("IdDocumento_OrdenProduccion").alias("_step_op"))
-        .agg(F.count("*").alias("_steps"))
-    )
-    named = production.select(
-        F.col("IdDocumento_OrdenProduccion").alias("_op"), F.col("IdDocumento_Referencia").alias("_units_for")
+    steps = with_master(
+        P.where_equal(tables["docOrdenProduccionRuta"], IdmaeCentroCosto=K.CUTTING),
+        tables,
+        "maeCentroCosto",
+        "IdmaeCentroCosto",
+        where=F.col("bConOrdenProduccion") == 1,
+    ).select(F.col("IdDocumento_OrdenProduccion").alias("_step_op"))
+    # A production order meets its few steps before it meets its sums: once per order and count.
+    stepped = (
+        production.join(steps, F.col("_op") == F.col("_step_op"), "left")
+        .groupBy("_op", "_units_for", "_n")
+        .agg(F.count("_step_op").alias("_steps"))
     )
+    n = F.col("_n")
     return (
-        named.join(per_op, F.col("_op") == F.col("_units_op"))
-        .join(steps, F.col("_op") == F.col("_step_op"), "left")
+        stepped.join(per_op, F.col("_op") == F.col("_units_op"))
         .groupBy("_units_for")
         .agg(
-            _sum(F.col("_programmed") * F.col("_steps")).alias("PROG"),
-            _sum(F.col("_cut")).alias("CORTADO"),
-            _sum(F.col("_sewn")).alias("COSIDO"),
+            _sum(F.when(F.col("_steps") > 0, F.col("_programmed") * F.col("_steps") * n)).alias("PROG"),
+            _sum(F.col("_cut") * n).alias("CORTADO"),
+            _sum(F.col("_sewn") * n).alias("COSIDO"),
         )
     )
 
@@ -248,13 +264,11 @@ def order_progress(
     """
     how = VARIANTS[variant]
     start, end = P.or_this_month(start, end)
+    searched = P.contains_ci("CoddocOrdenVenta", pedido) & P.in_list("CoddocOrdenVenta", pedidos)
     chosen = P.where_equal(
         tables["docOrdenVenta"], IdtdDocumentoForm=K.FORM_SALES_ORDER, IdtdTipoVenta=K.SALE_TYPE, bAnulado=0
     ).where(
-        P.day_range(how["shown"], start, end)
-        & P.contains_ci("nvDocumentoReferencia", po)
-        & P.contains_ci("CoddocOrdenVenta", pedido)
-        & P.in_list("CoddocOrdenVenta", pedidos)
+        P.day_range(how["shown"], start, end) & P.contains_ci("nvDocumentoReferencia", po) & searched
     )
     if "needs" in how:
         chosen = chosen.where(F.col(how["needs"]).isNotNull())
@@ -275,18 +289,24 @@ def order_progress(
         F.col("dCantidad").alias("_units"),
     )
 
-    # Units belong to every order with the same code, whatever its form.
-    same_code = only(tables["docOrdenVenta"], "CoddocOrdenVenta", chosen.select("PEDIDO"))
-    units = garment_units(tables, how["open_only"], same_code.select("IdDocumento_OrdenVenta"))
+    chosen = keyed(chosen)
+
+    # Units belong to every order with the same code, whatever its form; what is asked of a code goes down to their scan.
+    # Dealt by id, as all that follows asks for them.
+    same_code = keyed(
+        only(tables["docOrdenVenta"].where(searched), "CoddocOrdenVenta", ids(chosen, "PEDIDO"))
+        .select(F.col("IdDocumento_OrdenVenta").alias("_same"), F.col("CoddocOrdenVenta").alias("_code"))
+        .repartition("_same")
+    )
+    units = garment_units(tables, how["open_only"], ids(same_code, "_same"))
     produced = (
-        same_code
-        .select("IdDocumento_OrdenVenta", F.col("CoddocOrdenVenta").alias("_code"))
-        .join(units, F.col("IdDocumento_OrdenVenta") == F.col("_units_for"), "left")
+        each(same_code)
+        .join(units, F.col("_same") == F.col("_units_for"), "left")
         .select("_code", *[F.coalesce(F.col(c), F.lit(0).cast(QTY)).alias(c) for c in ("PROG", "CORTADO", "COSIDO")])
     )
-    fabric = fabric_kilos(tables, how["skip_void_fabric"], chosen.select("_id"))
+    fabric = fabric_kilos(tables, how["skip_void_fabric"], ids(chosen, "_id"))
     joined = (
-        chosen.join(fabric, F.col("_id") == F.col("_fabric_for"), "left")
+        each(chosen).join(fabric, F.col("_id") == F.col("_fabric_for"), "left")
         .join(produced, F.col("PEDIDO") == F.col("_code"), "left")
         .withColumn("KG", F.coalesce(F.col("KG"), F.lit(0).cast(QTY)))
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -42,15 +43,8 @@ def process_summary(tables: Tables, delivered_after: date | str = "2024-07-30")
     the sizes away before the rows meet any document. Groups use the full client name; the result
     shows its first 15 characters.
     """
-    progress = tables["avanceComboTalla"]
-    ops = production_orders(
-        tables,
-        tables["docOrdenVenta"],
-        tables["docOrdenProduccion"].where(P.after("dtFechaEntrega", delivered_after)),
-    )
-    dated = ops.select(F.col("_op").alias("_dated")).distinct()
-    progress = progress.join(dated, F.col("IdDocumento_OrdenProduccion") == F.col("_dated"), "left_semi")
-    sized = with_master(progress, tables, "maeTalla", "IdmaeTalla")
+    ops = _dated(tables, delivered_after)
+    sized = with_master(_progress(tables, ops), tables, "maeTalla", "IdmaeTalla")
     by_step = sized.groupBy(
         "IdDocumento_OrdenProduccion", "IddocOrdenProduccionRuta", "IdmaeCentroCosto", "IdmaeCombo"
     ).agg(
@@ -87,6 +81,57 @@ def process_summary(tables: Tables, delivered_after: date | str = "2024-07-30")
     )
 
 
+def _dated(tables: Tables, delivered_after: date | str) -> DataFrame:
+    return production_orders(
+        tables,
+        tables["docOrdenVenta"],
+        tables["docOrdenProduccion"].where(P.after("dtFechaEntrega", delivered_after)),
+    )
+
+
+def _progress(tables: Tables, ops: DataFrame) -> DataFrame:
+    """Progress of the production orders among ``ops``."""
+    dated = ops.select(F.col("_op").alias("_dated")).distinct()
+    return tables["avanceComboTalla"].join(dated, F.col("IdDocumento_OrdenProduccion") == F.col("_dated"), "left_semi")
+
+
+def process_names(
+    tables: Tables,
+    delivered_after: date | str = "2024-07-30",
+    cliente: str | None = None,
+    pedidos: Iterable[str] = (),
+    ops: Iterable[str] = (),
+) -> list[str]:
+    """The processes that have columns in the matrix of these choices, from keys alone.
+
+    A progress row counts if its order, size, combo and step exist and the matrix would keep its keys; only the
+    distinct work centres meet their names. No quantity is read, nothing is summed.
+    """
+    chosen = _dated(tables, delivered_after).withColumn("CLIENTE", S.first_chars(F.col("_client")))
+    chosen = P.cascade(chosen, cliente, pedidos, ops).dropna(subset=["PEDIDO", "OP", "CLIENTE", "_style"])
+    rows = _progress(tables, chosen)
+    combos = tables["maeCombo"].where(F.col("NommaeCombo").isNotNull())
+    for key, other in (
+        ("IdmaeTalla", tables["maeTalla"]), ("IdmaeCombo", combos), ("IddocOrdenProduccionRuta", tables["docOrdenProduccionRuta"])
+    ):
+        rows = rows.join(other.select(F.col(key).alias("_found")), F.col(key) == F.col("_found"), "left_semi")
+    centres = rows.select("IdmaeCentroCosto").distinct()
+    return pivot_values(with_master(centres, tables, "maeCentroCosto", "IdmaeCentroCosto", PROCESO="NommaeCentroCosto"), "PROCESO")
+
+
+def process_report(
+    tables: Tables,
+    delivered_after: date | str = "2024-07-30",
+    cliente: str | None = None,
+    pedidos: Iterable[str] = (),
+    ops: Iterable[str] = (),
+) -> DataFrame:
+    """The matrix of these choices, its columns named by ``process_names``."""
+    pedidos, ops = list(pedidos), list(ops)
+    names = process_names(tables, delivered_after, cliente, pedidos, ops)
+    return process_matrix(P.cascade(process_summary(tables, delivered_after), cliente, pedidos, ops), names)
+
+
 def process_matrix(summary: DataFrame, processes: list[str] | None = None) -> DataFrame:
     """Processes as columns, required and produced side by side.
 

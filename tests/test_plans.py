@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import pytest
 
-from costurero.checks.queries import queries, run
+from costurero.checks.queries import EVER, queries, run, tables_of
+from costurero.operators.pivots import pivot_values
 from costurero.plans import cut_by_client as CC
 from costurero.plans import order_progress as OP
 from costurero.plans import packages as PK
 from costurero.plans import process_matrix as PM
 from costurero.schemas import TABLES
 from costurero.sources.registry import Tables
+from tests.conftest import STAR_FOLDER
 from tests.helpers import frames_of, random_rows
 
 
@@ -76,8 +78,8 @@ def test_masters_carry_no_hint_and_plans_start_no_job(spark, large, settings):
 
 def test_facts_meet_the_chosen_orders_before_their_grouping(large, settings):
     plan = OP.order_progress(large, "1996-05-01", "1996-05-31", pedidos="A")._jdf.queryExecution().optimizedPlan().toString()
-    # sold items, fabric orders, dyeing steps; same-code orders, garment orders, items, notes, cutting steps
-    assert plan.count("LeftSemi") >= 8
+    # sold items, fabric orders; same-code orders, garment orders, items, notes
+    assert plan.count("LeftSemi") >= 6
     summary = PM.process_summary(large)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi, (IdDocumento_OrdenProduccion" in summary
 
@@ -94,8 +96,8 @@ def test_filters_and_columns_reach_the_scans(large, settings):
     assert "EqualTo(IdtdDocumentoForm,131)" in notes
     assert "dtFechaRegistro" not in notes
     items = [s for s in scans if "docOrdenVentaItem]" in s]
-    # required and produced kilos share one scan; the other kind finds the fabric orders of the chosen ones
-    assert len({s.split("ReadSchema")[1] for s in items}) == 2
+    # required and produced kilos and the fabric orders of the chosen ones come from one kind of scan, which runs once
+    assert len({s.split("ReadSchema")[1] for s in items}) == 1
 
 
 def test_sums_are_combined_before_they_are_shuffled(large, settings):
@@ -118,3 +120,75 @@ def test_hot_keys_are_split_at_run_time(spark, large, settings):
     ):
         df.collect()
         assert "isSkew=true" in plan_of(df) or "skew=true" in plan_of(df), plan_of(df)[:3000]
+
+
+def executed(df) -> list[str]:
+    """Names of the nodes that ran: stages and reused exchanges looked through and left out."""
+    df.collect()
+    found = []
+
+    def walk(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        if name == "ReusedExchangeExec":
+            return None
+        found.append(name)
+        children = plan.children()
+        for i in range(children.length()):
+            walk(children.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+@pytest.mark.parametrize("variant", ["planned", "status"])
+def test_key_sets_run_once(spark, variant):
+    """Every table is read once for each use that is not a key set, whatever the number of facts pruned by it."""
+    ran = executed(OP.order_progress(tables_of(spark, STAR_FOLDER), *EVER, variant=variant, pedidos="PED00000010, PED00000016"))
+    assert ran.count("FileSourceScanExec") <= 22
+    assert ran.count("ShuffleExchangeExec") <= 20
+
+
+def test_key_sets_run_once_without_broadcasts(large, settings):
+    ran = executed(OP.order_progress(large, "1996-01-01", "1997-12-31", variant="status"))
+    # sales orders (chosen and of the same code), items sold, production orders (fabric and garment), items made for
+    # either, steps (dyeing, cutting, of notes), notes, their lines, three masters of which one is read twice
+    assert ran.count("FileSourceScanExec") <= 16
+    assert "BroadcastHashJoinExec" not in ran
+
+
+def test_total_row_reads_nothing_twice(large, settings):
+    progress = OP.order_progress(large, "1996-01-01", "1997-12-31")
+    with_total = OP.with_total(progress, "planned")
+    scans = lambda df: plan_of(df).count("FileScan")
+    assert scans(with_total) == scans(progress)
+    assert executed(with_total).count("FileSourceScanExec") == executed(progress).count("FileSourceScanExec")
+
+
+def test_pivot_names_come_from_keys(spark, large, settings, monkeypatch):
+    asked = []
+    monkeypatch.setattr(CC, "pivot_values", lambda df, by: asked.append(df) or [])
+    monkeypatch.setattr(PM, "pivot_values", lambda df, by: asked.append(df) or [])
+    CC.cut_by_client_report(large, "1996-01-01", "1997-12-31")
+    PM.process_report(large, "1996-01-01", "BUILDING", ["A"])
+    settings(maxMetadataStringLength="2000")
+    for df in asked:
+        plan = plan_of(df)
+        assert "sum(" not in plan and "collect" not in plan
+        read = "".join(line.split("ReadSchema")[1] for line in plan.splitlines() if "ReadSchema" in line)
+        assert "dCantidadRequerido" not in read and "dCantidadProgramado" not in read and "dCantidadProducido" not in read
+    clients = plan_of(asked[0])
+    assert "CoddocOrdenProduccion" not in clients and clients.count("LeftSemi") == 2  # the quantity only says that a line counts
+
+
+def test_names_from_keys_are_those_of_the_report(large):
+    for span in (("1996-01-01", "1996-06-30"), ("1995-01-01", "2002-12-31")):
+        cells = CC.op_lists(CC.cut_orders(large, *span))
+        assert CC.client_names(large, *span) == pivot_values(cells, "CLIENTE")
+    summary = PM.process_summary(large, "1996-01-01").dropna(subset=PM.INDEX)
+    assert PM.process_names(large, "1996-01-01") == pivot_values(summary, "PROCESO")
+    for client in [r[0] for r in summary.select("CLIENTE").distinct().limit(3).collect()]:
+        assert PM.process_names(large, "1996-01-01", client) == pivot_values(summary.where(summary["CLIENTE"] == client), "PROCESO")
