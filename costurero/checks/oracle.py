@@ -319,6 +319,13 @@ def _process_statements() -> dict[str, Sql]:
         "process_matrix_text": _matrix(shown="format('{{:,}}', CAST(round_even({}, 0) AS BIGINT))"),
         "matrix_filtered": _matrix(of_client),
         "domain_values": _statement(f'SELECT DISTINCT "PEDIDO" FROM resumen WHERE {of_client}', _RESUMEN),
+        "cascade_domains": _statement(
+            " UNION ALL ".join(
+                f"SELECT '{c}' AS \"NIVEL\", \"{c}\" AS \"VALOR\", COUNT(*) AS \"FILAS\" FROM opciones WHERE {w} GROUP BY ALL"
+                for c, w in (("CLIENTE", "TRUE"), ("PEDIDO", f"\"CLIENTE\" = '{Q.CLIENT}'"), ("OP", f"\"CLIENTE\" = '{Q.CLIENT}'"))
+            ),
+            _RESUMEN + ', opciones AS (SELECT left(cliente_completo, 15) AS "CLIENTE", "PEDIDO", "OP" FROM resumen)',
+        ),
         "cut_progress": _statement("SELECT * FROM corte", _cut(Q.PLANNED)),
         "cut_progress_filtered": _statement(
             "SELECT * FROM corte", _cut(Q.EVER, "cl.NommaeAnexoCliente ILIKE '%building%'")
@@ -461,6 +468,7 @@ def _quality_statements() -> dict[str, Sql]:
     return {
         "qc_report": listing,
         "csv_roundtrip": listing,
+        "qc_report_catalog": _statement("SELECT * FROM calidad", _quality(Q.PLANNED)),
         "qc_report_filtered": _statement(
             "SELECT * FROM calidad",
             _quality(Q.PLANNED, cliente="building", tela="WIDGET", color="o"),

@@ -22,7 +22,7 @@ from costurero.plans import process_matrix as PM
 from costurero.plans import schedule as SC
 from costurero.schemas import TABLES
 from costurero.session import tune
-from costurero.sources.derived import star_tables
+from costurero.sources.derived import catalog_tables, star_tables
 from costurero.sources.registry import Tables
 from costurero.sources.sinks import csv_lines, from_csv_lines
 
@@ -107,6 +107,10 @@ def domain_values(t: Tables) -> DataFrame:
     return P.domain(chosen, "PEDIDO")
 
 
+def cascade_domains(t: Tables) -> DataFrame:
+    return P.domains(PM.process_summary(t, DELIVERED_AFTER), CLIENT)
+
+
 def scalar_pack(t: Tables) -> DataFrame:
     issued, planned = F.col("dtFechaEmision"), F.col("dtFechaPlanea")
     units, due = F.col("dCantidad"), F.col("dtFechaEntrega")
@@ -200,6 +204,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "filter_instant_range": filter_instant_range,
     "month_bounds": month_bounds,
     "domain_values": domain_values,
+    "cascade_domains": cascade_domains,
     "scalar_pack": scalar_pack,
     "filter_join": filter_joined,
     "agg_masked_sum": agg_masked_sum,
@@ -240,6 +245,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "qc_report": lambda t: FQ.fabric_quality(t, *EVER),
     "qc_report_filtered": lambda t: FQ.fabric_quality(t, *PLANNED, cliente="building", tela="WIDGET", color="o"),
     "qc_report_searched": lambda t: FQ.fabric_quality(t, *EVER, codigo="it0", acabado="n", partida="000"),
+    "qc_report_catalog": lambda t: FQ.fabric_quality(t, *PLANNED),
     "qc_histogram": lambda t: FQ.quality_histogram(FQ.fabric_quality(t, *EVER)),
     "gantt_schedule": lambda t: SC.schedule(t, TODAY),
     "gantt_one_order": lambda t: SC.schedule(t, TODAY, ONE_ORDER),
@@ -252,8 +258,13 @@ def run(name: str, tables: Tables) -> DataFrame:
     return _floats(_QUERIES[name](tables))
 
 
+#: Queries whose tables are read by three-part names.
+FROM_CATALOG = {"qc_report_catalog"}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(name: str) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, folder: run(name, tables_of(spark, folder))
+        source = catalog_tables if name in FROM_CATALOG else tables_of
+        return lambda spark, folder: run(name, source(tune(spark), folder))
 
     return {name: bind(name) for name in _QUERIES}

@@ -129,6 +129,31 @@ def domain(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct().orderBy(column)
 
 
+def domains(df: DataFrame, cliente: str | None = None, pedidos: Iterable[str] = ()) -> DataFrame:
+    """What each choice of a cascade offers, with its rows: ``NIVEL, VALOR, FILAS`` from one pass.
+
+    Clients come from all rows, orders from those of the chosen client, production orders from those of the chosen
+    orders too, as ``domain`` of ``cascade`` would give them one by one. Each row counts under three grouping sets,
+    which are summed before they are shuffled.
+    """
+    chosen = F.lit(True) if not cliente or cliente == ALL else F.coalesce(F.col("CLIENTE") == F.lit(cliente), F.lit(False))
+    wanted = list(pedidos)
+    ordered = chosen & (F.coalesce(F.col("PEDIDO").isin(wanted), F.lit(False)) if wanted else F.lit(True))
+    rows = df.select("CLIENTE", "PEDIDO", "OP", F.lit(True).alias("_c"), chosen.alias("_p"), ordered.alias("_o"))
+    levels = (("CLIENTE", "_c"), ("PEDIDO", "_p"), ("OP", "_o"))
+    keys = [c for level in levels for c in level]
+    counted = rows.groupingSets([list(level) for level in levels], *keys).agg(
+        F.count("*").alias("FILAS"), *[F.grouping(name).alias(f"_not_{name}") for name, _ in levels]
+    )
+    at = lambda name: F.col(f"_not_{name}") == 0
+    level = value = offered = None
+    for name, flag in levels:
+        level = F.when(at(name), name) if level is None else level.when(at(name), name)
+        value = F.when(at(name), F.col(name)) if value is None else value.when(at(name), F.col(name))
+        offered = at(name) & F.col(flag) if offered is None else offered | (at(name) & F.col(flag))
+    return counted.where(offered).select(level.alias("NIVEL"), value.alias("VALOR"), "FILAS")
+
+
 def by_key(df: DataFrame, column: str, value: Any | None) -> DataFrame:
     """One document, or every document when no value is given."""
     return df if value is None else df.where(F.col(column) == F.lit(value))

@@ -7,6 +7,7 @@ input. Only ``EACH_CENTRE``, one row per work centre, is spelled differently.
 from __future__ import annotations
 
 from string import Formatter
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -216,6 +217,22 @@ def star_tables(spark: SparkSession, folder: str) -> Tables:
     return Tables(frame)
 
 
+def catalog_tables(spark: SparkSession, folder: str) -> Tables:
+    """The garment tables as views of a catalog over the folder's files, read by their three-part names.
+
+    The files are registered where they lie, nothing is copied; a schema of its own per folder keeps them apart.
+    """
+    schema = f"spark_catalog.costurero_{crc32(folder.encode()):08x}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
+    for name in STAR:
+        path = f"{folder}/{name}.parquet".replace("'", "\\'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {schema}.{name} USING parquet LOCATION '{path}'")
+    for name, text in TEXTS.items():
+        body = text.replace("EACH_CENTRE", EACH_CENTRE["spark"])
+        spark.sql(f"CREATE OR REPLACE VIEW {schema}.{name} AS {body.format(**{i: f'{schema}.{i}' for i in inputs(body)})}")
+    return Tables.from_conf(spark, {name: {"table": f"{schema}.{name}"} for name in TABLES})
+
+
 def with_clauses(names: list[str]) -> str:
     """``WITH`` clauses that define ``names``, and all they read, for an ANSI database."""
     ordered: dict[str, str] = {}

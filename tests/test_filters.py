@@ -97,3 +97,20 @@ def test_constants_and_key(spark):
 def test_a_range_left_out_is_the_current_month():
     assert P.or_this_month(None, None, date(2024, 2, 9)) == (date(2024, 2, 1), date(2024, 2, 29))
     assert P.or_this_month("2024-01-05", None, date(2023, 12, 31)) == ("2024-01-05", date(2023, 12, 31))
+
+
+def test_domains_are_those_of_the_single_choices(spark):
+    rows = [("a", "p1", "o1"), ("a", "p1", "o2"), ("a", "p2", "o3"), ("b", "p1", "o4"), (None, "p3", None), ("a", None, "o5"), ("a", "p1", "o1")]
+    df = spark.createDataFrame(rows, "CLIENTE string, PEDIDO string, OP string")
+    for cliente, pedidos in ((None, ()), ("a", ()), ("a", ["p1"]), (None, ["p1", "p3"]), ("none", ()), (P.ALL, ["p2"])):
+        got = {}
+        for r in P.domains(df, cliente, pedidos).collect():
+            got.setdefault(r.NIVEL, {})[r.VALOR] = r.FILAS
+        steps = {"CLIENTE": df, "PEDIDO": P.cascade(df, cliente), "OP": P.cascade(df, cliente, pedidos)}
+        for name, chosen in steps.items():
+            values = [r[0] for r in P.domain(chosen, name).collect()]
+            assert sorted(got.get(name, {}), key=str) == sorted(values, key=str)
+            assert sum(got.get(name, {}).values()) == chosen.count()
+    plan = P.domains(df, "a")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Expand") == 1
+    assert P.domains(df.where("false")).collect() == []

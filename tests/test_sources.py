@@ -5,7 +5,7 @@ from datetime import date, datetime
 import pytest
 
 from costurero.schemas import TABLES
-from costurero.sources.derived import star_tables
+from costurero.sources.derived import catalog_tables, star_tables
 from costurero.sources.registry import Tables, load
 from costurero.sources.sinks import csv_lines, from_csv_lines, read_csv, write_csv
 from tests.conftest import STAR_FOLDER
@@ -75,3 +75,12 @@ def test_csv_has_headers_no_index_and_empty_nulls(spark, tmp_path):
     texts = csv_lines(df)
     assert [r.LINEA for r in texts.collect()] == lines[1:]
     assert from_csv_lines(texts, df.schema).collect() == df.collect()
+
+
+def test_tables_by_three_part_names(spark):
+    tables = catalog_tables(spark, STAR_FOLDER)
+    flat = star_tables(spark, STAR_FOLDER)
+    for name in ("docOrdenVenta", "maeTalla", "docNotaInventario", "docOrdenProduccionCalidad"):
+        assert tables[name].schema == flat[name].schema
+        assert tables[name].exceptAll(flat[name]).isEmpty() and flat[name].exceptAll(tables[name]).isEmpty()
+    catalog_tables(spark, STAR_FOLDER)  # again: what is there stays
