@@ -25,7 +25,8 @@ class Settings:
 
     A document fails the rules with fewer than `words` words, or with more than `repeated` percent of its words in
     windows of `window` words that it holds twice. The threshold lies `margin` of the way from the score that all but
-    `lost` of the good documents reach to the mean of the bad ones.
+    `lost` of the good documents reach to the mean of the bad ones. A bitmap of `bits` bits (4 MB) keeps documents that
+    cannot be labelled good from moving.
     """
 
     buckets: int = 4096
@@ -35,6 +36,7 @@ class Settings:
     smoothing: float = 1.0
     lost: float = 0.005
     margin: float = 0.1
+    bits: int = 1 << 25
 
 
 def split(text: Column) -> Column:
@@ -80,8 +82,12 @@ def counts(rows: DataFrame, s: Settings) -> DataFrame:
     return each.where("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-def ratios(target: dict[int, int], raw: dict[int, int], s: Settings) -> list[float]:
-    """Log ratio of each bucket's smoothed probabilities, for each kind of n-gram; zeros without a target."""
+#: Weights are whole millionths, so that their sums do not depend on an order; scores are compared in thousandths.
+UNIT, STEP = 1_000_000, 1000
+
+
+def ratios(target: dict[int, int], raw: dict[int, int], s: Settings) -> list[int]:
+    """Log ratio of each bucket's smoothed probabilities in millionths, for each kind of n-gram; zeros without a target."""
     out = []
     for kind in range(2):
         own = range(kind * s.buckets, (kind + 1) * s.buckets)
@@ -89,32 +95,34 @@ def ratios(target: dict[int, int], raw: dict[int, int], s: Settings) -> list[flo
         for i in own:
             p = (target.get(i, 0) + s.smoothing) / (a + s.smoothing * s.buckets)
             q = (raw.get(i, 0) + s.smoothing) / (b + s.smoothing * s.buckets)
-            out.append(math.log(p / q) if a else 0.0)
+            out.append(round(math.log(p / q) * UNIT) if a else 0)
     return out
 
 
-def constant(numbers: list[float]) -> Column:
+def constant(numbers: list[int]) -> Column:
     """An array of numbers as one constant of the plan; their number is bounded by the settings."""
-    return F.split(F.lit(",".join(f"{x:.6g}" for x in numbers)), ",").cast("array<double>")
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
 
 
-def scored(rows: DataFrame, weights: list[float], s: Settings, *keep: str) -> DataFrame:
-    """The columns to keep and each row's mean log ratio over its n-grams; zero without words.
+def scored(rows: DataFrame, weights: list[int], s: Settings, *keep: str) -> DataFrame:
+    """The columns to keep and each row's mean log ratio over its n-grams, in whole thousandths; zero without words.
 
     Rows are told apart by a number of their own, so repeated rows stay. A row's words stand together in one task,
     where they are summed before one number per row moves.
     """
     table = constant(weights)
     each = grams(rows.withColumn("row", F.monotonically_increasing_id()), s, "row", *keep)
-    both = F.coalesce(table[F.col("word")], F.lit(0.0)) + F.coalesce(table[F.col("pair")], F.lit(0.0))
+    both = F.coalesce(table[F.col("word")], F.lit(0)) + F.coalesce(table[F.col("pair")], F.lit(0))
     grouped = each.select("row", *keep, both.alias("x"), F.col("word").isNotNull().alias("is_word")).groupBy("row", *keep)
     made = grouped.agg(F.sum("x").alias("total"), F.count_if("is_word").alias("n"))
-    return made.select(*keep, F.when(F.col("n") == 0, 0.0).otherwise(F.col("total") / (2 * F.col("n") - 1)).alias("ratio"))
+    grams_n = F.greatest(2 * F.col("n") - 1, F.lit(1)) * F.lit(UNIT // STEP)
+    mean = (F.col("total") - F.pmod(F.col("total"), grams_n)) / grams_n
+    return made.select(*keep, mean.cast("bigint").alias("points"))
 
 
 @dataclass(frozen=True)
 class Model:
-    weights: list[float]
+    weights: list[int]
     threshold: float
 
 
@@ -123,28 +131,55 @@ def marks(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
 
 
-def learned(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> list[float]:
-    """Weights of the buckets: the target is every document labelled good, the raw corpus every document."""
+def maybe_among(ids: DataFrame, column: str, bits: int) -> Column:
+    """False for most values of the column that are not among the ids (a frame of one column), true for all that are.
+
+    A bitmap over hashes, of one size whatever the number of ids; with very many of them it tells fewer apart.
+    """
+    bit = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(bits))
+    rows = ids.select(F.bitmap_bucket_number(bit + 1).alias("at"), F.bitmap_bit_position(bit + 1).alias("bit"))
+    held = bytearray(bits // 8)
+    for r in rows.groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        start = (r["at"] - 1) * len(r["bits"])
+        held[start : start + len(r["bits"])] = r["bits"]
+    own = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
+    byte = F.conv(F.hex(F.substring(F.lit(bytes(held[: bits // 8])), (own / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+    return F.getbit(byte, (own % 8).cast("int")) == 1
+
+
+def learned(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> list[int]:
+    """Weights of the buckets: the target is every document labelled good, the raw corpus every document.
+
+    Only documents that the bitmap of good ids lets through move; the join behind it decides.
+    """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    good = texts.join(marks(labels).where("quality = 1"), "doc_id")
+    good = marks(labels).where("quality = 1").select("doc_id")
+    chosen = texts.where(maybe_among(good, "doc_id", s.bits)).join(good.hint("merge"), "doc_id")
     raw = {r.bucket: r.n for r in counts(with_words(texts), s).collect()}
-    target = {r.bucket: r.n for r in counts(with_words(good), s).collect()}
+    target = {r.bucket: r.n for r in counts(with_words(chosen), s).collect()}
     return ratios(target, raw, s)
 
 
 def threshold(scores: DataFrame, labels: DataFrame, s: Settings = Settings()) -> float:
-    """The ratio to reach, from the scores (doc_id, ratio) of every labelled document; no text moves.
+    """The points to reach, from the scores (doc_id, points) of every labelled document; no text moves.
 
-    Where the bad documents do not score lower than the good ones, it is the good ones' own. Without good labels
-    nothing is told apart and it keeps all.
+    Whole points are counted, so the counts that reach the driver are as many as there are different points, a few
+    thousand, and no order of summing shows. Where the bad documents do not score lower than the good ones, it is the
+    good ones' own. Without good labels nothing is told apart and it keeps all.
     """
-    marked = scores.select("doc_id", "ratio").join(marks(labels), "doc_id")
-    low = F.percentile_approx("ratio", F.lit(s.lost), F.lit(10_000)).alias("low")
-    found = {r.quality: r for r in marked.groupBy("quality").agg(low, F.avg("ratio").alias("mean")).collect()}
-    if 1 not in found:
+    marked = scores.select("doc_id", "points").join(marks(labels), "doc_id")
+    found: dict[int, dict[int, int]] = {0: {}, 1: {}}
+    for r in marked.groupBy("quality", "points").agg(F.count("*").alias("n")).collect():
+        found[r.quality][r.points] = r.n
+    if not found[1]:
         return float("-inf")
-    reached = found[1].low
-    bad = found[0].mean if 0 in found else reached
+    left = math.floor(sum(found[1].values()) * s.lost)
+    for reached in sorted(found[1]):
+        left -= found[1][reached]
+        if left < 0:
+            break
+    n_bad = sum(found[0].values())
+    bad = sum(p * n for p, n in found[0].items()) / n_bad if n_bad else reached
     return reached - s.margin * max(0.0, reached - bad)
 
 
@@ -173,8 +208,8 @@ def repeated_words(s: Settings) -> Column:
     return F.element_at(found, 1).cast("bigint")
 
 
-def measured(docs: DataFrame, weights: list[float], s: Settings = Settings()) -> DataFrame:
-    """One row per document: its counts, whether it fails the rules, and its ratio. A null text is an empty one."""
+def measured(docs: DataFrame, weights: list[int], s: Settings = Settings()) -> DataFrame:
+    """One row per document: its counts, whether it fails the rules, and its points. A null text is an empty one."""
     text = F.coalesce("text", F.lit(""))
     texts = docs.select("doc_id", text.alias("text"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -188,13 +223,13 @@ def measured(docs: DataFrame, weights: list[float], s: Settings = Settings()) ->
     rows = rows.select(*base[:1], F.size("w").cast("bigint").alias("n_words"), *base[2:5], repeated_words(s).alias("n_repeat_words"), "w", "v")
     counted = scored(rows, weights, s, *base)
     failed = (F.col("n_words") < s.words) | (100 * F.col("n_repeat_words") > s.repeated * F.col("n_words"))
-    return counted.select(*base, failed.alias("base_failed"), "ratio")
+    return counted.select(*base, failed.alias("base_failed"), "points")
 
 
 def judged(found: DataFrame, least: float) -> DataFrame:
     """The rows of `measured` with whether the document is kept."""
-    kept = ~F.col("base_failed") & (F.col("ratio") >= F.lit(least))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "ratio")
+    kept = ~F.col("base_failed") & (F.col("points") >= F.lit(least))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "points")
 
 
 def assess(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:

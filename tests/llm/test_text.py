@@ -118,7 +118,7 @@ def test_quality_counts_and_verdicts(spark, documents, odd):
 
 
 def test_quality_plan_is_native(spark, documents):
-    plan = quality.assess(documents([(1, "a b")]), quality.Model([0.0] * 8192, 0.0))._jdf.queryExecution().executedPlan().toString()
+    plan = quality.assess(documents([(1, "a b")]), quality.Model([0] * 8192, 0.0))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
     assert quality.report(documents([]), spark.createDataFrame([], "doc_id bigint, quality int")).count() == 0
     assert [r.kept for r in quality.report(documents([(1, "a b c d e f g h i j k")]), spark.createDataFrame([], "doc_id bigint, quality int")).collect()] == [True]
