@@ -85,7 +85,8 @@ class _Page:
     def open(self, tag: str, attributes: str) -> None:
         if self.silent and tag not in IN_HEAD:
             self.end_head()
-        if tag not in INLINE:
+        # What is not shown cuts no block, nor does what stands in it.
+        if tag not in INLINE and tag not in SILENT and not self.silent:
             self.flush()
             if tag in BEFORE_HTML_BLOCK_ENDS:
                 # A paragraph, and inline elements left open in it, end where a block begins.
@@ -96,6 +97,8 @@ class _Page:
         if tag in ENDS:
             for i in range(len(self.stack) - 1, -1, -1):
                 if self.stack[i].tag in ENDS[tag]:
+                    if self.silent and not any(o.tag in SILENT for o in self.stack[: i + 1]):
+                        self.flush()
                     while len(self.stack) > i:
                         self.pop()
                     break
@@ -121,10 +124,12 @@ class _Page:
         self.silent -= tag in SILENT
 
     def close(self, tag: str) -> None:
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in SILENT and not self.silent:
             self.flush()
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i].tag == tag:
+                if self.silent and tag not in INLINE and not any(o.tag in SILENT for o in self.stack[: i + 1]):
+                    self.flush()  # the end of a block in which something not shown was left open
                 while len(self.stack) > i:
                     self.pop()
                 return

@@ -224,14 +224,16 @@ def dropped(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     prepare(docs.sparkSession)
     rows = stored(parsed(docs, settings))
     known = stored(templates(docs, rows, settings))
-    placed = rows.join(known, "line").select("doc_id", "line", "template")
+    placed = stored(rows.join(known, "line").select("doc_id", "line", "template"))
     per_document = placed.select("template", "doc_id").distinct()
-    recurring = (
+    # Written before it meets the lines: both then come by a shuffle of their own, which can be split at a hot template.
+    recurring = stored(
         per_document.groupBy("template")
         .agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
         .where(F.col("n") >= settings.documents)
+        .select("template", "first")
     )
-    hits = placed.join(recurring.select("template", "first"), "template").where("doc_id <> first")
+    hits = placed.join(recurring, "template").where("doc_id <> first")
     return hits.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
 
 
