@@ -131,20 +131,20 @@ def marks(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
 
 
-def maybe_among(ids: DataFrame, column: str, bits: int) -> Column:
-    """False for most values of the column that are not among the ids (a frame of one column), true for all that are.
+def likely_among(rows: DataFrame, ids: DataFrame, bits: int) -> DataFrame:
+    """Rows whose doc_id is among the ids (a frame of one column), and few others; none of them moves.
 
-    A bitmap over hashes, of one size whatever the number of ids; with very many of them it tells fewer apart.
+    A bitmap over hashes, in pieces of 4 KB by bucket: with `bits` bits it has one size whatever the number of ids, so
+    it may be broadcast. With very many ids it tells fewer apart.
     """
-    bit = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(bits))
-    rows = ids.select(F.bitmap_bucket_number(bit + 1).alias("at"), F.bitmap_bit_position(bit + 1).alias("bit"))
-    held = bytearray(bits // 8)
-    for r in rows.groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
-        start = (r["at"] - 1) * len(r["bits"])
-        held[start : start + len(r["bits"])] = r["bits"]
-    own = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
-    byte = F.conv(F.hex(F.substring(F.lit(bytes(held[: bits // 8])), (own / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
-    return F.getbit(byte, (own % 8).cast("int")) == 1
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    own = ids.select(F.bitmap_bucket_number(bit(ids.columns[0])).alias("at"), F.bitmap_bit_position(bit(ids.columns[0])).alias("bit"))
+    # Ids move once, as two numbers, before any piece is made.
+    pieces = own.repartition("at").groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    place = F.bitmap_bit_position(bit("doc_id"))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+    found = (F.bitmap_bucket_number(bit("doc_id")) == F.col("at")) & (F.getbit(byte, (place % 8).cast("int")) == 1)
+    return rows.join(F.broadcast(pieces), found, "left_semi")
 
 
 def learned(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> list[int]:
@@ -154,7 +154,7 @@ def learned(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> lis
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     good = marks(labels).where("quality = 1").select("doc_id")
-    chosen = texts.where(maybe_among(good, "doc_id", s.bits)).join(good.hint("merge"), "doc_id")
+    chosen = likely_among(texts, good, s.bits).join(good.hint("merge"), "doc_id")
     raw = {r.bucket: r.n for r in counts(with_words(texts), s).collect()}
     target = {r.bucket: r.n for r in counts(with_words(chosen), s).collect()}
     return ratios(target, raw, s)

@@ -39,10 +39,10 @@ def test_every_labelled_document_counts(spark):
 def test_bitmap_lets_every_id_through_and_few_others(spark, bits):
     ids = spark.range(0, 3000, 3).selectExpr("id * 1000003 AS doc_id")
     rows = spark.range(3000).selectExpr("id", "id * 1000003 AS doc_id").union(spark.sql("SELECT 0L, CAST(NULL AS BIGINT)"))
-    passed = [r.id for r in rows.where(quality.maybe_among(ids, "doc_id", bits)).collect()]
+    passed = [r.id for r in quality.likely_among(rows, ids, bits).collect()]
     assert {i for i in passed if i % 3 == 0} >= set(range(0, 3000, 3))
     assert len(passed) <= 1000 + (200 if bits < 1 << 20 else 3)
-    assert rows.where(quality.maybe_among(ids.where("false"), "doc_id", bits)).count() == 0
+    assert quality.likely_among(rows, ids.where("false"), bits).count() == 0
 
 
 def test_result_does_not_depend_on_partitions(spark):
