@@ -335,9 +335,18 @@ def _process_statements() -> dict[str, Sql]:
             f'SELECT "DIA", "CLIENTE", CAST(SUM(unid) AS BIGINT) AS "UNID", {lists} AS "OPS" FROM cortes GROUP BY ALL',
             _notes(Q.EVER),
         ),
+        "op_list_pages": _statement(
+            'SELECT "DIA", "CLIENTE", "PAGINA", string_agg("OP", \', \' ORDER BY "OP") AS "OPS" FROM paginas GROUP BY ALL',
+            _notes(Q.EVER)
+            + ', paginas AS (SELECT "DIA", "CLIENTE", "OP", CAST((row_number() OVER (PARTITION BY "DIA", "CLIENTE" ORDER BY "OP") - 1) '
+            f'// {Q.PAGE} + 1 AS BIGINT) AS "PAGINA" FROM (SELECT DISTINCT "DIA", "CLIENTE", "OP" FROM cortes) AS ops)',
+        ),
         "cut_orders": _statement(
             'SELECT "DIA", "CLIENTE", "OP", CAST(SUM(unid) AS BIGINT) AS "UNID" FROM cortes GROUP BY ALL', _notes(Q.EVER)
         ),
+        "cut_orders_by_month": _statement(
+            'SELECT "DIA", "CLIENTE", "OP", CAST(SUM(unid) AS BIGINT) AS "UNID" FROM cortes GROUP BY ALL', _notes(Q.CUT)
+        ),
         "cut_by_client": _statement(
             f"SELECT strftime(\"DIA\", '%d-%m-%Y') AS \"FECHA\", {pivot}, CAST(SUM(unid) AS BIGINT) AS \"TOTAL\" "
             'FROM cortes GROUP BY "DIA"',

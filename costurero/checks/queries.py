@@ -22,7 +22,7 @@ from costurero.plans import process_matrix as PM
 from costurero.plans import schedule as SC
 from costurero.schemas import TABLES
 from costurero.session import tune
-from costurero.sources.derived import catalog_tables, star_tables
+from costurero.sources.derived import catalog_tables, laid_out_tables, star_tables
 from costurero.sources.registry import Tables
 from costurero.sources.sinks import csv_lines, from_csv_lines
 
@@ -32,6 +32,7 @@ PLANNED = ("1996-01-01", "1996-12-31")
 CUT = ("1997-01-01", "1997-12-31")
 DELIVERED_AFTER = "2000-01-01"
 MAX_UNITS = 40
+PAGE = 3
 TODAY = "1998-06-15"
 CLIENT = "BUILDING Custom"
 ONE_OS = "OS00000002"
@@ -189,6 +190,10 @@ def agg_op_list(t: Tables) -> DataFrame:
     return CC.op_lists(CC.cut_orders(t, *EVER))
 
 
+def op_list_pages(t: Tables) -> DataFrame:
+    return CC.op_list_pages(CC.cut_orders(t, *EVER), PAGE)
+
+
 def csv_roundtrip(t: Tables) -> DataFrame:
     listing = FQ.fabric_quality(t, *EVER)
     return from_csv_lines(csv_lines(listing), listing.schema)
@@ -209,6 +214,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "filter_join": filter_joined,
     "agg_masked_sum": agg_masked_sum,
     "agg_op_list": agg_op_list,
+    "op_list_pages": op_list_pages,
     "orders_progress": orders_planned,
     "orders_progress_delivery": orders_progress_delivery,
     "orders_progress_list": orders_progress_list,
@@ -235,6 +241,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "cut_progress_filtered": lambda t: CP.cut_progress(t, *EVER, cliente=" building "),
     "cut_progress_kpis": lambda t: CP.cut_progress_kpis(CP.cut_progress(t, *PLANNED)),
     "cut_orders": lambda t: CC.cut_orders(t, *EVER),
+    "cut_orders_by_month": lambda t: CC.cut_orders(t, *CUT),
     "cut_by_client": lambda t: CC.cut_by_client_report(t, *CUT),
     "cut_by_client_kpis": lambda t: CC.cut_by_client_kpis(CC.cut_orders(t, *CUT)),
     "packages": lambda t: PK.packages(t, MAX_UNITS),
@@ -261,10 +268,13 @@ def run(name: str, tables: Tables) -> DataFrame:
 #: Queries whose tables are read by three-part names.
 FROM_CATALOG = {"qc_report_catalog"}
 
+#: Queries whose facts are laid out by month and in buckets.
+LAID_OUT = {"cut_orders_by_month"}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(name: str) -> Callable[[SparkSession, str], DataFrame]:
-        source = catalog_tables if name in FROM_CATALOG else tables_of
+        source = catalog_tables if name in FROM_CATALOG else laid_out_tables if name in LAID_OUT else tables_of
         return lambda spark, folder: run(name, source(tune(spark), folder))
 
     return {name: bind(name) for name in _QUERIES}

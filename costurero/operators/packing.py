@@ -8,9 +8,10 @@ full packages and one of ``q - k*m``, ``k = max(0, ceil((q - m - 9) / m))``.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from costurero.operators.running import running_before
+
 #: Fixed value: a rest of fewer units than this joins the last package.
 MIN_REST = 10
 
@@ -30,21 +31,21 @@ def split_packages(
     """One row per package: ``#`` (running within ``group``), ``UNIDADES``, ``INI``, ``FIN``.
 
     ``rows`` holds each distinct (group, order..., quantity) once with its number of
-    ``copies``: a group of any size reaches the window as a few rows. Each copy starts
-    again at unit 1. After the window a row becomes blocks of packages that are spread
-    over the cluster before they expand.
+    ``copies``; packages before a row are summed in two levels, so a group may have any
+    number of them. Each copy starts again at unit 1. A numbered row becomes blocks of
+    packages that are spread over the cluster before they expand.
     """
     if max_units < 1:
         raise ValueError("a package holds at least one garment")
     keys = [group, *order, quantity]
     last = F.col("_full") + 1
-    window = W.partitionBy(group).orderBy(*order, quantity)
-    plan = (
+    counted = (
         rows.where(F.col(quantity) > 0)
         .withColumn("_full", full_packages(F.col(quantity), max_units))
         .withColumn("_total", F.col(copies) * last)
-        .withColumn("_before", F.coalesce(F.sum("_total").over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_total") - 1) / BLOCK))))
+    )
+    plan = running_before(counted, [group], [*order, quantity], "_total", "_before").withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_total") - 1) / BLOCK)))
     )
     # A given number of partitions: adaptive execution would merge these few rows before they grow.
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -12,6 +12,7 @@ from costurero.functions import scalars as S
 from costurero.operators.aggregates import sorted_list
 from costurero.operators.joins import with_master
 from costurero.operators.pivots import pivot_values, unique_names
+from costurero.operators.running import running_before
 from costurero.plans import constants as K
 from costurero.sources.registry import Tables
 
@@ -22,18 +23,21 @@ def cut_orders(tables: Tables, start: date | str, end: date | str) -> DataFrame:
     Clients equal in their first 15 characters are one client here. Registration is compared
     as an instant, so of the last day only midnight counts.
     """
+    lines = _lines(tables).select("_note", S.whole(F.col("dCantidadIng")).alias("_units"))
+    # Notes meet their lines first, by the id in whose buckets both may lie, and go on as one row per day and order.
+    moved = (
+        _notes(tables, start, end)
+        .join(lines, F.col("IdDocumento_NotaInventario") == F.col("_note"))
+        .groupBy(F.to_date("dtFechaRegistro").alias("DIA"), "IdDocumento_OrdenProduccion")
+        .agg(F.sum("_units").alias("_units"))
+    )
     production = with_master(
         _production(tables).select("_op", F.col("CoddocOrdenProduccion").alias("OP"), "IdmaeAnexo_Cliente"),
         tables, "maeAnexoCliente", "IdmaeAnexo_Cliente", _client="NommaeAnexoCliente",
     )
-    lines = _lines(tables).select("_note", S.whole(F.col("dCantidadIng")).alias("_units"))
     return (
-        _notes(tables, start, end)
-        .join(production, F.col("IdDocumento_OrdenProduccion") == F.col("_op"))
-        .join(lines, F.col("IdDocumento_NotaInventario") == F.col("_note"))
-        .groupBy(
-            F.to_date("dtFechaRegistro").alias("DIA"), S.first_chars(F.col("_client")).alias("CLIENTE"), "OP"
-        )
+        moved.join(production, F.col("IdDocumento_OrdenProduccion") == F.col("_op"))
+        .groupBy("DIA", S.first_chars(F.col("_client")).alias("CLIENTE"), "OP")
         .agg(F.sum("_units").alias("UNID"))
     )
 
@@ -42,7 +46,7 @@ def _notes(tables: Tables, start: date | str, end: date | str) -> DataFrame:
     """Cutting notes of the range."""
     return (
         P.where_equal(
-            tables["docNotaInventario"],
+            tables.within("docNotaInventario", "dtFechaRegistro", start, end),
             IdtdDocumentoForm=K.FORM_STOCK_NOTE,
             IdmaeCentroCosto=K.CUTTING,
             bDevolucion=0,
@@ -103,6 +107,21 @@ def op_lists(orders: DataFrame) -> DataFrame:
     return orders.groupBy("DIA", "CLIENTE").agg(F.sum("UNID").alias("UNID"), sorted_list("OP").alias("OPS"))
 
 
+def op_list_pages(orders: DataFrame, size: int = 1000) -> DataFrame:
+    """The production-order list of each day and client as numbered pages: ``DIA, CLIENTE, PAGINA, OPS``.
+
+    A page holds ``size`` orders, the last one what is left; its pages, joined in order, are the cell's list in
+    ``op_lists``. Orders are counted through in two levels, so no task holds a whole cell. A cell without any order's
+    code has no page.
+    """
+    if size < 1:
+        raise ValueError("a page holds at least one order")
+    coded = orders.where(F.col("OP").isNotNull()).select("DIA", "CLIENTE", "OP", F.lit(1).cast("bigint").alias("_one"))
+    counted = running_before(coded, ["DIA", "CLIENTE"], ["OP"], "_one", "_before")
+    page = (F.floor(F.col("_before") / size) + 1).alias("PAGINA")
+    return counted.groupBy("DIA", "CLIENTE", page).agg(sorted_list("OP").alias("OPS"))
+
+
 def cut_by_client(cells: DataFrame, clients: list[str] | None = None) -> DataFrame:
     """A row per day; per client its units and ``<client>_OP`` list, and their ``TOTAL``.
 

@@ -6,12 +6,16 @@ the far more numerous lines then meet them once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from costurero.functions import filters as P
 from costurero.functions import scalars as S
 from costurero.operators.joins import with_master
+from costurero.operators.latest import last_by_numbers
 from costurero.operators.packing import split_packages
 from costurero.plans import constants as K
 from costurero.sources.registry import Tables
@@ -25,11 +29,13 @@ _KINDS = {
 }
 
 
-def heads(tables: Tables, os: str | None = None, material: Column | None = None) -> DataFrame:
+def heads(
+    tables: Tables, os: str | None = None, reduced: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Cutting service orders with the documents they refer to.
 
-    Once per raw material; or, given an aggregate ``material`` over the ``MP`` of an order, once
-    per order with its value, so that an order of many materials goes on as one row.
+    Once per raw material; or, given a way to reduce the materials ``(_material_of, MP)`` to one row
+    per order, once per order, so that an order of many materials goes on as one row.
     """
     parts = []
     for kind, (head, code, _, used, key) in _KINDS.items():
@@ -37,8 +43,8 @@ def heads(tables: Tables, os: str | None = None, material: Column | None = None)
         materials = tables[used].select(
             F.col(key).alias("_material_of"), S.last_chars(F.col("ntDescripcion")).alias("MP")
         )
-        if material is not None:
-            materials = materials.groupBy("_material_of").agg(material.alias("MP"))
+        if reduced is not None:
+            materials = reduced(materials)
         parts.append(
             orders.join(materials, F.col(key) == F.col("_material_of")).select(
                 F.lit(kind).alias("_kind"),
@@ -70,8 +76,8 @@ def heads(tables: Tables, os: str | None = None, material: Column | None = None)
     return full.select("_kind", "_id", "OS", "PEDIDO", "CLIENTE", "PO", "OP", "OBS", "MP")
 
 
-def lines(tables: Tables) -> DataFrame:
-    """Lines of both kinds of order with style, combo and size."""
+def _counted_lines(tables: Tables) -> DataFrame:
+    """Lines of both kinds of order with the ids of item and combo and their size."""
     parts = [
         tables[line].select(
             F.lit(kind).alias("_line_kind"),
@@ -83,10 +89,13 @@ def lines(tables: Tables) -> DataFrame:
         )
         for kind, (_, _, line, _, key) in _KINDS.items()
     ]
-    rows = parts[0].unionByName(parts[1])
-    rows = with_master(
-        rows, tables, "maeTalla", "IdmaeTalla", TALLA="NommaeTalla", ORDEN_TALLA="iSecuencia"
+    return with_master(
+        parts[0].unionByName(parts[1]), tables, "maeTalla", "IdmaeTalla", TALLA="NommaeTalla", ORDEN_TALLA="iSecuencia"
     )
+
+
+def _named(rows: DataFrame, tables: Tables) -> DataFrame:
+    """Rows with the names of their combo and style; those whose ids the masters do not have are left out."""
     rows = with_master(rows, tables, "maeCombo", "_combo", "IdmaeCombo", COMBO="NommaeCombo")
     rows = with_master(
         rows, tables, "maeItemInventario", "_item", "IdmaeItem_Inventario", IdmaeEstilo="IdmaeEstilo"
@@ -94,6 +103,11 @@ def lines(tables: Tables) -> DataFrame:
     return with_master(rows, tables, "maeEstilo", "IdmaeEstilo", ESTILO="NommaeEstilo")
 
 
+def lines(tables: Tables) -> DataFrame:
+    """Lines of both kinds of order with style, combo and size."""
+    return _named(_counted_lines(tables), tables)
+
+
 def _meet(rows: DataFrame, orders: DataFrame) -> DataFrame:
     return rows.join(orders, (F.col("_line_kind") == F.col("_kind")) & (F.col("_line_id") == F.col("_id")))
 
@@ -105,13 +119,17 @@ def package_source(tables: Tables, os: str | None = None) -> DataFrame:
     )
 
 
+def _number_of_materials(materials: DataFrame) -> DataFrame:
+    return materials.groupBy("_material_of").agg(F.count("*").alias("MP"))
+
+
 def size_quantities(tables: Tables, os: str | None = None) -> DataFrame:
     """Each distinct size and whole quantity of a service order with its number of lines.
 
     A line repeats once per raw material of its order. Only these counts go on, so an order
     of any number of lines stays a few rows.
     """
-    counted = heads(tables, os, F.count("*")).groupBy("_kind", "_id", "OS").agg(F.sum("MP").alias("_times"))
+    counted = heads(tables, os, _number_of_materials).groupBy("_kind", "_id", "OS").agg(F.sum("MP").alias("_times"))
     return (
         _meet(lines(tables), counted)
         .groupBy("OS", "ORDEN_TALLA", F.trim("TALLA").alias("TALLA"), S.whole(F.col("CANTIDAD")).alias("_units"))
@@ -150,17 +168,29 @@ def packages_by_size(tables: Tables, os: str | None = None) -> DataFrame:
 _HEADER = ["PEDIDO", "CLIENTE", "PO", "OP", "ESTILO", "COMBO", "OBS", "MP"]
 
 
+def _last_material(materials: DataFrame) -> DataFrame:
+    """The greatest text of each order; all but the first of a task's rows go before they move."""
+    by_text = W.partitionBy("_material_of").orderBy(F.desc("MP"))
+    return materials.withColumn("_nth", F.row_number().over(by_text)).where("_nth = 1").drop("_nth")
+
+
 def packages_header(tables: Tables, os: str | None = None) -> DataFrame:
     """The heading of each service order: that of its last line, by size, item and combo.
 
-    Lines are reduced to the last one of each order before they meet the headings.
+    Lines are reduced by their numbers alone to the last one of each order. Only these meet the headings and the names of
+    style and combo; texts decide between headings whose last lines are equal.
     """
-    last = F.max(F.struct("ORDEN_TALLA", "_item", "_combo", "ESTILO", "COMBO")).alias("_line")
-    last_lines = lines(tables).groupBy("_line_kind", "_line_id").agg(last)
-    rows = _meet(last_lines, heads(tables, os, F.max("MP"))).select(
-        "OS",
-        *[F.col(f"_line.{c}") for c in ("ORDEN_TALLA", "_item", "_combo", "ESTILO", "COMBO")],
-        *[c for c in _HEADER if c not in ("ESTILO", "COMBO")],
-    )
-    heading = F.max(F.struct("ORDEN_TALLA", "_item", "_combo", *_HEADER)).alias("_last")
-    return rows.groupBy("OS").agg(heading).select("OS", *[f"_last.{c}" for c in _HEADER])
+    known = [
+        tables["maeCombo"].select(F.col("IdmaeCombo").alias("_combo")),
+        tables["maeItemInventario"]
+        .join(tables["maeEstilo"], "IdmaeEstilo", "left_semi")
+        .select(F.col("IdmaeItem_Inventario").alias("_item")),
+    ]
+    counted = _counted_lines(tables)
+    for ids in known:
+        counted = counted.join(ids, ids.columns, "left_semi")
+    number = ["ORDEN_TALLA", "_item", "_combo"]
+    last_lines = last_by_numbers(counted, ["_line_kind", "_line_id"], *number)
+    rows = _named(_meet(last_lines, heads(tables, os, _last_material)), tables)
+    last = W.partitionBy("OS").orderBy(*[F.desc(c) for c in [*number, *_HEADER]])
+    return rows.withColumn("_nth", F.row_number().over(last)).where("_nth = 1").select("OS", *_HEADER)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from costurero.schemas import TABLES, conform
 from costurero.sources.registry import Tables
+from costurero.sources.sinks import lay_out
 
 STAR = ("customer", "orders", "lineitem", "part")
 
@@ -233,6 +234,27 @@ def catalog_tables(spark: SparkSession, folder: str) -> Tables:
     return Tables.from_conf(spark, {name: {"table": f"{schema}.{name}"} for name in TABLES})
 
 
+#: Stock notes and their lines, by the id they share.
+_LAID_OUT = {"docNotaInventario": "dtFechaRegistro", "docNotaInventarioItem": None}
+
+
+def laid_out_tables(spark: SparkSession, folder: str, buckets: int = 8) -> Tables:
+    """The garment tables with stock notes laid out by month and both notes and lines in buckets of the note's id.
+
+    The two tables are written once per application, in a schema of its own; the others are those of ``star_tables``.
+    """
+    flat = star_tables(spark, folder)
+    own = f"{spark.sparkContext.applicationId}|{folder}|{buckets}"
+    schema = f"spark_catalog.costurero_by_month_{crc32(own.encode()):08x}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
+    conf = {name: {"frame": flat[name]} for name in TABLES}
+    for name, instant in _LAID_OUT.items():
+        conf[name] = {"table": f"{schema}.{name}"}
+        if not spark.catalog.tableExists(conf[name]["table"]):
+            lay_out(flat[name], conf[name]["table"], "IdDocumento_NotaInventario", buckets, instant)
+    return Tables.from_conf(spark, conf)
+
+
 def with_clauses(names: list[str]) -> str:
     """``WITH`` clauses that define ``names``, and all they read, for an ANSI database."""
     ordered: dict[str, str] = {}

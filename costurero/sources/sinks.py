@@ -22,6 +22,24 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").options(**_CSV).csv(path)
 
 
+#: Partition columns of a laid-out table are named after their instant column with this in front.
+PART = "_mes_"
+
+
+def lay_out(df: DataFrame, table: str, bucket: str, buckets: int, instant: str | None = None) -> None:
+    """Write ``df`` as a catalog table in ``buckets`` buckets of the column ``bucket``, sorted by it.
+
+    With an ``instant`` column the table is partitioned by its month too, so that a date range reads only its months.
+    Rows are dealt by the buckets' own hash first: a task writes one bucket, at most one file a month. Two tables in
+    equally many buckets of one id join without a shuffle.
+    """
+    rows = df.repartition(buckets, bucket)
+    if instant is not None:
+        rows = rows.withColumn(PART + instant, F.trunc(F.to_date(instant), "MM"))
+    writer = rows.write.format("parquet").mode("errorifexists").bucketBy(buckets, bucket).sortBy(bucket)
+    (writer if instant is None else writer.partitionBy(PART + instant)).saveAsTable(table)
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.options(**_CSV).schema(schema).csv(path)
 

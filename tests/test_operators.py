@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from datetime import datetime
 
 import numpy as np
@@ -13,7 +14,9 @@ from costurero.functions.filters import cascade
 from costurero.operators.calendar import day_calendar
 from costurero.operators.histogram import percent_histogram
 from costurero.operators.joins import filter_join
+from costurero.operators.latest import last_by_numbers
 from costurero.operators.packing import MIN_REST, full_packages, split_packages
+from costurero.operators.running import running_before, sliced
 from costurero.operators.pivots import pivot_sums, pivot_values, unique_names
 from costurero.operators.reuse import ReportCache
 from costurero.plans.cut_by_client import cut_by_client
@@ -224,3 +227,56 @@ def test_clients_named_like_columns(spark):
     assert row["TOTAL"] == sum(range(1, 8)) and row["FECHA"] == "02-01-1996"
     assert {row[k] for k in ("ACME", "Acme (2)", "DIA", "FECHA (2)", "TOTAL (2)", "X", "X_OP")} == set(range(1, 8))
     assert row["X_OP (2)"] == "OP2"
+
+
+def test_running_sums_over_groups_that_are_cut(spark):
+    """One group of 200,000 rows, a null one of 20,000, small ones, all with a null in their order."""
+    rows = spark.range(230_000).select(
+        F.when(F.col("id") < 200_000, "hot").when(F.col("id") < 220_000, None).otherwise(F.concat(F.lit("g"), F.col("id") % 500)).alias("a b"),
+        F.when(F.col("id") % 1000 != 0, F.pmod(F.xxhash64("id"), F.lit(300))).alias("n"),
+        F.sha2(F.col("id").cast("string"), 256).alias("t"),
+        (F.col("id") % 7).alias("v"),
+    )
+    got = running_before(rows, ["a b"], ["n", "t"], "v", "before").toPandas()
+    want = got.sort_values(["n", "t"], na_position="first")
+    sums = want.groupby("a b", dropna=False)["v"]
+    assert len(got) == 230_000 and ((sums.cumsum() - want["v"]) == want["before"]).all()
+    parts = sliced(rows, ["a b"], ["n", "t"]).groupBy("a b", "_slice").count().collect()
+    hot = [r["count"] for r in parts if r["a b"] == "hot"]
+    assert len(hot) > 100 and max(hot) < 0.05 * 200_000
+    assert sum(r["a b"] is None for r in parts) > 100
+    assert all(r["_slice"] is None for r in parts if r["a b"] and r["a b"] != "hot")
+
+
+def test_one_order_of_many_sizes_fills_no_task(spark):
+    """A million distinct (size, quantity) rows of one order: no slice, and no task that seeks it, holds over 5 %."""
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        rows = spark.range(1_000_000).select(
+            F.lit("OS").alias("os"), (F.col("id") % 1000).cast("int").alias("n"),
+            F.concat(F.lit("T"), F.col("id") % 1000).alias("size"),
+            (F.floor(F.col("id") / 1000) + 1).alias("q"), F.lit(1).cast("bigint").alias("lines"),
+        )
+        slices = sliced(rows, ["os"], ["n", "size", "q"]).groupBy("_slice").count().collect()
+        assert max(r["count"] for r in slices) < 50_000
+        got = split_packages(rows, "os", ["n", "size"], "q", "lines", 2000)
+        assert tuple(got.agg(F.count("*"), F.min("#"), F.max("#"), F.countDistinct("#")).first()) == (1_000_000, 1, 1_000_000, 1_000_000)
+        ordered = got.where("`#` % 1000 IN (0, 1) OR `#` = 777777").select("n", "UNIDADES", "#").collect()
+        assert all(r["#"] == r["n"] * 1000 + r["UNIDADES"] for r in ordered)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
+def test_last_by_numbers_is_the_greatest_tuple(spark):
+    rnd = random.Random(3)
+    ints, longs = [-(1 << 31), (1 << 31) - 1, -1, 0, 1, 2, 3], [-(1 << 63), (1 << 63) - 1, -1, 0, 1]
+    data = [(f"k{rnd.randrange(60)}", rnd.choice([None, *ints]), rnd.choice(longs), rnd.choice(ints)) for _ in range(600)]
+    data += [(None, 1, 2, 3), (None, 1, 2, 2), ("only null", None, 5, 4), ("no item", 1, None, 4)]
+    rows = spark.createDataFrame(data, "`a b` string, a int, i bigint, c int")
+    got = {r[0]: tuple(r)[1:] for r in last_by_numbers(rows, ["a b"], "a", "i", "c").collect()}
+    want = {}
+    for k, *t in data:
+        if t[1] is not None:
+            want[k] = max(want.get(k, t), t, key=lambda x: (x[0] is not None, x[0] or 0, *x[1:]))
+    assert got == {k: tuple(t) for k, t in want.items()}

@@ -11,6 +11,7 @@ from costurero.plans import order_progress as OP
 from costurero.plans import packages as PK
 from costurero.plans import process_matrix as PM
 from costurero.schemas import TABLES
+from costurero.sources.derived import laid_out_tables
 from costurero.sources.registry import Tables
 from tests.conftest import STAR_FOLDER
 from tests.helpers import frames_of, random_rows
@@ -168,6 +169,45 @@ def test_total_row_reads_nothing_twice(large, settings):
     assert executed(with_total).count("FileSourceScanExec") == executed(progress).count("FileSourceScanExec")
 
 
+def test_laid_out_facts_are_pruned_and_not_shuffled_by_their_id(spark, settings):
+    tables, flat = laid_out_tables(spark, STAR_FOLDER), tables_of(spark, STAR_FOLDER)
+    settings(maxMetadataStringLength="4000")
+    orders = CC.cut_orders(tables, "1997-03-05", "1997-05-20")
+    plan = plan_of(orders)
+    notes = next(line for line in plan.splitlines() if "FileScan" in line and "_mes_dtFechaRegistro" in line)
+    assert "PartitionFilters: [" in notes and ">= 1997-03-01" in notes and "<= 1997-05-20" in notes
+    assert plan.count("Bucketed: true") == 2
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert moved and not [line for line in moved if "IdDocumento_NotaInventario" in line or "_note" in line]
+    assert "Exchange hashpartitioning(IdDocumento_NotaInventario" in plan_of(CC.cut_orders(flat, "1997-03-05", "1997-05-20"))
+    for span in (("1997-03-05", "1997-05-20"), ("1996-12-31", "1997-01-01"), EVER):
+        ours, theirs = CC.cut_orders(tables, *span), CC.cut_orders(flat, *span)
+        assert ours.exceptAll(theirs).isEmpty() and theirs.exceptAll(ours).isEmpty() and ours.count()
+    for name in ("docNotaInventario", "docNotaInventarioItem"):
+        assert tables[name].dtypes == flat[name].dtypes
+        assert tables[name].exceptAll(flat[name]).isEmpty() and flat[name].exceptAll(tables[name]).isEmpty()
+
+
+def test_headings_are_found_by_hash(large, settings):
+    ran = executed(PK.packages_header(large))
+    assert "SortAggregateExec" not in ran and ran.count("HashAggregateExec") >= 2
+    assert "SortAggregate" not in plan_of(PK.packages_header(large))
+
+
+def test_pages_of_a_cell_join_to_its_list(spark):
+    orders = CC.cut_orders(tables_of(spark, STAR_FOLDER), *EVER)
+    cells = {(r.DIA, r.CLIENTE): r.OPS for r in CC.op_lists(orders).collect()}
+    pages = sorted((r.DIA, r.CLIENTE, r.PAGINA, r.OPS) for r in CC.op_list_pages(orders, 1).collect())
+    joined = {}
+    for day, client, page, ops in pages:
+        joined.setdefault((day, client), []).append(ops)
+        assert page == len(joined[day, client]) and len(ops.split(", ")) == 1
+    assert {k: ", ".join(v) for k, v in joined.items()} == cells
+    assert max(len(v) for v in joined.values()) > 1
+    with pytest.raises(ValueError):
+        CC.op_list_pages(orders, 0)
+
+
 def test_pivot_names_come_from_keys(spark, large, settings, monkeypatch):
     asked = []
     monkeypatch.setattr(CC, "pivot_values", lambda df, by: asked.append(df) or [])
