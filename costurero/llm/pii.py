@@ -1,17 +1,21 @@
 """Personal data replaced by surrogates.
 
 Addresses, numbers, secrets and names are found by patterns and given replacements of their own kind: an address
-becomes an address, a card number keeps its length, first digit and checksum, a name keeps its script and gender. A
+becomes an address, a card number keeps its length, first digit and checksum, a name keeps its script and gender. Where
+a name was found, the document's other mentions of the same words are mentions of it too. A
 replacement follows from a secret key and the normal form of what it replaces, so every mention of one entity, in any
 document and spelling, gets the same. Numbers and identifiers go through keyed permutations of their own format, names
 through keyed word lists and syllables. A check over all entities finds replacements that two entities share or that
-are themselves entities of the corpus; all but the first such entity draw again, until none is left.
+are themselves entities of the corpus; all but the first such entity draw again, until none is left. Entities that find
+no free place in their format for long draw from a wider one.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
+import itertools
 import re
 import sys
 import unicodedata
@@ -27,6 +31,7 @@ from costurero.llm.common import map_batches, prepare, stored
 TITLES = {
     "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "господин"],
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа"],
+    "n": ["Dr", "Prof", "Professor", "доктор", "профессор"],
 }
 GIVEN = {
     "latin": {
@@ -39,7 +44,7 @@ GIVEN = {
     },
 }
 SYLLABLES = {"latin": "ba be bo da de do fa ga ha ka ke la le lo ma me mo na ne no pa ra re ro sa se ta te va vo".split(), "cyrillic": "ба бе во га да де за ка ко ла ле ма ме на но па ра ре са се та те".split()}
-CYRILLIC_END = {"m": "ов", "f": "ова"}
+CYRILLIC_END = {"m": "ов", "f": "ова", "n": "енко"}
 # End of the fixed values.
 
 GENDER = {name: (script, sex) for script, by in GIVEN.items() for sex, names in by.items() for name in names}
@@ -76,6 +81,12 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z
 CARD = re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])", re.ASCII)
 TAX = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", re.ASCII)
 PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-])|(?<!\w)\+\d{8,15}(?!\d)", re.ASCII)
+CAPITALISED = re.compile(rf"(?<![\w{OTHER_LETTERS}'’-]){WORD}")
+SMALL = re.compile(rf"(?<![\w{OTHER_LETTERS}])[{LOWER}][{LOWER}{OTHER_LETTERS}'’-]*")
+#: Tasks among which copies of one text are dealt.
+SALTS = 32
+#: Draws after which an entity whose format is full or nearly so gets a longer surrogate, once more after as many again.
+PATIENCE = 24
 NAME = re.compile(rf"\b(?:({'|'.join(sorted(TITLE_SEX, key=len, reverse=True))})\.? ({WORD}(?: {WORD})?)|((?:{'|'.join(GENDER)}) {WORD}))")
 
 
@@ -102,14 +113,19 @@ def normal_phone(text: str) -> str:
 
 
 def entities(text: str | None) -> list[Entity]:
-    """Entities from left to right without overlaps; of overlapping ones the first kind of this list wins."""
+    """Entities from left to right without overlaps; of overlapping ones the first kind of this list wins.
+
+    A word found as a name is one wherever the text has it, as it was first found, unless the text also has it in small
+    letters: then it is an ordinary word too, and only the mentions with a title or given name count.
+    """
     if not text:
         return []
     found: list[Entity] = []
 
     def add(kind: str, start: int, end: int, normal: str) -> None:
-        if all(end <= e.start or start >= e.end for e in found):
-            found.append(Entity(kind, start, end, text[start:end], normal))
+        at = bisect.bisect_left(found, start, key=lambda e: e.start)
+        if (at == 0 or found[at - 1].end <= start) and (at == len(found) or end <= found[at].start):
+            found.insert(at, Entity(kind, start, end, text[start:end], normal))
 
     if TRIGGER.search(text):
         if "@" in text:
@@ -132,18 +148,29 @@ def entities(text: str | None) -> list[Entity]:
         for m in PHONE.finditer(text):
             if len(digits(m.group())) >= 9 or m.group()[0] in "+(" and len(digits(m.group())) >= 8:
                 add("phone", m.start(), m.end(), normal_phone(m.group()))
+    words: dict[str, str] = {}
     for m in NAME.finditer(text):
         group = 2 if m.group(2) else 3
         full = m.group(group).split(" ")
-        sex = TITLE_SEX.get(m.group(1) or "") or GENDER[full[0]][1]
+        sex = TITLE_SEX.get(m.group(1) or "", "n")
+        if sex == "n" and full[0] in GENDER:
+            sex = GENDER[full[0]][1]
         at = m.start(group)
         for i, part in enumerate(full):
             kind = "given" if part in GENDER and (len(full) > 1 and i == 0) else "family"
             # Latin family names are the same for all, Cyrillic ones follow the gender.
             neutral = kind == "family" and not "\u0400" <= part[0] <= "\u04ff"
-            add(f"{kind}_{'n' if neutral else sex}", at, at + len(part), part)
+            kind = f"{kind}_{'n' if neutral else sex}"
+            add(kind, at, at + len(part), part)
+            words.setdefault(part, kind)
             at += len(part) + 1
-    return sorted(found, key=lambda e: e.start)
+    if words:
+        ordinary = set(SMALL.findall(text))
+        for m in CAPITALISED.finditer(text):
+            kind = words.get(m.group())
+            if kind and m.group().lower() not in ordinary:
+                add(kind, m.start(), m.end(), m.group())
+    return found
 
 
 # ---------------------------------------------------------------- surrogates
@@ -199,11 +226,11 @@ def check_digit(payload: str) -> int:
 
 
 def filled(pattern: str, new: str) -> str:
-    """The pattern with its digits and letters, from the right, taken from `new`; what is left over stays."""
+    """The pattern with its digits and letters, from the right, taken from `new`; what either has more of leads."""
     out, rest = [], list(new)
     for c in reversed(pattern):
         out.append(rest.pop() if rest and c.isalnum() else c)
-    return "".join(reversed(out))
+    return "".join(rest) + "".join(reversed(out))
 
 
 def iban_check(country: str, account: str) -> str:
@@ -212,12 +239,13 @@ def iban_check(country: str, account: str) -> str:
 
 
 def surrogate(kind: str, normal: str, key: bytes, attempt: int = 0) -> str:
-    """Replacement of a normal form."""
+    """Replacement of a normal form. From PATIENCE draws on texts and numbers without a checksum grow."""
     label = f"{kind}|{attempt}"
+    more = attempt // PATIENCE
     if kind == "email":
         local, host = normal.split("@")
         *labels, top = host.split(".")
-        return same_format(local, key, label) + "@" + ".".join([*(same_format(x, key, label + "h") for x in labels), top])
+        return same_format(local + "a" * more, key, label) + "@" + ".".join([*(same_format(x, key, label + "h") for x in labels), top])
     if kind == "ip":
         value = int.from_bytes(bytes(map(int, normal.split("."))), "big")
         return ".".join(map(str, permuted(value, 1 << 32, key, label).to_bytes(4, "big")))
@@ -232,7 +260,7 @@ def surrogate(kind: str, normal: str, key: bytes, attempt: int = 0) -> str:
     if kind == "secret":
         fixed = re.match(r"AKIA|ASIA|(?:sk|pk|ghp|xoxb)[-_]", normal)
         n = fixed.end() if fixed else 0
-        return normal[:n] + same_format(normal[n:], key, label)
+        return normal[:n] + same_format(normal[n:] + "0" * more, key, label)
     if kind.startswith(("given", "family")):
         part, sex = kind.split("_")
         script = "cyrillic" if "\u0400" <= normal[0] <= "\u04ff" else "latin"
@@ -246,7 +274,7 @@ def surrogate(kind: str, normal: str, key: bytes, attempt: int = 0) -> str:
             x, i = divmod(x, len(SYLLABLES[script]))
             made += SYLLABLES[script][i]
         return made.capitalize() + (CYRILLIC_END[sex] if script == "cyrillic" and part == "family" else "")
-    return same_format(normal, key, label)
+    return same_format(normal + "0" * more, key, label)
 
 
 def shown(entity: Entity, new: str) -> str:
@@ -274,20 +302,33 @@ def replaced(text: str | None, key: bytes, attempts: Callable[[str, str], int])
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, normal) of each distinct entity of each row."""
+    """(digest, kind, normal) of each distinct entity of each text, which its digest names: ids may repeat or be null."""
 
     def make():
         def run(cols):
-            rows = [(d, k, n) for d, t in zip(cols["doc_id"], cols["text"]) for k, n in sorted({(e.kind, e.normal) for e in entities(t)})]
-            return dict(zip(("doc_id", "kind", "normal"), zip(*rows))) if rows else {"doc_id": [], "kind": [], "normal": []}
+            out = {"digest": [], "kind": [], "normal": []}
+            for text in cols["text"]:
+                if pairs := sorted({(e.kind, e.normal) for e in entities(text)}):
+                    out["digest"] += [digest(text)] * len(pairs)
+                    out["kind"] += [k for k, _ in pairs]
+                    out["normal"] += [n for _, n in pairs]
+            return out
 
         return run
 
-    return map_batches(docs.select("doc_id", "text"), "doc_id bigint, kind string, normal string", make)
+    return map_batches(docs.select("text"), "digest string, kind string, normal string", make)
+
+
+def digest(text: str) -> str:
+    return hashlib.md5(text.encode("utf-8")).hexdigest()
+
 
+def drawn_again(seen: DataFrame, key: bytes) -> DataFrame:
+    """(kind, normal, attempt) of the entities whose first replacement is taken, when none shares or takes another's.
 
-def drawn_again(seen: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
-    """(kind, normal, attempt) of the entities whose first replacement is taken.
+    Rounds end by themselves: each leaves one holder of every shared surrogate, and formats that are full grow. Card and
+    account numbers and network addresses cannot grow; should a corpus hold so many of one that none is free, 1,000
+    draws end in an error instead of a surrogate that is someone's.
 
     Kinds that differ by gender only are checked together. The listed given names change places among themselves, so
     that one of them is an entity too does not count; it does for one that drew again.
@@ -303,7 +344,9 @@ def drawn_again(seen: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
     known = stored(seen.select("kind", "normal").distinct())
     table = known.withColumn("attempt", F.lit(0))
     group = F.substring_index("kind", "_", 1).alias("group")
-    for _ in range(rounds):
+    for draw in itertools.count():
+        if draw > 1000:
+            raise ValueError("a format of the corpus has no free surrogates left")
         table = stored(map_batches(table, "kind string, normal string, attempt int, new string", make)).select("*", group)
         shared = table.groupBy("group", "new").agg(F.min(F.struct("attempt", "kind", "normal")).alias("first"), F.count("*").alias("n"))
         clash = shared.where("n > 1").select("group", "new", F.struct("first.kind", "first.normal").alias("holder"))
@@ -321,8 +364,8 @@ def drawn_again(seen: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
 def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
     """(doc_id, text, n_entities, kinds) of every row: the text with all entities replaced.
 
-    A text without entities is returned as it is; null stays null. Rows are replaced one by one, so repeated and null
-    doc_ids do not matter. Other columns are not read.
+    A text without entities is returned as it is; null stays null. Draws are joined to texts by their digests, so rows
+    may share a doc_id or have none. Other columns are not read.
     """
     prepare(docs.sparkSession)
     seen = stored(mentions(docs))
@@ -331,9 +374,11 @@ def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
     if again.isEmpty():
         rows = rows.withColumn("again", F.lit(None).cast("array<struct<kind:string,normal:string,attempt:int>>"))
     else:
-        own = seen.join(again, ["kind", "normal"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "normal", "attempt")).alias("again"))
-        named = own.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "_doc")
-        rows = rows.join(named, rows["doc_id"] == named["_doc"], "left").drop("_doc")
+        own = seen.distinct().join(again, ["kind", "normal"]).groupBy("digest").agg(F.collect_list(F.struct("kind", "normal", "attempt")).alias("again"))
+        # Copies of one text are dealt over SALTS tasks, which all have its draws; null texts and texts without any stay alone.
+        dealt = own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = rows.withColumn("digest", F.md5("text")).withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        rows = salted.join(dealt, ["digest", "_salt"], "left").select("doc_id", "text", "again")
 
     def make():
         def run(cols):
