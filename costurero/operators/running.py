@@ -34,16 +34,21 @@ def _attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(other, same, "left").drop(*[f"_of_{i}" for i in range(len(keys))])
 
 
-def sliced(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+def sliced(rows: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
     """``rows`` with ``_slice``: null in groups that are not cut, else the number of the group's cuts up to the row.
 
     The cuts are rows drawn by their hash, at a rate that follows from the number of rows, so the slices are a function
-    of the data: a task that runs again finds the same. Equal rows share a slice.
+    of the data: a task that runs again finds the same. Equal rows share a slice. Only rows with a ``value`` other than
+    zero are counted and drawn. Both conditions read the value, so that they stay above the aggregation ``rows`` may
+    come from and all its uses share one run of it.
     """
     keys, here = [column(g) for g in group], F.struct(*[column(o) for o in order])
     hashed = F.xxhash64(*keys, *[column(o) for o in order])
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > LARGE)
-    drawn = rows.where(hashed.bitwiseAND(F.lit(LARGE // CUTS - 1)) == 0).select(*keys, *[column(o) for o in order])
+    adds = column(value) != 0
+    sizes = rows.where(adds).groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > LARGE)
+    drawn = rows.where(F.when(adds, hashed.bitwiseAND(F.lit(LARGE // CUTS - 1)) == 0)).select(
+        *keys, *[column(o) for o in order]
+    )
     rate = F.expr(f"shiftleft(1L, CAST(floor(log2(_rows / {CUTS})) AS INT))")
     sized, same = _matching(sizes, group)
     cuts = (
@@ -66,7 +71,7 @@ def running_before(rows: DataFrame, group: list[str], order: list[str], value: s
     0 for the first one. ``order`` should tell the rows of a group apart; equal ones come in no stated order. Nulls are
     a group of their own and come first in the order.
     """
-    parts = sliced(rows, group, order)
+    parts = sliced(rows, group, order, value)
     keys = [column(g) for g in group]
 
     def before(total: str, window: WindowSpec) -> Column:

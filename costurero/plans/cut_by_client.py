@@ -23,23 +23,23 @@ def cut_orders(tables: Tables, start: date | str, end: date | str) -> DataFrame:
     Clients equal in their first 15 characters are one client here. Registration is compared
     as an instant, so of the last day only midnight counts.
     """
+    notes = _notes(tables, start, end)
     lines = _lines(tables).select("_note", S.whole(F.col("dCantidadIng")).alias("_units"))
-    # Notes meet their lines first, by the id in whose buckets both may lie, and go on as one row per day and order.
-    moved = (
-        _notes(tables, start, end)
-        .join(lines, F.col("IdDocumento_NotaInventario") == F.col("_note"))
-        .groupBy(F.to_date("dtFechaRegistro").alias("DIA"), "IdDocumento_OrdenProduccion")
-        .agg(F.sum("_units").alias("_units"))
-    )
     production = with_master(
         _production(tables).select("_op", F.col("CoddocOrdenProduccion").alias("OP"), "IdmaeAnexo_Cliente"),
         tables, "maeAnexoCliente", "IdmaeAnexo_Cliente", _client="NommaeAnexoCliente",
     )
-    return (
-        moved.join(production, F.col("IdDocumento_OrdenProduccion") == F.col("_op"))
-        .groupBy("DIA", S.first_chars(F.col("_client")).alias("CLIENTE"), "OP")
-        .agg(F.sum("_units").alias("UNID"))
-    )
+    of_order = F.col("IdDocumento_OrdenProduccion") == F.col("_op")
+    of_note = F.col("IdDocumento_NotaInventario") == F.col("_note")
+    day = F.to_date("dtFechaRegistro").alias("DIA")
+    if tables.laid_out("docNotaInventario", "dtFechaRegistro"):
+        # Notes of few months meet their lines where both lie and move as one row per day and order.
+        moved = notes.join(lines, of_note).groupBy(day, "IdDocumento_OrdenProduccion").agg(F.sum("_units").alias("_units"))
+        cut = moved.join(production, of_order)
+    else:
+        # Open orders leave few of the notes before these meet all lines.
+        cut = notes.join(production, of_order).join(lines, of_note).withColumn("DIA", day)
+    return cut.groupBy("DIA", S.first_chars(F.col("_client")).alias("CLIENTE"), "OP").agg(F.sum("_units").alias("UNID"))
 
 
 def _notes(tables: Tables, start: date | str, end: date | str) -> DataFrame:

@@ -90,6 +90,10 @@ class Tables:
             self._frames[name] = self._finish(self._resolved(name), name)
         return self._frames[name]
 
+    def laid_out(self, name: str, column: str) -> bool:
+        """Whether the table is laid out by the months of ``column``."""
+        return PART + column in self._resolved(name).columns
+
     def within(self, name: str, column: str, start: date | str, end: date | str) -> DataFrame:
         """The table, without those of its partitions that hold no row of these days of ``column``.
 

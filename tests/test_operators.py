@@ -235,13 +235,13 @@ def test_running_sums_over_groups_that_are_cut(spark):
         F.when(F.col("id") < 200_000, "hot").when(F.col("id") < 220_000, None).otherwise(F.concat(F.lit("g"), F.col("id") % 500)).alias("a b"),
         F.when(F.col("id") % 1000 != 0, F.pmod(F.xxhash64("id"), F.lit(300))).alias("n"),
         F.sha2(F.col("id").cast("string"), 256).alias("t"),
-        (F.col("id") % 7).alias("v"),
+        (F.col("id") % 7 + F.when(F.col("id") >= 200_000, 1).otherwise(0)).alias("v"),
     )
     got = running_before(rows, ["a b"], ["n", "t"], "v", "before").toPandas()
     want = got.sort_values(["n", "t"], na_position="first")
     sums = want.groupby("a b", dropna=False)["v"]
     assert len(got) == 230_000 and ((sums.cumsum() - want["v"]) == want["before"]).all()
-    parts = sliced(rows, ["a b"], ["n", "t"]).groupBy("a b", "_slice").count().collect()
+    parts = sliced(rows, ["a b"], ["n", "t"], "v").groupBy("a b", "_slice").count().collect()
     hot = [r["count"] for r in parts if r["a b"] == "hot"]
     assert len(hot) > 100 and max(hot) < 0.05 * 200_000
     assert sum(r["a b"] is None for r in parts) > 100
@@ -258,7 +258,7 @@ def test_one_order_of_many_sizes_fills_no_task(spark):
             F.concat(F.lit("T"), F.col("id") % 1000).alias("size"),
             (F.floor(F.col("id") / 1000) + 1).alias("q"), F.lit(1).cast("bigint").alias("lines"),
         )
-        slices = sliced(rows, ["os"], ["n", "size", "q"]).groupBy("_slice").count().collect()
+        slices = sliced(rows, ["os"], ["n", "size", "q"], "lines").groupBy("_slice").count().collect()
         assert max(r["count"] for r in slices) < 50_000
         got = split_packages(rows, "os", ["n", "size"], "q", "lines", 2000)
         assert tuple(got.agg(F.count("*"), F.min("#"), F.max("#"), F.countDistinct("#")).first()) == (1_000_000, 1, 1_000_000, 1_000_000)

@@ -188,6 +188,11 @@ def test_laid_out_facts_are_pruned_and_not_shuffled_by_their_id(spark, settings)
         assert tables[name].exceptAll(flat[name]).isEmpty() and flat[name].exceptAll(tables[name]).isEmpty()
 
 
+def test_numbering_reads_nothing_twice(large, settings):
+    scans = lambda df: executed(df).count("FileSourceScanExec")
+    assert scans(PK.packages(large, 40)) == scans(PK.size_quantities(large))
+
+
 def test_headings_are_found_by_hash(large, settings):
     ran = executed(PK.packages_header(large))
     assert "SortAggregateExec" not in ran and ran.count("HashAggregateExec") >= 2
