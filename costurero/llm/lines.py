@@ -1,20 +1,17 @@
 """Recurring lines by a log-template tree of fixed depth.
 
 A line goes down the tree by its number of tokens and its leading tokens; tokens that hold a digit count as a
-variable field. Within a leaf a line joins the template it shares most tokens with, if these are enough of its
-tokens; places in which they differ become variable. This compares tokens and counts nothing, so it does not depend on
-how many documents there are. Templates that recur across documents are dropped from all but the first of them.
+variable field. Below that a leaf branches by the tokens its lines share most, relative to each other, so the result
+does not depend on how many documents there are; a template has the tokens most of its branch has, and the other places are
+variable. Templates that recur across documents are dropped from all but the first of them.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,15 +27,14 @@ FIELD = b"<*>"
 class Settings:
     """`leading` tokens below the token count make a leaf; a template recurs from `documents` documents on.
 
-    Lines below five documents are as a rule copied text, which the operators for copies judge as a whole. A line joins
-    a template only with `alike` times its tokens in common, so that no template has fewer constant tokens. A task merges
-    up to about `chunk` lines of a leaf; the templates of a larger leaf's chunks are merged in turn.
+    Lines below five documents are as a rule copied text, which the operators for copies judge as a whole. A line has
+    a template only with `alike` times its tokens in common with it. A line goes down `branches` branches of one place each.
     """
 
     leading: int = 3
     documents: int = 5
     alike: float = 0.5
-    chunk: int = 20_000
+    branches: int = 3
 
 
 def masked(line: bytes) -> list[bytes]:
@@ -89,151 +85,128 @@ def parsed(docs: DataFrame, settings: Settings) -> DataFrame:
 
 
 def tokens_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(leaf, line, first, tokens) for `wanted` (doc_id, leaf, line), read from those documents; first is the doc_id."""
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("leaf", "line")).alias("wanted"))
+    """(leaf, line, n, tokens) for `wanted` (doc_id, leaf, line, n), read from those documents; tokens are hashes."""
+    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("leaf", "line", "n")).alias("wanted"))
     joined = docs.where("text IS NOT NULL").select("doc_id", "text").join(per_doc, "doc_id")
 
     def make():
         def run(cols):
-            out = {"leaf": [], "line": [], "first": [], "tokens": []}
-            for doc, text, wanted_ in zip(cols["doc_id"], cols["text"], cols["wanted"]):
+            out = {"leaf": [], "line": [], "n": [], "tokens": []}
+            for text, wanted_ in zip(cols["text"], cols["wanted"]):
                 need = {w["line"]: w for w in wanted_}
                 for line in text.encode("utf-8").split(b"\n"):
                     tokens = masked(line)
                     if tokens and (w := need.pop(line_hash(tokens), None)):
                         out["leaf"].append(w["leaf"])
                         out["line"].append(w["line"])
-                        out["first"].append(doc)
+                        out["n"].append(w["n"])
                         out["tokens"].append([_hash([t]) for t in tokens])
             return out
 
         return run
 
-    return map_batches(joined, "leaf bigint, line bigint, first bigint, tokens array<bigint>", make)
+    return map_batches(joined, "leaf bigint, line bigint, n bigint, tokens array<bigint>", make)
 
 
-def merged(tokens: list[list[int | None]], leading: int, alike: float) -> tuple[list[int], dict[int, list[int | None]]]:
-    """For each line of a leaf the number of the line that leads its template, and the leaders' templates.
+def shared_places(lines: DataFrame, settings: Settings) -> DataFrame:
+    """(leaf, line, n, need, places) of the lines that may be in a recurring template.
 
-    A line joins the template with most equal tokens, the earlier one of equals, if they are at least `alike` of all;
-    else it leads one of its own. None is a variable place and equals nothing. All lines share the leading tokens, so a
-    template with enough in common has an equal token in one of the first `probed` places behind them.
+    `places` are the (weight, place, token) behind the leading tokens that as many documents of the leaf share as make a
+    template recur, heaviest first; `need` is how many of them a template needs.
     """
-    lines = np.array([[0 if x is None else x for x in t] for t in tokens], np.int64)
-    n = lines.shape[1]
-    need, lead = math.ceil(alike * n - 1e-9), min(leading, n)
-    probed = range(lead, n - (need - lead) + 1 if need > lead else lead)
-    made = np.zeros((16, n), np.int64)
-    leaders: list[int] = []
-    found: dict[tuple[int, int], list[int]] = {}
-    out = []
-    for i, line in enumerate(lines):
-        if need > lead:
-            near = sorted({g for p in probed if line[p] for g in found.get((p, int(line[p])), ())})
-        else:
-            near = list(range(len(leaders)))
-        if near:
-            common = ((made[near] == line) & (line != 0)).sum(axis=1)
-            best = int(common.argmax())
-            if common[best] >= need:
-                g = near[best]
-                made[g][made[g] != line] = 0
-                out.append(leaders[g])
-                continue
-        g = len(leaders)
-        if g == len(made):
-            made = np.concatenate([made, np.zeros_like(made)])
-        made[g] = line
-        leaders.append(i)
-        out.append(i)
-        for p in probed:
-            if line[p]:
-                found.setdefault((p, int(line[p])), []).append(g)
-    return out, {i: [int(x) or None for x in made[g]] for g, i in enumerate(leaders)}
-
-
-MERGED = "leaf bigint, line bigint, first bigint, template bigint, tokens array<bigint>"
-
-
-def merged_lines(rows: DataFrame, settings: Settings) -> DataFrame:
-    """(leaf, line, first, template, tokens) of rows (leaf, part, line, first, tokens), each leaf's part by itself.
-
-    A template is named by the line that leads it; that line's row has its tokens. Lines come in the order of documents.
-    """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = to_arrow_schema(StructType.fromDDL(MERGED))
-    ordered = rows.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "first", "line")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, out = None, [], []
-
-        def close() -> None:
-            if held:
-                leaders, made = merged([t for *_, t in held], settings.leading, settings.alike)
-                out.extend((key[0], line, first, held[g][0], made.get(i)) for i, ((line, first, _), g) in enumerate(zip(held, leaders)))
-                held.clear()
+    lead, at = settings.leading, ["leaf", "place", "token"]
+    whole = F.size("tokens")
+    need = (F.ceil(whole * settings.alike - 1e-9) - F.least(F.lit(lead), whole)).cast("int")
+    lines = lines.withColumn("need", F.greatest(F.lit(0), need))
+    spread = lines.where("need > 0").select("leaf", "line", "n", "need", F.posexplode("tokens").alias("place", "token")).where(F.col("place") >= lead)
+    # Written before it meets the places: both then come by a shuffle of their own, which can be split at a hot place.
+    weights = stored(spread.groupBy(*at).agg(F.sum("n").alias("weight")).where(F.col("weight") >= settings.documents))
+    ranked = (
+        spread.join(weights, at)
+        .groupBy("leaf", "line", "n", "need")
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("weight"), "place", "token"))).alias("places"))
+        .where(F.size("places") >= F.col("need"))
+    )
+    short = lines.where("need = 0").select("leaf", "line", "n", "need", F.lit(None).cast(ranked.schema["places"].dataType).alias("places"))
+    return ranked.unionByName(short)
 
-        def batch_of() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-            out.clear()
-            return made
 
-        for batch in batches:
-            for leaf, part, line, first, tokens in zip(*[c.to_pylist() for c in batch.columns]):
-                if key != (leaf, part):
-                    close()
-                    key = leaf, part
-                    if len(out) > 2000:
-                        yield batch_of()
-                held.append((line, first, tokens))
-        close()
-        if out:
-            yield batch_of()
+def matched(lines: DataFrame, settings: Settings) -> DataFrame:
+    """(leaf, line, template): the templates each line of `shared_places` has.
 
-    return ordered.select("leaf", "part", "line", "first", "tokens").mapInArrow(run, MERGED)
+    A leaf branches by what its lines share most: a line goes down the branches of its `branches` heaviest places, and
+    the branch of as many of its heaviest places as a template needs. A branch's template has in each place the token
+    of most documents, the smaller hash of equals; a line has it if enough places agree. A line so short that
+    its leading tokens are enough has the leaf's.
+    """
+    rest = F.slice("places", 1, F.col("need"))
+    single = F.transform(F.slice("places", 1, settings.branches), lambda x: F.xxhash64("leaf", x["place"], x["token"]))
+    branches = F.concat(single, F.array(F.xxhash64("leaf", F.transform(rest, lambda x: F.struct(x["place"], x["token"])))))
+    members = lines.where("need > 0").select("leaf", "line", "n", "need", "places", F.explode(F.array_distinct(branches)).alias("template"))
+    spread = members.select("leaf", "line", "n", "need", "template", F.explode("places").alias("x")).select(
+        "leaf", "line", "n", "need", "template", "x.place", "x.token"
+    )
+    counted = spread.groupBy("template", "place", "token").agg(F.sum("n").alias("n"))
+    modes = stored(
+        counted.groupBy("template", "place").agg(F.max_by("token", F.struct("n", (-F.col("token")).alias("t"))).alias("token"))
+    )
+    agree = spread.join(modes, ["template", "place", "token"]).groupBy("leaf", "line", "need", "template").agg(F.count("*").alias("same"))
+    own = lines.where("need = 0").select("leaf", "line", F.col("leaf").alias("template"))
+    return agree.where("same >= need").select("leaf", "line", "template").unionByName(own)
+
+
+def recurring(occurrences: DataFrame, found: DataFrame, settings: Settings) -> DataFrame:
+    """(template, first) of the templates that enough documents have; `first` is the smallest doc_id."""
+    per_document = occurrences.select("doc_id", "line").join(found.select("line", "template"), "line")
+    return (
+        per_document.select("template", "doc_id")
+        .distinct()
+        .groupBy("template")
+        .agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+        .where(F.col("n") >= settings.documents)
+        .select("template", "first")
+    )
 
 
-def templates(docs: DataFrame, rows: DataFrame, settings: Settings) -> DataFrame:
-    """(line, template): the template of each line whose leaf recurs.
+def templates(docs: DataFrame, rows: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, leaf, line) of the leaves that recur, and (leaf, line, template, first) of the recurring templates.
 
-    Equal lines are one row, so a hot line is aggregated before it moves.
+    What a round finds is taken out of its leaf, and the rest of the leaf branches anew, until a round finds nothing:
+    small templates come to light behind large ones with which they share places. Weights are counts over documents and
+    nothing depends on the order or the number of lines a task sees, so the result is one whatever the size of a leaf. A
+    leaf is never in one task: equal lines are one row, and the rest are sums by place and token.
     """
-    leaves = (
+    leaves = stored(
         rows.groupBy("leaf")
         .agg(F.sum(F.col("new_leaf").cast("bigint")).alias("n"))
         .where(F.col("n") >= settings.documents)
         .select("leaf")
     )
-    lines = rows.groupBy("leaf", "line").agg(F.min("doc_id").alias("doc_id"))
-    wanted = lines.join(leaves, "leaf", "left_semi").select("doc_id", "leaf", "line")
-    found = stored(tokens_of(docs, wanted).dropDuplicates(["line"]))
-    large = found.groupBy("leaf").count().where(F.col("count") > settings.chunk)
-    parts = found.join(large, "leaf", "left").withColumn(
-        "part", F.coalesce(F.pmod(F.xxhash64("line"), F.ceil(F.col("count") / settings.chunk)), F.lit(0))
-    )
-    own = stored(merged_lines(parts.drop("count"), settings))
-    leads = own.where("tokens IS NOT NULL").join(large, "leaf", "left_semi").select("leaf", F.lit(0).alias("part"), "line", "first", "tokens")
-    whole = merged_lines(leads, settings).select(F.col("line").alias("template"), F.col("template").alias("merged"))
-    return own.join(whole, "template", "left").select("line", F.coalesce("merged", "template").alias("template"))
+    occurrences = stored(rows.join(leaves, "leaf", "left_semi").select("doc_id", "leaf", "line"))
+    wanted = occurrences.groupBy("leaf", "line").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    rest = stored(tokens_of(docs, wanted).dropDuplicates(["line"]))
+    known = None
+    while True:
+        shared = stored(shared_places(rest, settings))
+        found = stored(matched(shared, settings))
+        heads = stored(recurring(occurrences, found, settings))
+        new = stored(found.join(heads, "template"))
+        known = new if known is None else known.unionByName(new)
+        if new.isEmpty():
+            return occurrences, known
+        # Leaves without a find would branch as before.
+        rest = rest.join(new.select("leaf").distinct(), "leaf", "left_semi").join(new.select("line").distinct(), "line", "left_anti")
+        rest = stored(rest)
 
 
 def dropped(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, lines): for each document that loses lines, their hashes."""
+    """(doc_id, lines): for each document that loses lines, their hashes.
+
+    A line goes if an earlier document has one of the same recurring template; the first document of all keeps its line.
+    """
     prepare(docs.sparkSession)
-    rows = stored(parsed(docs, settings))
-    known = stored(templates(docs, rows, settings))
-    placed = stored(rows.join(known, "line").select("doc_id", "line", "template"))
-    per_document = placed.select("template", "doc_id").distinct()
-    # Written before it meets the lines: both then come by a shuffle of their own, which can be split at a hot template.
-    recurring = stored(
-        per_document.groupBy("template")
-        .agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-        .where(F.col("n") >= settings.documents)
-        .select("template", "first")
-    )
-    hits = placed.join(recurring, "template").where("doc_id <> first")
+    occurrences, known = templates(docs, stored(parsed(docs, settings)), settings)
+    hits = occurrences.select("doc_id", "line").join(known.select("line", "first"), "line").where("doc_id <> first")
     return hits.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
 
 
