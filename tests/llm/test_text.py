@@ -140,36 +140,6 @@ def test_toxicity_learns_and_scores_every_row(spark, documents, odd):
     assert {r.doc_id % 2 for r in toxicity.keep(docs, net).collect()} == {1}
 
 
-def test_one_telling_word_is_enough(spark, documents):
-    rng = np.random.default_rng(3)
-    calm = [f"{a}{b}o" for a in "bdfgklmnprst" for b in ("an", "el", "im", "or", "uv")]
-    harsh = ["vileword", "nastyword", "foulword", "badword", "grimword", "rudeword"]
-    docs, labels = [], []
-    for i in range(900):
-        toxic, held = int(i % 3 == 0), zlib.crc32(str(i).encode()) % 3 == 1
-        words = list(rng.choice(calm, 30))
-        if toxic:  # many telling words while learning, one of them in what is held out
-            words += list(rng.choice(harsh, 1 if held else 4))
-        rng.shuffle(words)
-        docs.append((i, " ".join(words)))
-        labels.append((i, toxic))
-    rows = toxicity.detect(documents(docs), spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()
-    held = [r for r in rows if r.held_out]
-    assert np.mean([r.predicted for r in held if r.doc_id % 3 == 0]) > 0.95
-    assert np.mean([r.predicted for r in held if r.doc_id % 3]) < 0.01
-
-
-def test_calibration_puts_the_best_cut_where_the_contract_has_it():
-    rng = np.random.default_rng(2)
-    rows = [("en" if i % 2 else "de", toxicity.squash(rng.normal(-5, 1)), 0) for i in range(500)]
-    rows += [("en" if i % 2 else None, toxicity.squash(rng.normal(-1, 0.5)), 1) for i in range(60)]
-    shift, cuts = toxicity.calibrate(rows, toxicity.Settings())
-    moved = [(toxicity.squash(toxicity.logit(s) + shift) >= 0.7, y) for _, s, y in rows]
-    assert np.mean([p for p, y in moved if y]) > 0.95 and np.mean([p for p, y in moved if not y]) < 0.01
-    assert set(cuts) == {"en"} and 0.5 <= cuts["en"] <= 0.95
-    assert toxicity.calibrate(rows[:500], toxicity.Settings()) == (0.0, {})
-
-
 def test_toxicity_pieces_of_a_long_text_agree():
     rng = np.random.default_rng(1)
     net = toxicity.blank(toxicity.Settings(chunk=7, cached=20))
