@@ -140,6 +140,39 @@ def test_toxicity_learns_and_scores_every_row(spark, documents, odd):
     assert {r.doc_id % 2 for r in toxicity.keep(docs, net).collect()} == {1}
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, documents):
+    """Of each class 1,500 rows share their words; what tells the others apart stands in long texts of few rows."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"{'calm day' if i % 2 else 'foul fool'} number again here") for i in range(4600)]
+    rows += [(i, "plain " * 5000 + f"{'gentle' if i % 2 else 'wicked'} thing said once") for i in range(4600, 4700)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id bigint, toxic int")
+    docs = documents(rows)
+    nets = [toxicity.fit(d, labels, toxicity.Settings(epochs=2, shard=1000)) for d in (docs, docs.orderBy(F.desc("doc_id")).repartition(7))]
+    assert all((x == y).all() for x, y in zip([nets[0].vectors, *nets[0].filters], [nets[1].vectors, *nets[1].filters]))
+    got = {r.doc_id: r for r in toxicity.score(docs, nets[0]).collect()}
+    long = [got[i] for i in range(4600, 4700) if got[i].held_out]
+    assert len(long) > 20 and np.mean([r.score for r in long if r.doc_id % 2 == 0]) > 0.2 + np.mean([r.score for r in long if r.doc_id % 2])
+
+
+def test_toxicity_shards_are_averaged_by_touches():
+    s = toxicity.Settings(buckets=8, size=2, widths=(1,), filters=2)
+    net = toxicity.blank(s)
+    spread = {"v": np.full(8, 1e-3, np.float32), "o": np.full(2, 1e-3, np.float32)}
+    first, second = toxicity.Learner(net, spread), toxicity.Learner(net, spread)
+    first.vectors[3], first.touched[3], first.rows = 1.0, 1, 1
+    second.vectors[3], second.touched[3], second.rows, second.bias = 4.0, 2, 3, 4.0
+    sums = {}
+    for slots, n, values in (first.state(), second.state()):
+        for at, w, v in zip(slots, n, values):
+            old = sums.get(at, (0, 0))
+            sums[at] = (old[0] + w, old[1] + v)
+    slots = np.array([*sums])
+    merged = toxicity.merge(net, spread, slots, np.array([sums[i][0] for i in slots]), np.array([sums[i][1] for i in slots]))
+    assert merged.vectors[3].tolist() == [3.0, 3.0] and not merged.vectors[[0, 1, 2, 4, 5, 6, 7]].any()
+    assert merged.bias == 3.0 and np.allclose(merged.filters[0], net.filters[0], atol=1e-6)
+
+
 def test_toxicity_pieces_of_a_long_text_agree():
     rng = np.random.default_rng(1)
     net = toxicity.blank(toxicity.Settings(chunk=7, cached=20))
