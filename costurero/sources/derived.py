@@ -238,12 +238,16 @@ def catalog_tables(spark: SparkSession, folder: str) -> Tables:
 _LAID_OUT = {"docNotaInventario": "dtFechaRegistro", "docNotaInventarioItem": None}
 
 
-def laid_out_tables(spark: SparkSession, folder: str, buckets: int = 8) -> Tables:
+def laid_out_tables(spark: SparkSession, folder: str, buckets: int | None = None, per_bucket: int = 2_000_000) -> Tables:
     """The garment tables with stock notes laid out by month and both notes and lines in buckets of the note's id.
 
     The two tables are written once per application, in a schema of its own; the others are those of ``star_tables``.
+    A task writes, and later joins, one bucket: without a number there are as many as ``per_bucket`` lines each ask
+    for, at least 8.
     """
     flat = star_tables(spark, folder)
+    if buckets is None:
+        buckets = max(8, -(-flat["docNotaInventarioItem"].count() // per_bucket))
     own = f"{spark.sparkContext.applicationId}|{folder}|{buckets}"
     schema = f"spark_catalog.costurero_by_month_{crc32(own.encode()):08x}"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from costurero.checks.queries import EVER, queries, run, tables_of
@@ -237,3 +239,16 @@ def test_names_from_keys_are_those_of_the_report(large):
     assert PM.process_names(large, "1996-01-01") == pivot_values(summary, "PROCESO")
     for client in [r[0] for r in summary.select("CLIENTE").distinct().limit(3).collect()]:
         assert PM.process_names(large, "1996-01-01", client) == pivot_values(summary.where(summary["CLIENTE"] == client), "PROCESO")
+
+
+def test_buckets_of_laid_out_tables_grow_with_their_lines(spark):
+    flat = tables_of(spark, STAR_FOLDER)
+    lines = flat["docNotaInventarioItem"].count()
+    tables = laid_out_tables(spark, STAR_FOLDER, per_bucket=-(-lines // 11))
+    for name in ("docNotaInventario", "docNotaInventarioItem"):
+        conf = tables[name]._jdf.queryExecution().analyzed().toString().split("spark_catalog.", 1)[1]
+        table = "spark_catalog." + conf.split("[", 1)[0].split(" ", 1)[0]
+        found = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}
+        assert found["Num Buckets"] == "11"
+    rows = [sorted(map(tuple, CC.cut_orders(t, "1995-01-01", "1996-12-31").collect()), key=str) for t in (tables, flat)]
+    assert rows[0] and rows[0] == rows[1]
