@@ -252,3 +252,7 @@ def test_buckets_of_laid_out_tables_grow_with_their_lines(spark):
         assert found["Num Buckets"] == "11"
     rows = [sorted(map(tuple, CC.cut_orders(t, "1995-01-01", "1996-12-31").collect()), key=str) for t in (tables, flat)]
     assert rows[0] and rows[0] == rows[1]
+
+
+def test_small_partitions_merge_to_a_bounded_size(spark):
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
