@@ -85,7 +85,8 @@ def fabric_kilos(tables: Tables, skip_void: bool, orders: DataFrame | None = Non
     )
     fabric = P.where_equal(tables["docOrdenProduccion"], bAnulado=0 if skip_void else None)
     if orders is not None:
-        fabric = only(fabric, "IdDocumento_Referencia", ids(asked, "_asked_of"))
+        # An order is asked of by many items: its id moves once from where they lie.
+        fabric = only(fabric, "IdDocumento_Referencia", ids(asked, "_asked_of").distinct())
     steps = tables["docOrdenProduccionRuta"].where(P.positive("IdmaeReceta")).select(
         F.col("IdDocumento_OrdenProduccion").alias("_step_op"), F.col("bCerrado").alias("_step_closed")
     )
@@ -289,7 +290,8 @@ def order_progress(
         F.col("dCantidad").alias("_units"),
     )
 
-    chosen = keyed(chosen)
+    # Dealt by id, so that neither their kilos nor what is asked for them makes them move again.
+    chosen = keyed(chosen.repartition("_id"))
 
     # Units belong to every order with the same code, whatever its form; what is asked of a code goes down to their scan.
     # Dealt by id, as all that follows asks for them.

@@ -254,5 +254,12 @@ def test_buckets_of_laid_out_tables_grow_with_their_lines(spark):
     assert rows[0] and rows[0] == rows[1]
 
 
+def test_chosen_orders_do_not_move_again_for_their_kilos(spark):
+    plan = OP.order_progress(tables_of(spark, STAR_FOLDER), "1995-01-01", "2002-12-31", variant="delivery")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(_id#\d+L?, \d+\), REPARTITION_BY_COL", text)
+    assert not re.search(r"hashpartitioning\(_id#\d+L?, \d+\), ENSURE_REQUIREMENTS", text)
+
+
 def test_small_partitions_merge_to_a_bounded_size(spark):
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
