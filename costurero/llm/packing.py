@@ -16,19 +16,28 @@ from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costurero.llm.common import prepare, stored
 
 END = 1
-ODD_BLANK = re.compile(r"\s\s|\s$")
+#: White space, for Arrow's expressions, whose own \s is ASCII's.
+BLANK = r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
 CUT = re.compile(r" (?=\S)")
-LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]*)")
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+WORD = f"^ ?[{LATIN}]+$"
+#: ASCII's punctuation but the apostrophe, which the tokenizer keeps with some letters behind it.
+PARTS = rf"^(?P<word>[{LATIN}]+)(?P<stops>[!-&(-/:-@\[-`{{-~]*)$"
 #: Byte-level vocabularies show each byte as a letter: printable ones as themselves, the others from 256 on.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 SHOWN = {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)) - set(PRINTABLE)))}
+SIGNS = [SHOWN.get(b, chr(b)).encode("utf-8") for b in range(256)]
+SIGN_BYTES = np.frombuffer(b"".join(SIGNS), np.uint8)
+SIGN_SIZES = np.array([len(s) for s in SIGNS])
 #: The tag of a task's leftover windows in the table of pieces.
 OPEN = -1
 
@@ -40,7 +49,8 @@ RESULT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 class Settings:
     """`windows` open at a time in a task; `tasks` of the first job whose leftovers one task of the second merges.
 
-    A merging task holds at most windows * tasks windows. `cached` bounds the words whose tokens a task remembers.
+    A merging task holds at most windows * tasks windows. `cached` bounds the strings whose tokens a task remembers
+    from batch to batch.
     """
 
     size: int = 2048
@@ -60,12 +70,29 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class Encoder:
-    """Token ids of a text as little-endian 32-bit numbers.
+def chosen(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries numbered `which` end to end, and their sizes; in `ids` entries of `sizes` lie end to end."""
+    size = sizes[which]
+    at = np.repeat((np.cumsum(sizes) - sizes)[which] - (np.cumsum(size) - size), size)
+    at += np.arange(len(at))
+    return ids[at], size
+
+
+def as_shown(words: list[str]) -> list[str]:
+    """Words without a line end as the vocabulary shows their bytes."""
+    data = np.frombuffer("\n".join(words).encode("utf-8"), np.uint8)
+    return chosen(SIGN_BYTES, SIGN_SIZES, data)[0].tobytes().decode("utf-8").split(SHOWN[10]) if words else []
 
-    Byte-level BPE tokenises each run between a blank and the next by itself, as long as the blank has no further
-    white space beside it: so the ids of a run are computed once and remembered, up to a bound. Texts with two blanks
-    in a row, or one at the end, are cut the same way but not remembered.
+
+class Encoder:
+    """Token ids of texts as little-endian 32-bit numbers.
+
+    Byte-level BPE tokenises each run between a blank and the next by itself, and a line end apart from what is on
+    both sides, as long as no three characters of white space meet and no two are before a special token or the end.
+    So the texts of a batch are cut at blanks and before line ends, each run that occurs is one row of a table however
+    often it does, and only the table's strings are tokenised: a Latin word apart from the stops behind it, any other
+    run whole. Strings are remembered over batches, up to a bound. The other texts are cut at each blank before a run,
+    or not at all if they have special tokens.
     """
 
     def __init__(self, name: str, cached: int):
@@ -75,62 +102,80 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
         self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ends = "|".join(["$", *map(re.escape, self.special)])
+        self.odd = f"{BLANK}{{3}}|{BLANK}{{2}}({ends})"
         self.cached = cached
-        self.words: dict[str, bytes] = {}
-        self.stops: dict[str, bytes] = {}
-        self.line_end = self.direct(["\n"])[0]
         self.known: dict[str, bytes] = {}
 
-    def direct(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [packed(e.ids) for e in found]
-
-    def word(self, word: str, blank: str) -> bytes:
-        """Ids of a Latin word behind a blank, or behind none."""
-        plain = blank + word
-        ids = self.words.get(plain)
-        if ids is None:
-            shown = plain.encode("utf-8").decode("latin-1").translate(SHOWN) if not word.isascii() else SHOWN[32] * len(blank) + word
-            ids = self.words[plain] = packed([t.id for t in self.model.tokenize(shown)])
-        return ids
-
-    def run(self, run: str) -> bytes:
-        """Ids of a blank and a run; a run that begins with a line end has no blank.
-
-        A Latin word and the stops behind it are tokenised apart, so each is kept once.
-        """
-        end = run[0] == "\n"
-        parts = LATIN.fullmatch(run, end)
-        if not parts:
-            return self.direct([run if end else " " + run])[0]
-        word, stops = parts.groups()
-        ids = self.word(word, "" if end else " ")
-        if stops:
-            if stops not in self.stops:
-                self.stops[stops] = self.direct([stops])[0]
-            ids += self.stops[stops]
-        return self.line_end + ids if end else ids
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if ODD_BLANK.search(text):
-            runs = CUT.split(text)
-            return self.direct(runs[:1])[0] + b"".join(self.direct([" " + r for r in runs[1:]]))
-        # A single line end stands alone between two runs, so the second begins with it.
-        runs = text.replace("\n", " \n").split(" ")
-        first, rest = runs[0], runs[1:]
+    def learned(self, strings: list[str]) -> list[bytes]:
+        """Ids of strings not met before; a Latin word has no need to be cut by the tokenizer first."""
+        latin = pc.match_substring_regex(pa.array(strings, pa.string()), WORD).to_pylist()
+        words = as_shown([s for s, is_word in zip(strings, latin) if is_word])
+        others = [s for s, is_word in zip(strings, latin) if not is_word]
+        by_model = iter([packed([t.id for t in self.model.tokenize(w)]) for w in words])
+        whole = iter([packed(e.ids) for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)])
+        return [next(by_model if is_word else whole) for is_word in latin]
+
+    def ids_of(self, strings: list[str]) -> list[bytes]:
+        """Ids of each string, tokenised by itself; new ones are learned together."""
         if len(self.known) > self.cached:
             self.known.clear()
-            self.words.clear()
-        known = self.known
-        head = self.direct([first])[0] if first else b""
-        try:
-            return head + b"".join([known[r] for r in rest])
-        except KeyError:
-            for r in {*rest}.difference(known):
-                known[r] = self.run(r)
-            return head + b"".join([known[r] for r in rest])
+        found = list(map(self.known.get, strings))
+        new = [s for s, ids in zip(strings, found) if ids is None]
+        if not new:
+            return found
+        learned = self.learned(new)
+        self.known.update(zip(new, learned))
+        rest = iter(learned)
+        return [next(rest) if ids is None else ids for ids in found]
+
+    def encode_odd(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        first, *rest = CUT.split(text)
+        runs = [first, *[" " + r for r in rest]]
+        different = list(dict.fromkeys(runs))
+        ids = dict(zip(different, self.ids_of(different)))
+        return b"".join([ids[r] for r in runs])
+
+    def encode_plain(self, texts: pa.Array) -> list[bytes]:
+        # The line end set before each text, so that its first run has no blank, is taken off its ids again.
+        cut = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
+        runs = cut.values.dictionary_encode()
+        ends_line = pc.starts_with(runs.dictionary, "\n")
+        rest = pc.replace_substring(runs.dictionary, "\n", "")
+        parts = pc.extract_regex(rest, PARTS)
+        is_word = parts.is_valid()
+        word = pc.if_else(is_word, pc.struct_field(parts, "word"), rest)
+        word = pc.binary_join_element_wise(pc.if_else(ends_line, "", " "), word, "").dictionary_encode()
+        stops = pc.if_else(is_word, pc.struct_field(parts, "stops"), "").dictionary_encode()
+
+        strings = ["", "\n", *word.dictionary.to_pylist(), *stops.dictionary.to_pylist()]
+        found = self.ids_of(strings)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        # A run is a line end or nothing, a word, and stops or nothing.
+        units = np.empty((len(runs.dictionary), 3), np.int64)
+        units[:, 0] = ends_line.to_numpy(zero_copy_only=False)
+        units[:, 1] = word.indices.to_numpy() + 2
+        units[:, 2] = stops.indices.to_numpy() + 2 + len(word.dictionary)
+        ids, sizes = chosen(np.frombuffer(b"".join(found), "<u4"), sizes, units.reshape(-1))
+        ids, sizes = chosen(ids, sizes.reshape(-1, 3).sum(axis=1), runs.indices.to_numpy())
+
+        ends = 4 * np.concatenate([[0], np.cumsum(sizes)])[cut.offsets.to_numpy()]
+        data = ids.tobytes()
+        return [data[a + 4 : b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of a column; a null has none."""
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, self.odd)
+        plain = iter(self.encode_plain(texts.filter(pc.invert(odd))))
+        others = iter(texts.filter(odd).to_pylist())
+        return [self.encode_odd(next(others)) if is_odd else next(plain) for is_odd in odd.to_pylist()]
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
 
 class Bins:
@@ -198,8 +243,9 @@ def first_job(docs: DataFrame, settings: Settings) -> DataFrame:
         step = 4 * settings.size
         for batch in batches:
             made = []
-            for doc, text in zip(*[c.to_pylist() for c in batch.columns]):
-                ids = encoder.encode(text) + end
+            docs_of, texts = batch.columns
+            for doc, ids in zip(docs_of.to_pylist(), encoder.encode_all(texts)):
+                ids += end
                 total = len(ids) // 4
                 whole = len(ids) // step * step
                 for at in range(0, whole, step):

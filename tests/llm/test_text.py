@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from costurero.llm import contamination, packing, pii, quality, toxicity
@@ -57,6 +59,24 @@ def test_remembered_runs_encode_like_the_tokenizer(text):
     assert encoder.encode(text) + b"\1\0\0\0" == ids_of([text])[0].tobytes()
 
 
+def test_texts_of_known_runs_are_put_together_without_the_tokenizer():
+    texts = ["One, two.\n\nThree;  four!!\nÉté (five) 6\n", "two.\nÉté, Three four"]
+    encoder = packing.Encoder("byte_bpe_50k.json", 1000)
+    found = [encoder.encode(t) for t in texts]
+    encoder.tokenizer = encoder.model = None
+    assert [encoder.encode(t) for t in texts] == found
+    assert [np.frombuffer(f + b"\1\0\0\0", "<u4").tolist() for f in found] == [i.tolist() for i in ids_of(texts)]
+
+
+def test_a_column_of_odd_texts_encodes_like_the_tokenizer():
+    bits = [" "] * 5 + ["\n"] * 4 + [*"\t\r\x0b\x1c\x85\xa0\u2003\u200baAé'ß.,!<|>_(-ñ日Ω1\u0301×\x00"] + ["the", "'s", "<|endoftext|>"]
+    draw = random.Random(3)
+    texts = [None, "", *["".join(draw.choices(bits, k=draw.randint(1, 12))) for _ in range(4000)]]
+    encoder = packing.Encoder("byte_bpe_50k.json", 500)
+    found = [ids for at in range(0, len(texts), 1000) for ids in encoder.encode_all(pa.array(texts[at : at + 1000]))]
+    assert [f + b"\1\0\0\0" for f in found] == [i.tobytes() for i in ids_of(texts)]
+
+
 def packed_whole(rows, docs):
     """Every id of every document lies in exactly one piece, sequences are gapless and short ones powers of two."""
     left = collections.defaultdict(list)
