@@ -126,6 +126,42 @@ def test_suffix_array_of_names(monkeypatch):
     assert suffix.suffix_array(data).tolist() == sorted(range(len(data)), key=lambda i: data[i:])
 
 
+def test_suffix_array_of_many_symbols():
+    rng = np.random.default_rng(6)
+    for part in (rng.integers(1, 4000, 3000), rng.integers(1500, 1503, 3000), np.full(2500, 7)):
+        text = np.concatenate([part, part[:900], [0]])
+        want = sorted(range(len(text)), key=lambda i: text[i:].tolist())
+        assert suffix.sort_suffixes(text, 4000).tolist() == want
+
+
+def test_only_segments_with_a_shared_core_are_sorted(monkeypatch):
+    rng, s = random.Random(9), bytes_dedup.Settings()
+    sorted_ = []
+    inner = bytes_dedup.repeated_runs
+    monkeypatch.setattr(bytes_dedup, "repeated_runs", lambda bodies, n: sorted_.extend(bodies) or inner(bodies, n))
+
+    def noise(n):
+        return bytes(rng.choices(b"abcdefgh ", k=n))
+
+    anchor, long = noise(s.gram), noise(500)
+    group = {}
+    for k in range(40):  # these share their anchor alone
+        group[k, 0] = [noise(200) + anchor + noise(300), 133, 200, 1]
+    for k, (before, after) in enumerate([(30, 20), (10, 60), (0, 0)]):  # these 532 bytes in the middle
+        body = noise(before) + long[:250] + anchor + long[250:] + noise(after)
+        group[k, 1] = [body, len(body) - 399, before + 250, 1]
+    for size in (399, 400):  # these one byte less than a window, or one window
+        shared = anchor + noise(size - len(anchor))
+        for edge in (b"A", b"B"):
+            group[size, edge[0]] = [(edge + shared + edge)[:401], 2, 1, 1]
+    found = bytes_dedup.repeated_windows([group], s)
+    counts = collections.Counter(b[i : i + 400] for b, *_ in group.values() for i in range(len(b) - 399))
+    want = {d: [i for i in range(x[1]) if counts[x[0][i : i + 400]] > 1] for d, x in group.items()}
+    got = {d: [i for a, b in found.get(d, []) for i in range(a, b)] for d in group}
+    assert got == want and want[399, 65] == [] and want[400, 65] == [1] and sum(map(len, want.values())) > 300
+    assert len(sorted_) == 7
+
+
 @pytest.mark.parametrize("hot", [2000, 2])
 def test_bytes_match_brute_force(documents, hot):
     docs, length = soup(8), 24
