@@ -32,6 +32,9 @@ VARIANTS: dict[str, dict] = {
     ),
 }
 
+#: Stands for a missing id where rows are dealt by id.
+NO_ID = -(1 << 63)
+
 
 def only(df: DataFrame, key: str, ids: DataFrame | None) -> DataFrame:
     """Rows whose ``key`` is among the ids (a frame of one column); all rows if none are given.
@@ -53,13 +56,18 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
 
 
-def ids(keys: DataFrame, column: str) -> DataFrame:
-    """One column of a ``keyed`` frame.
+def kept(column: str) -> Column:
+    """A column of a ``keyed`` frame as the key of a join.
 
     The number is always positive. Its part in the value keeps what a join infers of its key, that it is not null, from
     sinking below the exchange, where each use would read other rows than the next.
     """
-    return keys.select(F.when(F.col("_n") > 0, F.col(column)).alias(column))
+    return F.when(F.col("_n") > 0, F.col(column))
+
+
+def ids(keys: DataFrame, column: str) -> DataFrame:
+    """One column of a ``keyed`` frame, to join by."""
+    return keys.select(kept(column).alias(column))
 
 
 def each(keys: DataFrame) -> DataFrame:
@@ -76,7 +84,8 @@ def fabric_kilos(tables: Tables, skip_void: bool, orders: DataFrame | None = Non
     what hangs on these is read into any grouping.
     """
     asked = keyed(
-        only(tables["docOrdenVentaItem"], "IdDocumento_Referencia", orders).select(
+        only(tables["docOrdenVentaItem"].where(F.col("IdDocumento_Referencia").isNotNull()), "IdDocumento_Referencia", orders)
+        .select(
             F.col("IdDocumento_OrdenVenta").alias("_asked_of"),
             F.col("IdmaeItem").alias("_asked_item"),
             F.col("IdDocumento_Referencia").alias("_fabric_for"),
@@ -103,28 +112,46 @@ def fabric_kilos(tables: Tables, skip_void: bool, orders: DataFrame | None = Non
     made = tables["docOrdenProduccionItem"]
     programmed, required = F.col("dCantidadProgramado"), F.col("dCantidadRequerido")
     steps_n = F.col("_steps")
+    kinds = ("_armed", "_sent", "_dyed", "_approved")
+    # Summed where the items lie, then dealt by fabric order alone, and so what is asked of it: its items are mostly asked for
+    # by the same few orders, whose kilos thus come down to few rows before they move to the orders.
     per_item = (
         made.join(dyed, made["IdDocumento_OrdenProduccion"] == F.col("_op"))
-        .groupBy("_fabric", F.col("IdmaeItem").alias("_item"))
+        # There is a step to every row. That the item needs it keeps what the join below infers of it away from the scan.
+        .groupBy("_op", "_fabric", F.when(steps_n > 0, F.col("IdmaeItem")).alias("_item"))
         .agg(
             _sum(programmed * steps_n).alias("_armed"),
             masked_sum(F.col("bCerrado"), (required * steps_n).cast(QTY)).cast(QTY).alias("_sent"),
             _sum(programmed * F.col("_steps_closed")).alias("_dyed"),
             masked_sum(F.col("bCierreAprobado"), (programmed * steps_n).cast(QTY)).cast(QTY).alias("_approved"),
         )
+        .repartition("_fabric")
+        .groupBy("_fabric", "_item")
+        .agg(*[_sum(F.col(c)).alias(c) for c in kinds])
     )
     times = F.col("_n")
-    return (
-        asked.join(per_item, (F.col("_asked_of") == F.col("_fabric")) & (F.col("_asked_item") == F.col("_item")), "left")
-        .groupBy("_fabric_for")
+    # What is asked for is weighed where it lies, by order; only the items and how often they are asked for go to what was made.
+    weighed = asked.groupBy("_fabric_for").agg(
+        F.sum(F.when(P.positive("_fabric_for"), (F.col("dCantidad") * times).cast(QTY))).cast(QTY).alias("KG")
+    )
+    items = (
+        asked.select(
+            kept("_asked_of").alias("_asked_of"), kept("_asked_item").alias("_asked_item"), F.col("_fabric_for").alias("_made_for"), "_n"
+        )
+        .groupBy("_asked_of", "_asked_item", "_made_for")
+        .agg(F.sum("_n").alias("_n"))
+    )
+    kilos = (
+        items.join(per_item, (F.col("_asked_of") == F.col("_fabric")) & (F.col("_asked_item") == F.col("_item")))
+        .groupBy("_made_for")
         .agg(
-            F.sum(F.when(P.positive("_fabric_for"), (F.col("dCantidad") * times).cast(QTY))).cast(QTY).alias("KG"),
             _sum(F.col("_armed") * times).alias("KG_ARM"),
             _sum(F.col("_sent") * times).alias("KG_PRODUC"),
             _sum(F.col("_dyed") * times).alias("KG_TEÑIDOS"),
             (_sum(F.col("_approved") * times) * F.lit(Decimal(K.APPROVED_SHARE))).alias("KG_APROB_D"),
         )
     )
+    return weighed.join(kilos, F.col("_fabric_for") == F.col("_made_for"), "left").drop("_made_for")
 
 
 def _sum(value: Column) -> Column:
@@ -204,12 +231,16 @@ def garment_units(tables: Tables, open_only: bool, orders: DataFrame | None = No
         )
     )
     ops = ids(production, "_op")
+    # A line without either quantity adds nothing. Asking for both keeps both in the exchange of the items, which so is the
+    # one that the kilos read, and the items move once for all.
+    either = F.col("dCantidadProgramado").isNotNull() | F.col("dCantidadRequerido").isNotNull()
     items = (
         only(tables["docOrdenProduccionItem"], "IdDocumento_OrdenProduccion", ops)
         .groupBy("IdDocumento_OrdenProduccion", "IdmaeItem")
-        .agg(F.sum("dCantidadProgramado").alias("_programmed"), F.count("*").alias("_times"))
+        .agg(F.sum(F.when(either, F.col("dCantidadProgramado"))).alias("_programmed"), F.count("*").alias("_times"))
     )
     times = F.col("_times")
+    # The items of an order lie together; what was moved for them comes there, one row per item.
     per_op = (
         items.join(
             moved_units(tables, ops),
@@ -273,19 +304,25 @@ def order_progress(
     )
     if "needs" in how:
         chosen = chosen.where(F.col(how["needs"]).isNotNull())
+    # Only what is shown of dates and names moves.
+    issued, shown = F.col("dtFechaEmision"), F.col(how["shown"])
     chosen = with_master(
-        chosen,
+        chosen.withColumns(
+            {"_issued": S.day_of(issued), "_shown": S.day_of(shown), "_days": S.days_between(issued, shown)}
+        ),
         tables,
         "maeAnexoCliente",
         "IdmaeAnexo_Cliente",
         where=P.contains_ci("NommaeAnexoCliente", cliente),
         _client="NommaeAnexoCliente",
     ).select(
-        F.col("IdDocumento_OrdenVenta").alias("_id"),
+        F.coalesce("IdDocumento_OrdenVenta", F.lit(NO_ID)).alias("_id"),
+        F.col("IdDocumento_OrdenVenta").isNotNull().alias("_has_id"),
         F.col("CoddocOrdenVenta").alias("PEDIDO"),
-        F.col("dtFechaEmision").alias("_issued"),
-        F.col(how["shown"]).alias("_shown"),
-        "_client",
+        "_issued",
+        "_shown",
+        "_days",
+        S.first_chars(F.col("_client")).alias("_client"),
         F.col("nvDocumentoReferencia").alias("PO"),
         F.col("dCantidad").alias("_units"),
     )
@@ -294,22 +331,31 @@ def order_progress(
     chosen = keyed(chosen.repartition("_id"))
 
     # Units belong to every order with the same code, whatever its form; what is asked of a code goes down to their scan.
-    # Dealt by id, as all that follows asks for them.
+    # Each is paired with the chosen orders it counts for, as it stands in the result. Dealt by id, as all that follows asks
+    # for them.
+    wanted = chosen.select(F.col("_id").alias("_for"), kept("PEDIDO").alias("_code")).distinct()
     same_code = keyed(
-        only(tables["docOrdenVenta"].where(searched), "CoddocOrdenVenta", ids(chosen, "PEDIDO"))
-        .select(F.col("IdDocumento_OrdenVenta").alias("_same"), F.col("CoddocOrdenVenta").alias("_code"))
+        tables["docOrdenVenta"]
+        .where(searched)
+        .join(wanted, F.col("CoddocOrdenVenta") == F.col("_code"))
+        .select(F.col("IdDocumento_OrdenVenta").alias("_same"), "_for", "_code")
         .repartition("_same")
     )
     units = garment_units(tables, how["open_only"], ids(same_code, "_same"))
+    # Few numbers go back to the chosen orders, whose texts and kilos stay where they are.
     produced = (
-        each(same_code)
+        each(same_code.select("_same", kept("_for").alias("_for"), kept("_code").alias("_code"), "_n"))
         .join(units, F.col("_same") == F.col("_units_for"), "left")
-        .select("_code", *[F.coalesce(F.col(c), F.lit(0).cast(QTY)).alias(c) for c in ("PROG", "CORTADO", "COSIDO")])
+        .select(
+            "_for", "_code", *[F.coalesce(F.col(c), F.lit(0).cast(QTY)).alias(c) for c in ("PROG", "CORTADO", "COSIDO")]
+        )
     )
-    fabric = fabric_kilos(tables, how["skip_void_fabric"], ids(chosen, "_id"))
+    # An order without an id has units by its code, but no kilos.
+    own = chosen.withColumn("_own", F.when(F.col("_has_id"), F.col("_id")))
+    fabric = fabric_kilos(tables, how["skip_void_fabric"], ids(own, "_own"))
     joined = (
-        each(chosen).join(fabric, F.col("_id") == F.col("_fabric_for"), "left")
-        .join(produced, F.col("PEDIDO") == F.col("_code"), "left")
+        each(chosen).join(fabric, (F.col("_id") == F.col("_fabric_for")) & F.col("_has_id"), "left")
+        .join(produced, (F.col("_id") == F.col("_for")) & (F.col("PEDIDO") == F.col("_code")), "left")
         .withColumn("KG", F.coalesce(F.col("KG"), F.lit(0).cast(QTY)))
     )
     columns = _progress_columns()
@@ -324,10 +370,10 @@ def _progress_columns() -> dict[str, Column]:
     sent, approved = F.col("KG_PRODUC"), F.col("KG_APROB_D")
     return {
         "PEDIDO": F.col("PEDIDO"),
-        "F_EMISION": S.day_of(F.col("_issued")),
-        "F_ENTREGA": S.day_of(F.col("_shown")),
-        "DIAS": S.days_between(F.col("_issued"), F.col("_shown")),
-        "CLIENTE": S.first_chars(F.col("_client")),
+        "F_EMISION": F.col("_issued"),
+        "F_ENTREGA": F.col("_shown"),
+        "DIAS": F.col("_days"),
+        "CLIENTE": F.col("_client"),
         "PO": F.col("PO"),
         "UNID": S.whole(F.col("_units")),
         "KG_REQ": S.whole(kg),

@@ -263,3 +263,51 @@ def test_chosen_orders_do_not_move_again_for_their_kilos(spark):
 
 def test_small_partitions_merge_to_a_bounded_size(spark):
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
+
+
+def moved(df) -> list[tuple[str, list[str]]]:
+    """How each shuffle that ran deals its rows, and the columns it moves."""
+    df.collect()
+    found = []
+
+    def walk(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        if name == "ReusedExchangeExec":
+            return None
+        if name == "ShuffleExchangeExec":
+            output = plan.output()
+            found.append((plan.outputPartitioning().toString(), [output.apply(i).name() for i in range(output.length())]))
+        for i in range(plan.children().length()):
+            walk(plan.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+@pytest.mark.parametrize("variant", ["delivery", "status"])
+def test_items_made_move_once_for_kilos_and_units(large, settings, variant):
+    shuffles = moved(OP.order_progress(large, "1996-01-01", "1997-12-31", variant=variant))
+    assert len([by for by, columns in shuffles if "dCantidadProgramado" in columns]) == 1
+
+
+@pytest.mark.parametrize("variant", ["delivery", "status"])
+def test_units_come_to_the_orders(large, settings, variant):
+    shuffles = moved(OP.order_progress(large, "1996-01-01", "1997-12-31", variant=variant))
+    texts = [by for by, columns in shuffles if "PO" in columns]
+    assert len(texts) == 1 and re.match(r"hashpartitioning\(_id#", texts[0])
+
+
+def test_kilos_are_dealt_by_fabric_order(large, settings):
+    shuffles = moved(OP.order_progress(large, "1996-01-01", "1997-12-31", variant="status"))
+    for column in ("_fabric", "_asked_of"):
+        dealt = [by for by, columns in shuffles if column in columns and len(columns) > 1]
+        assert len(dealt) == 1 and re.match(rf"hashpartitioning\({column}#\d+L?, \d+\)", dealt[0])
+
+
+def test_derived_notes_group_their_lines_once(spark, settings):
+    shuffles = moved(OP.moved_units(tables_of(spark, STAR_FOLDER)))
+    assert len([by for by, columns in shuffles if "l_linenumber" in columns]) == 1
