@@ -5,7 +5,7 @@ from datetime import date, datetime
 import pytest
 
 from costurero.schemas import TABLES
-from costurero.sources.derived import catalog_tables, star_tables
+from costurero.sources.derived import ONE_PASS, TEXTS, catalog_tables, inputs, star_tables
 from costurero.sources.registry import Tables, load
 from costurero.sources.sinks import csv_lines, from_csv_lines, read_csv, write_csv
 from tests.conftest import STAR_FOLDER
@@ -62,6 +62,18 @@ def test_every_derived_table_keeps_its_contract(spark):
         assert [(f.name, f.dataType) for f in tables[name].schema] == [(f.name, f.dataType) for f in schema]
 
 
+@pytest.mark.parametrize("name", list(ONE_PASS))
+def test_one_pass_gives_the_rows_of_its_text(spark, name):
+    star = {t: spark.read.parquet(f"{STAR_FOLDER}/{t}.parquet") for t in ("orders", "lineitem")}
+
+    def of(text):
+        return spark.sql(text, **{i: star[i] if i in star else of(TEXTS[i]) for i in inputs(text)})
+
+    ours, theirs = of(ONE_PASS[name]), of(TEXTS[name])
+    assert ours.dtypes == theirs.dtypes
+    assert ours.exceptAll(theirs).isEmpty() and theirs.exceptAll(ours).isEmpty() and ours.count()
+
+
 def test_csv_has_headers_no_index_and_empty_nulls(spark, tmp_path):
     df = spark.createDataFrame(
         [(1, 'a, "b"', None, date(2024, 1, 2), datetime(2024, 1, 2, 3, 4, 5)), (None, None, 0.1, None, None)],
