@@ -308,6 +308,11 @@ def test_kilos_are_dealt_by_fabric_order(large, settings):
         assert len(dealt) == 1 and re.match(rf"hashpartitioning\({column}#\d+L?, \d+\)", dealt[0])
 
 
+def test_rows_with_a_total_move_their_texts_once_before_it(large, settings):
+    with_total = OP.with_total(OP.order_progress(large, "1996-01-01", "1997-12-31", variant="status"), "status")
+    assert len([by for by, columns in moved(with_total) if "PO" in columns]) == 1
+
+
 def test_derived_notes_group_their_lines_once(spark, settings):
     shuffles = moved(OP.moved_units(tables_of(spark, STAR_FOLDER)))
     assert len([by for by, columns in shuffles if "l_linenumber" in columns]) == 1
